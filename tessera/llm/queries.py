@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import tokens
+from tessera.llm import mixing, packing, tokens
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _mixtures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.select_mixtures(*(table(spark, folder, t) for t in ("documents", "mixture_sources", "mixture_targets")))
+
+
+def p1_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixtures(spark, folder)[1]
+
+
+def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture_shares(*_mixtures(spark, folder))
+
+
 def p4_record_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.record_tokens(table(spark, folder, "documents"), table(spark, folder, "sft_pairs"))
 
@@ -24,8 +36,16 @@ def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_sequences(table(spark, folder, "documents"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p6_sequences(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_record_tokens, p4_token_totals, p5_ids)}
+    return {f.__name__: f for f in (p1_selection, p1_shares, p4_record_tokens, p4_token_totals, p5_ids, p6_sequences, p6_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
