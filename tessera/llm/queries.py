@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, tokens
+from tessera.llm import leakage, mixing, packing, tokens
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_shares(*_mixtures(spark, folder))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(*(table(spark, folder, t) for t in ("documents", "sft_pairs", "eval_items")))
+
+
 def p4_record_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.record_tokens(table(spark, folder, "documents"), table(spark, folder, "sft_pairs"))
 
@@ -45,7 +49,7 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_selection, p1_shares, p4_record_tokens, p4_token_totals, p5_ids, p6_sequences, p6_fill)}
+    return {f.__name__: f for f in (p1_selection, p1_shares, p2_found, p4_record_tokens, p4_token_totals, p5_ids, p6_sequences, p6_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
