@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leakage, mixing, packing, tokens
+from tessera.llm import leakage, mixing, packing, pii, tokens
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,16 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p6_sequences(spark, folder))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(pii.detect(table(spark, folder, "documents"), table(spark, folder, "name_lexicon"), redacted=False))
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.detect(table(spark, folder, "documents"), table(spark, folder, "name_lexicon")).select("doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_selection, p1_shares, p2_found, p4_record_tokens, p4_token_totals, p5_ids, p6_sequences, p6_fill)}
+    return {f.__name__: f for f in (p1_selection, p1_shares, p2_found, p4_record_tokens, p4_token_totals, p5_ids, p6_sequences, p6_fill, p7_found, p7_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
