@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leakage, mixing, packing, pii, tokens
+from tessera.llm import defects, leakage, mixing, packing, pii, tokens
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(*(table(spark, folder, t) for t in ("documents", "sft_pairs", "eval_items")))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.find_defects(table(spark, folder, "sft_pairs"))
+
+
 def p4_record_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.record_tokens(table(spark, folder, "documents"), table(spark, folder, "sft_pairs"))
 
@@ -57,7 +61,7 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_selection, p1_shares, p2_found, p4_record_tokens, p4_token_totals, p5_ids, p6_sequences, p6_fill, p7_found, p7_redacted)}
+    return {f.__name__: f for f in (p1_selection, p1_shares, p2_found, p3_found, p4_record_tokens, p4_token_totals, p5_ids, p6_sequences, p6_fill, p7_found, p7_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
