@@ -109,15 +109,32 @@ class Problem(NamedTuple):
 _CLAUSES: dict[str, Clause] = {}
 
 
+_SHAPE = re.compile(r"\$[^$]*\$|\d+")
+_CUES: dict[str, tuple[bool, bool, bool, bool, str]] = {}
+
+
+def cues_of(shape: str) -> tuple[bool, bool, bool, bool, str]:
+    """(declines, goes with declining, states a result, only frames, language): what numbers and formulas do not change."""
+    known = _CUES.get(shape)
+    if known is None:
+        refusal = bool(_REFUSAL.search(shape)) and not _NO_REFUSAL.search(shape)
+        known = refusal, bool(_SOFT.search(shape)), bool(_ANSWER.search(shape)), bool(_FRAME.match(shape)), language(tokens(shape), shape)
+        if len(_CUES) >= CACHE_CLAUSES:
+            _CUES.clear()
+        if len(shape) < 400:
+            _CUES[shape] = known
+    return known
+
+
 def clause_of(text: str) -> Clause:
     """What can be said of a clause by itself; many recur, so a worker remembers them."""
     known = _CLAUSES.get(text)
     if known is None:
+        refusal, soft, answer, frame, lang = cues_of(_SHAPE.sub("0", text))
         words = tokens(text)
-        refusal, answer, frame = bool(_REFUSAL.search(text)) and not _NO_REFUSAL.search(text), bool(_ANSWER.search(text)), bool(_FRAME.match(text))
         numbers = frozenset(w for w in words if w[0].isdigit())
-        row = [1.0, refusal, bool(_SOFT.search(text)), 0.0, 0.0, 0.0, answer and not refusal, 0.0, 0.0, 0.0, 0.0, 0.0, frame, not words]
-        known = Clause(len(words), frozenset(words), numbers, sum(not w[0].isdigit() for w in words), language(words, text), refusal, answer, frame, row)
+        row = [1.0, refusal, soft, 0.0, 0.0, 0.0, answer and not refusal, 0.0, 0.0, 0.0, 0.0, 0.0, frame, not words]
+        known = Clause(len(words), frozenset(words), numbers, sum(not w[0].isdigit() for w in words), lang, refusal, answer, frame, row)
         if len(_CLAUSES) >= CACHE_CLAUSES:
             _CLAUSES.clear()
         if len(text) < 400:
