@@ -35,8 +35,10 @@ def containments(items: DataFrame, key: str, text: str, corpus: DataFrame, corpu
     few = named.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
     small = F.broadcast if few else (lambda df: df)
     records = corpus.filter(~X.blank(F.col(corpus_text))).select(F.col(corpus_key).alias("record"), X.normal_form(F.col(corpus_text)).alias("record_text"))
-    windows = records.withColumn("seeds", X.window_hashes(F.split("record_text", " "), SEED_WORDS))
-    hits = windows.select("record", "record_text", F.explode("seeds").alias("seed")).join(small(long), "seed").filter(F.contains("record_text", "item_text")).select("item", "record")
+    # Windows travel without the text, which would be copied for each of them; the few matches fetch it again.
+    windows = records.select("record", F.explode(X.window_hashes(F.split("record_text", " "), SEED_WORDS)).alias("seed"))
+    matches = windows.join(small(long.select("item", "seed")), "seed").select("item", "record").distinct()
+    hits = matches.join(records, "record").join(small(long.select("item", "item_text")), "item").filter(F.contains("record_text", "item_text")).select("item", "record")
     rest = records.join(small(short), F.contains("record_text", "item_text")).select("item", "record")
     return hits.unionByName(rest).distinct()
 

@@ -382,9 +382,9 @@ def latest_pairs(spark, d):
     return registry.latest(table(spark, d, "sft_pairs").select("pair_id", "ingested_at"), "pair_id", [F.col("ingested_at")])
 
 
-@query("WITH RECURSIVE up(node, anc, depth) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part UNION ALL SELECT node, anc // 2, depth + 1 FROM up WHERE anc // 2 IN (SELECT p_partkey FROM part)) SELECT node AS p_partkey, arg_max(anc, depth) AS root, max(depth) AS depth FROM up GROUP BY 1")
+@query("WITH RECURSIVE up(node, anc, depth) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part UNION ALL SELECT node, anc // 2, depth + 1 FROM up WHERE anc > 1 AND anc // 2 IN (SELECT p_partkey FROM part)) SELECT node AS p_partkey, arg_max(anc, depth) AS root, max(depth) AS depth FROM up GROUP BY 1")
 def lineage_roots(spark, d):
-    return registry.lineage(table(spark, d, "part").select("p_partkey", F.expr("p_partkey div 2").alias("parent")), "p_partkey", "parent")
+    return registry.lineage(table(spark, d, "part").select("p_partkey", F.expr("CASE WHEN p_partkey > 1 THEN p_partkey div 2 END").alias("parent")), "p_partkey", "parent")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey * 3 NOT IN (SELECT p_partkey FROM part)")
