@@ -38,7 +38,10 @@ def normal_sql(column: str) -> str:
 SOURCE_SQL = "nullif(regexp_extract(regexp_replace(lower(" + strip_sql("source") + r"), '[\s_]+', '-', 'g'), '([^/]+)/*$', 1), '')"
 LANG_CASE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.LANG_CODES.items()) + " ELSE {0} END"
 LANG_SQL = "nullif(" + LANG_CASE.format("regexp_extract(lower(" + strip_sql("lang") + "), '^([a-z]+)', 1)") + ", '')"
-N_PAIR = F.length("problem") + F.length("solution")
+
+def n_pair():
+    return F.length("problem") + F.length("solution")
+
 _BOXED_SQL, _HASHES_SQL = r"'\\boxed\{([^}]+)\}'", r"'(?m)####[\s]*(.+?)$'"
 _IS_SQL = r"'[Tt]he (?:final )?answer is[:\s]*(.+?)(?:\.(?:\s|$)|\n|$)'"
 
@@ -83,7 +86,7 @@ def blank_filter(spark, d):
 
 @query("SELECT pair_id, ingested_at FROM sft_pairs WHERE length(problem) + length(solution) BETWEEN 200 AND 800")
 def char_band(spark, d):
-    return normalize.char_band(table(spark, d, "sft_pairs"), N_PAIR, 200, 800).select("pair_id", "ingested_at")
+    return normalize.char_band(table(spark, d, "sft_pairs"), n_pair(), 200, 800).select("pair_id", "ingested_at")
 
 
 @query(f"SELECT {SOURCE_SQL} AS source, {LANG_SQL} AS lang, count(*) AS n_rows FROM sft_pairs GROUP BY 1, 2")
