@@ -113,8 +113,13 @@ def pack_sequences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     Full sequences are passed on as they come. One shuffle; a task holds one group of rests.
     """
     spark = df.sparkSession
-    raw = spark.sparkContext.broadcast(bpe.vocabulary_bytes(vocabulary))  # at most 64 MB, checked
+    held_ranks = bpe.vocabulary_bytes(vocabulary)
+    narrow = "<u2" if max(bpe.read_ranks(held_ranks).values()) < 65_536 else "<i4"  # how ids travel through the shuffle
+    width = int(narrow[-1])
+    raw = spark.sparkContext.broadcast(held_ranks)  # at most 64 MB, checked
     groups = max(1, -(-df.count() // group_items))  # the row count comes from the parquet footers
+    # A few groups a task whatever the session's setting; a group of rests is some megabytes.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 4)
     keyed = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(doc_id, F.monotonically_increasing_id()).alias("key"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +131,10 @@ def pack_sequences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
                 for doc, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     packed = encoder.encode_packed(value) if value else b""
                     n = len(packed) // 4
+                    packed = np.frombuffer(packed, "<i4").astype(narrow).tobytes()
                     for start in range(0, n, capacity):
                         length = min(capacity, n - start)
-                        rows.append((doc, key, start, length, length == capacity, packed[4 * start : 4 * (start + length)]))
+                        rows.append((doc, key, start, length, length == capacity, packed[width * start : width * (start + length)]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)],
                     names=["doc_id", "key", "start", "length", "whole", "packed"],
@@ -136,7 +142,7 @@ def pack_sequences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
     pieces = keyed.mapInArrow(cut, "doc_id bigint, key bigint, start int, length int, whole boolean, packed binary")
     label = F.when(F.col("whole"), -1 - F.pmod(F.xxhash64("key", "start"), F.lit(groups))).otherwise(F.pmod("key", F.lit(groups)))
-    grouped = pieces.select(label.alias("group"), "doc_id", "key", "start", "length", "packed").repartition("group").sortWithinPartitions("group", "key", "doc_id", "start")
+    grouped = pieces.select(label.alias("group"), "doc_id", "key", "start", "length", "packed").repartition(partitions, "group").sortWithinPartitions("group", "key", "doc_id", "start")
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -167,7 +173,7 @@ def pack_sequences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
         ends = np.cumsum([0, *(len(content) for _, content in sequences)]).astype(np.int32)
         fills = [sum(row[3] for row in content) for _, content in sequences]
         entries = pa.StructArray.from_arrays([pa.array([row[1] for row in rows], pa.int64()), pa.array([row[2] for row in rows], pa.int32()), pa.array([row[3] for row in rows], pa.int32())], names=["doc_id", "start", "length"])
-        flat = pa.Array.from_buffers(pa.int32(), sum(fills), [None, pa.py_buffer(b"".join(row[4] for row in rows))])
+        flat = pa.Array.from_buffers(pa.int32(), sum(fills), [None, pa.py_buffer(np.frombuffer(b"".join(row[4] for row in rows), narrow).astype("<i4").tobytes())])
         columns = [pa.array([name for name, _ in sequences]), pa.array(fills, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), entries), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *fills]).astype(np.int32)), flat)]
         return pa.RecordBatch.from_arrays(columns, names=["sequence_id", "n_tokens", "pieces", "ids"])
 
