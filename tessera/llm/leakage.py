@@ -54,12 +54,14 @@ def words(text: str) -> list[str]:
 
 
 class _Vocabulary(dict):
+    """Word ids; of words that no item has, numbers are -1 and all others 0."""
+
     def __missing__(self, word: str) -> int:
-        return 0
+        return -1 if word.isdigit() else 0
 
 
 def align(item: np.ndarray, text: np.ndarray, gap: int = 2) -> list[tuple[int, int]]:
-    """Smith-Waterman over word ids (2 for equal words, -2 otherwise and for each word of a gap; 0 equals nothing).
+    """Smith-Waterman over word ids (2 for equal words, -2 otherwise and for each word of a gap; 0 and -1 equal nothing).
 
     The path of the best local alignment as (item position, text position) pairs, -1 where one side has a gap.
     """
@@ -215,7 +217,7 @@ class ItemIndex:
             if j >= 0 and item[i] == text[j]:
                 costs.append(0.0)
             else:
-                costs.append(NUMBER if j >= 0 and int(item[i]) in self.numbers and (int(text[j]) in self.numbers) else 1.0)
+                costs.append(NUMBER if j >= 0 and int(item[i]) in self.numbers and (text[j] < 0 or int(text[j]) in self.numbers) else 1.0)
         return longest_stretch(costs, covers, ALTERED, SLACK) >= self._least(len(item)) if costs else False
 
 
