@@ -58,10 +58,10 @@ _CLOSED = re.compile(r"[.!?。！？∎□■)）\]”\"»’'`*>]\s*$")
 
 # Frequent small words that tell the languages apart.
 _SMALL = {
-    "en": "the of and is are we to that this with which there it from by each what how many does has have had was were be when then next into out only for on at an let us so gives giving get find first value values because would should no need both sides here not".split(),
-    "de": "der die das und ist sind wir mit von zu den dem ein eine einen nicht auch wie viele wird sich auf für aus dass man es im sie hat wenn so nach zuerst also bei beide folgt gilt wäre hier damit werden somit ergibt dabei durch".split(),
-    "fr": "le la les des et est sont nous de du un une que qui dans pour avec sur par il ne pas ce cette on au aux donc d'abord ensuite reste combien quel quelle chaque en sans ici serait deux côtés cela obtient".split(),
-    "es": "el los las y es son nos del una que en para con por se su al lo como más cuántas cuál cada primero entonces después ambos lados aquí sería hay tanto esto queda resulta obtenemos respuesta".split(),
+    "en": "the of and is are we to that this with which there it from by each what how many does has have had was were be when then next into out only for on at an let us so gives giving get find first value values because would should no need both sides here not solve compute find number sum remainder divided determine calculate equation evaluate".split(),
+    "de": "der die das und ist sind wir mit von zu den dem ein eine einen nicht auch wie viele wird sich auf für aus dass man es im sie hat wenn so nach zuerst also bei beide folgt gilt wäre hier damit werden somit ergibt dabei durch löse gleichung berechne summe zahlen bestimme finde rest".split(),
+    "fr": "le la les des et est sont nous de du un une que qui dans pour avec sur par il ne pas ce cette on au aux donc d'abord ensuite reste combien quel quelle chaque en sans ici serait deux côtés cela obtient résoudre résous équation calculer calculez somme nombres déterminer trouver".split(),
+    "es": "el los las y es son nos del una que en para con por se su al lo como más cuántas cuál cada primero entonces después ambos lados aquí sería hay tanto esto queda resulta obtenemos respuesta resuelve resolver ecuación calcula calcular suma números halla determina de un su mide tiene".split(),
 }
 _SMALL_OF: dict[str, str] = {}
 for _lang, _list in _SMALL.items():
@@ -70,6 +70,9 @@ for _lang, _list in _SMALL.items():
 _CYRILLIC, _HAN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[一-鿿]")
 
 
+_LETTERS = {"de": re.compile("[ßäöü]"), "fr": re.compile("[çèêëîôùœ]"), "es": re.compile("[¿¡ñíó]")}
+
+
 def tokens(text: str) -> list[str]:
     """Words and numbers in lower case without markup; each ideograph is a word."""
     return _TOKEN.findall(_COMMAND.sub(" ", text.lower()))
@@ -77,7 +80,9 @@ def tokens(text: str) -> list[str]:
 
 def language(words: list[str], text: str, least: int = 2) -> str:
     """Language the words speak for, or an empty string where they do not tell."""
-    votes = {"ru": len(_CYRILLIC.findall(text)) / 3, "zh": len(_HAN.findall(text)) / 2} if not text.isascii() else {}
+    votes: dict[str, float] = {}
+    if not text.isascii():
+        votes = {"ru": len(_CYRILLIC.findall(text)) / 3, "zh": len(_HAN.findall(text)) / 2, **{lang: float(bool(rx.search(text))) for lang, rx in _LETTERS.items()}}
     for w in words:
         lang = _SMALL_OF.get(w)
         if lang:
@@ -144,7 +149,7 @@ def clause_of(text: str) -> Clause:
 
 def problem_of(text: str | None) -> Problem:
     words = tokens(text) if text else []
-    return Problem(frozenset(words), len(words), language(words, text or ""))
+    return Problem(frozenset(words), len(words), language(words, text or "", least=1))  # a problem may be short
 
 
 def clauses(solution: str | None) -> list[str]:
