@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels as L
 from tessera.functions import text as X
-from tessera.operators import leakage, mixture, neardup, normalize, ordered, profile, registry, scoring
+from tessera.operators import health, leakage, mixture, neardup, normalize, ordered, profile, registry, scoring
 from tessera.plans.session import shared_dir
 from tessera.sources import files
 from tessera.sources.tables import table
@@ -481,6 +481,47 @@ def paired_significance(spark, d):
     return scoring.paired_bootstrap(rater_agreement(spark, d).fillna("unknown", ["source"]), "source")
 
 
+@query(f"SELECT {SOURCE_SQL} AS source, count(*) AS n_outputs, count(DISTINCT solution) AS n_distinct, avg(length(solution)) AS mean_length, count(DISTINCT solution) / count(*) AS share, count(DISTINCT solution) / count(*) < 0.3 AS alarm FROM sft_pairs WHERE solution IS NOT NULL GROUP BY 1")
+def output_diversity(spark, d):
+    return health.output_diversity(_by_source(table(spark, d, "sft_pairs")), "source", "solution")
+
+
+@query()
+def ngram_diversity(spark, d):
+    return table(spark, d, "documents").select("doc_id", health.ngram_diversity(F.col("text")).alias("diversity"))
+
+
+@query(
+    "WITH p AS (SELECT user_id, ts, event_id, value, max(value) OVER w AS peak, first(value) OVER w AS start FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), "
+    "q AS (SELECT *, count(*) OVER f = 3 AND bool_and(peak - value > 20) OVER f AS fallen, count(*) OVER f = 3 AND bool_and(value < 10) OVER f AS short FROM p WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)) "
+    "SELECT user_id, count(*) AS n, first(value ORDER BY ts, event_id) AS first, last(value ORDER BY ts, event_id) AS last, max(value) AS best, bool_or(isnan(value) OR value > 2 * start) AS exploded, bool_or(fallen) AS fell, bool_or(short) AS stayed_low FROM q GROUP BY 1"
+)
+def series_health(spark, d):
+    return health.series_health(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 20.0, 3, 10.0)
+
+
+@query("SELECT l_linenumber, round(avg(CASE WHEN l_returnflag = 'R' THEN l_discount END) - avg(CASE WHEN l_returnflag = 'A' THEN l_discount END), 9) AS delta FROM lineitem GROUP BY 1")
+def stage_deltas(spark, d):
+    out = health.stage_delta(table(spark, d, "lineitem"), "l_linenumber", "l_returnflag", "A", "R", "l_discount")
+    return out.select("l_linenumber", F.round("delta", 9).alias("delta"))
+
+
+@query("WITH e AS (SELECT DISTINCT problem_id, dataset, difficulty, solution FROM eval_items) SELECT dataset, count(*) AS n, avg(CAST(coalesce(contains(solution, 'boxed'), false) AS INTEGER)) AS rate, avg(nullif(difficulty, 0)) AS mean_score, " + ", ".join(f"count_if(difficulty = {k}) AS score_{k}" for k in range(1, 6)) + " FROM e GROUP BY 1")
+def label_rollup(spark, d):
+    return health.label_rollup(table(spark, d, "eval_items").select("problem_id", "dataset", "difficulty", "solution").distinct(), "dataset", F.contains("solution", F.lit("boxed")), F.col("difficulty"))
+
+
+@query(f"SELECT doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY {SOURCE_SQL} ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 100 // (SELECT count(DISTINCT coalesce({SOURCE_SQL}, '-')) FROM documents)")
+def quota_sample(spark, d):
+    return health.quota_sample(_by_source(table(spark, d, "documents").select("doc_id", "source")), "source", "doc_id", 100).select("doc_id", "rank")
+
+
+@query(f"SELECT pair_id, array_to_string(list_filter([CASE WHEN {blank_sql('problem')} THEN 'problem' END, CASE WHEN {blank_sql('solution')} THEN 'solution' END, CASE WHEN source IS NULL THEN 'source' END, CASE WHEN created_at IS NULL OR created_at > ingested_at THEN 'created_at' END], lambda x: x IS NOT NULL), ',') AS errors FROM sft_pairs")
+def row_errors(spark, d):
+    checks = {"problem": ~X.blank(F.col("problem")), "solution": ~X.blank(F.col("solution")), "source": F.col("source").isNotNull(), "created_at": F.col("created_at") <= F.col("ingested_at")}
+    return table(spark, d, "sft_pairs").select("pair_id", F.concat_ws(",", health.errors(checks)).alias("errors"))
+
+
 # --- leakage, duplicates, sets --------------------------------------------------------------------
 
 _EXACT = f"SELECT DISTINCT problem_id AS item, {normal_sql('problem')} IN (SELECT {normal_sql('problem')} FROM sft_pairs WHERE NOT {blank_sql('problem')}) AS leaked FROM eval_items WHERE NOT {blank_sql('problem')}"
