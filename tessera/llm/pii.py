@@ -355,8 +355,11 @@ def _addresses(text: str, low: str, places: dict[str, list[tuple[int, int]]]) ->
         for start, end in places.get(kind, ()):
             if boundary and end < len(low) and low[end].isalnum():
                 continue
-            m = rx.search(text, max(0, start - left), min(len(text), end + right))
-            if m and m.end() > start and m.start() <= end:
+            stop = min(len(text), end + right)
+            m = rx.search(text, max(0, start - left), stop)
+            while m and m.end() <= start:  # an earlier address in the window
+                m = rx.search(text, m.end(), stop)
+            if m and m.start() <= end:
                 yield m
 
     for m in near(_EN, "en", 60, 1):

@@ -157,6 +157,24 @@ def test_personal_data(spark):
     assert pii.mod97_key("199037512345697"[:13] + f"{97 - int('1990375123456') % 97:02d}") and pii.luhn("79927398713") and pii.letter_23("00000014Z")
 
 
+ADDRESSES = {
+    "en": ("121 Copperbeck Way", "93 Larkspindle Lane", "5 Elm St"),
+    "fr": ("3 rue Mila", "4 rue Nod", "149 bis avenue de la Grange-aux-Oies"),
+    "FR": ("3 RUE MILA", "4 RUE NOD", "7 QUAI SUD"),
+    "de": ("Lindenweg 12", "Hauptstraße 5", "Alte Gasse 7"),
+    "es": ("C/ de la Noria, 1", "calle Mayor 22", "Plaza Nueva 3"),
+    "box": ("PO Box 12", "Postfach 33", "P.O. Box 279"),
+}
+
+
+@pytest.mark.parametrize("kind", ADDRESSES)
+@pytest.mark.parametrize("between", ["\n", "; ", " and "])
+def test_addresses_close_together(kind, between):
+    text = between.join(ADDRESSES[kind])
+    spans = pii.find_spans(text, pii.NameFinder([]))
+    assert [(s.kind, text[s.start : s.end]) for s in spans] == [("address", a) for a in ADDRESSES[kind]]
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, folder, name):
     assert queries.queries()[name](spark, folder).count() > 0
