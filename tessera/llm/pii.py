@@ -313,13 +313,15 @@ def _checked(number: str) -> bool:
 def _ids(text: str, places: list[tuple[int, int]]) -> Iterator[Span]:
     labelled = set()
     for start, end in places:
-        m = _ID_LABEL.search(text, max(0, start - 30), end + 30)
-        if not m or m.start() in labelled:
-            continue
-        labelled.add(m.start())
-        n = _ID_NUMBER.match(text, _ID_BETWEEN.match(text, m.end()).end())
-        if n and 6 <= sum(c.isalnum() for c in n.group()) <= 18 and sum(c.isdigit() for c in n.group()) >= 5:
-            yield Span(n.start(), n.end(), "id_number", 1.5 + _checked(n.group()))
+        at = _ID_LABEL.search(text, max(0, start - 30), end + 30)
+        while at:  # every label in the window, also one inside another
+            if at.start() not in labelled:
+                labelled.add(at.start())
+                m = _ID_LABEL.match(text, at.start())  # not cut by the window's end
+                n = m and _ID_NUMBER.match(text, _ID_BETWEEN.match(text, m.end()).end())
+                if n and 6 <= sum(c.isalnum() for c in n.group()) <= 18 and sum(c.isdigit() for c in n.group()) >= 5:
+                    yield Span(n.start(), n.end(), "id_number", 1.5 + _checked(n.group()))
+            at = _ID_LABEL.search(text, at.start() + 1, end + 30)
     for m in _ID_BARE.finditer(text):
         score = {"nino": 1.0, "nir": 0.4, "dni": 0.4, "card": 0.8}[m.lastgroup] + 0.7 * _checked(m.group())
         if score >= 1:

@@ -175,6 +175,21 @@ def test_addresses_close_together(kind, between):
     assert [(s.kind, text[s.start : s.end]) for s in spans] == [("address", a) for a in ADDRESSES[kind]]
 
 
+@pytest.mark.parametrize(
+    ("text", "numbers"),
+    [
+        ("national ID: 00080386X\n\nstudent ID: S-05868-8", ["00080386X", "S-05868-8"]),
+        ("SSN: 000584203, passport: 12345678", ["000584203", "12345678"]),
+        ("passport or student ID 1234567", ["1234567"]),
+        ("Das gilt nie. Steuer-ID: 12345678901", ["12345678901"]),
+        ("student ID card number 7654321", ["7654321"]),
+        ("passport, Steuer-Identifikationsnummer 12345678901", ["12345678901"]),
+    ],
+)
+def test_labelled_numbers_close_together(text, numbers):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.find_spans(text, pii.NameFinder([]))] == [("id_number", n) for n in numbers]
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, folder, name):
     assert queries.queries()[name](spark, folder).count() > 0
