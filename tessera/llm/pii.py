@@ -65,13 +65,20 @@ def mod11_10(digits: str) -> bool:
 # --- patterns -------------------------------------------------------------------------------------
 
 _GAP = r"[ \t   ]"
-_AT = rf"(?:{_GAP}?(?:@|＠|&#64;|&#x40;|%40){_GAP}?|{_GAP}?[\[({{<]{_GAP}?(?:at|AT|At){_GAP}?[\])}}>]{_GAP}?|_at_|_AT_)"
+_AT_SIGNS = ("@", "＠", "&#64;", "&#x40;", "%40")
+_AT_LINKS = ("_at_", "_AT_")
+_AT_BRACKETS = rf"[\[({{<]{_GAP}?(?:at|AT|At){_GAP}?[\])}}>]"
+_AT = rf"(?:{_GAP}?(?:{'|'.join(_AT_SIGNS)}){_GAP}?|{_GAP}?{_AT_BRACKETS}{_GAP}?|{'|'.join(_AT_LINKS)})"
 _DOT = rf"(?:\.|{_GAP}?[\[({{<]{_GAP}?(?:dot|DOT|Dot){_GAP}?[\])}}>]{_GAP}?|{_GAP}+(?:dot|DOT){_GAP}+|_dot_|_DOT_)"
 _LOCAL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?"
 _HOST = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _EMAIL = re.compile(rf"{_LOCAL}{_AT}{_HOST}(?:{_DOT}{_HOST})*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
 _EMAIL_WORDS = re.compile(rf"{_LOCAL}{_GAP}+(?:at|AT){_GAP}+{_HOST}(?:{_GAP}+(?:dot|DOT){_GAP}+{_HOST})*{_GAP}+(?:dot|DOT){_GAP}+[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
 
+# Without what these find, the costlier patterns above find nothing.
+_AT_WORD = re.compile(_AT_BRACKETS)
+_DOT_WORD = re.compile(rf"{_GAP}(?:dot|DOT){_GAP}")
+
 # Labels of numbers that identify a person.
 _ID_LABEL = re.compile(
     r"(?i)(?<![a-z])(?:SSN|soc(?:ial|\.)? sec(?:urity|\.)? ?(?:no\b\.?|number|nr\b\.?|#)|social insurance (?:no\b\.?|number)|(?:national )?insurance (?:no\b\.?|number)"
@@ -295,12 +302,12 @@ class NameFinder:
 
 
 def _emails(text: str) -> Iterator[Span]:
-    if "@" in text or "＠" in text or "&#" in text or "%40" in text or "at" in text or "AT" in text:
-        for m in _EMAIL.finditer(text) if any(x in text for x in ("@", "＠", "&#64;", "&#x40;", "%40", "at]", "at)", "at}", "at>", "at ]", "at )", "AT]", "AT)", "_at_", "_AT_")) else ():
+    if any(x in text for x in _AT_SIGNS + _AT_LINKS) or _AT_WORD.search(text):
+        for m in _EMAIL.finditer(text):
             yield Span(m.start(), m.end(), "email", 1.5)
-        if " dot " in text or " DOT " in text or " dot" in text:
-            for m in _EMAIL_WORDS.finditer(text):
-                yield Span(m.start(), m.end(), "email", 1.2)
+    if ("dot" in text or "DOT" in text) and _DOT_WORD.search(text):
+        for m in _EMAIL_WORDS.finditer(text):
+            yield Span(m.start(), m.end(), "email", 1.2)
 
 
 def _checked(number: str) -> bool:

@@ -190,6 +190,14 @@ def test_labelled_numbers_close_together(text, numbers):
     assert [(s.kind, text[s.start : s.end]) for s in pii.find_spans(text, pii.NameFinder([]))] == [("id_number", n) for n in numbers]
 
 
+@pytest.mark.parametrize("at", [f"{o}{g}{w}{g}{c}" for o, c in ("[]", "()", "{}", "<>") for w in ("at", "AT", "At") for g in ("", " ", "\t", "\u00a0", "\u202f")] + ["@", "＠", "&#64;", "&#x40;", "%40", "_at_", "_AT_", " at "])
+def test_emails_however_disguised(at):
+    for dot in (".", " dot ", " DOT\u00a0", "\tdot\t") if at != " at " else (" dot ", " DOT\u00a0", "\tdot\t"):
+        mail = f"a.bo{at}host{dot}test"
+        spans = pii.find_spans(f"Mail {mail}!", pii.NameFinder([]))
+        assert [(s.kind, s.start, s.end) for s in spans] == [("email", 5, 5 + len(mail))]
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, folder, name):
     assert queries.queries()[name](spark, folder).count() > 0
