@@ -26,6 +26,7 @@ SHARE = 0.5  #: part of an item's words that a passage covers
 ALTERED = 0.1  #: altered or missing words in a passage
 SLACK = 1.5  #: altered words granted besides, since the share is of a short stretch
 NUMBER = 3.0  #: what another number in a number's place counts; one altered number is a typing error, several make another problem
+INSERTED = 6  #: words of a short insertion
 LEAST_WORDS = 8  #: items shorter than that have no passage that could not be a stock phrase
 SLICE_BYTES = 8 << 20
 
@@ -203,13 +204,43 @@ class ItemIndex:
                     break
 
     def holds(self, item: np.ndarray, text: np.ndarray) -> bool:
-        """Is there one stretch of the text that covers enough of the item, with few enough words altered?"""
-        path = align(item, text)
+        """Is there one stretch of the text that covers enough of the item, with few enough words altered?
+
+        Where the best path does not do, its longest unbroken segment is masked and the rest aligned again, until
+        the matches or the score left are under those of half the item with its alterations and a short insertion.
+        """
+        least = self._least(len(item))
+        altered = int(ALTERED * least + SLACK)
+        held = np.bincount(item)
+        left = text.copy()
+        while True:
+            known = left[(left > 0) & (left < len(held))]
+            if int(np.minimum(np.bincount(known, minlength=len(held)), held).sum()) < least - altered:
+                return False
+            path = align(item, left)
+            if not path:
+                return False
+            if self._covers(item, text, path) >= least:
+                return True
+            segments, score = [[]], 0
+            for i, j in path:
+                same = i >= 0 and j >= 0 and item[i] == left[j]
+                score += 2 if same else -2
+                if same:
+                    segments[-1].append(j)
+                elif i < 0 and segments[-1]:
+                    segments.append([])
+            if score < 2 * (least - 2 * altered) - 2 * INSERTED:
+                return False
+            left[max(segments, key=len)] = 0
+
+    def _covers(self, item: np.ndarray, text: np.ndarray, path: list[tuple[int, int]]) -> int:
+        """Words of the item in the longest stretch of the path with few enough words altered."""
         costs, covers, run = [], [], 0
         for i, j in path:
             if i < 0:  # a word put in: a short insertion is free, a long one ends the stretch
                 run += 1
-                costs.append(0.0 if run <= 6 else 1.0)
+                costs.append(0.0 if run <= INSERTED else 1.0)
                 covers.append(0)
                 continue
             run = 0
@@ -218,7 +249,7 @@ class ItemIndex:
                 costs.append(0.0)
             else:
                 costs.append(NUMBER if j >= 0 and int(item[i]) in self.numbers and (text[j] < 0 or int(text[j]) in self.numbers) else 1.0)
-        return longest_stretch(costs, covers, ALTERED, SLACK) >= self._least(len(item)) if costs else False
+        return longest_stretch(costs, covers, ALTERED, SLACK)
 
 
 _MADE: dict[int, tuple[object, ItemIndex]] = {}

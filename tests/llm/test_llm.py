@@ -101,6 +101,18 @@ def test_leaks(spark):
     assert leakage.find_leaks(docs, pairs, items.limit(0)).count() == 0
 
 
+def test_leaks_beside_a_variant():
+    w = ITEM.split()
+    variant = ITEM.replace("48", "31").replace("74", "22").replace("38", "90").replace("Celia", "Bram").replace("Fernmouth", "Drumlow").replace("oak barrels", "tin toys").split()
+    index = leakage.ItemIndex([("i", ITEM, None)])
+    n = len(w)
+    whole = {"before": variant + w[: n // 2 + 1], "after": w[n // 2 - 1 :] + variant, "two": variant + ["so"] * 5 + variant + w[: n // 2 + 1]}
+    joined = {"joined": variant[: int(0.7 * n)] + w[n // 2 - 1 :]}
+    for texts, want in ((whole | joined, {0}), ({"variants": variant * 3, "less": variant + w[: n // 4]}, set())):
+        for text in texts.values():
+            assert index.search([" ".join(text)]) == [want]
+
+
 def test_alignment_by_brute_force():
     rng = random.Random(5)
     import numpy as np
