@@ -27,11 +27,13 @@ ALTERED = 0.1  #: altered or missing words in a passage
 SLACK = 1.5  #: altered words granted besides, since the share is of a short stretch
 NUMBER = 3.0  #: what another number in a number's place counts; one altered number is a typing error, several make another problem
 INSERTED = 6  #: words of a short insertion
-LEAST_WORDS = 8  #: items shorter than that have no passage that could not be a stock phrase
+LEAST_WORDS = 8  #: of items shorter than that a part could be a stock phrase; they count as a whole only
 SLICE_BYTES = 8 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
+_IDEOGRAPH = re.compile("[々ぁ-ゖァ-ヺ㐀-䶿一-鿿𠀀-𳎯]")
+_WORD_OR_IDEOGRAPH = re.compile(rf"{_IDEOGRAPH.pattern}|[^\W_{_IDEOGRAPH.pattern[1:]}+")
 _TAG = re.compile(r"</?[a-z][^<>]{0,80}>")
 _COMMAND = re.compile(r"\\[a-z]+")
 _ENTITY = re.compile(r"&(?:[a-z]{2,8}|#\d{1,6}|#x[0-9a-f]{1,5});")
@@ -39,11 +41,14 @@ _UNSEEN = re.compile("[­​-‏⁠﻿]")
 
 
 def words(text: str) -> list[str]:
-    """Words in lower case without markup, punctuation and invisible characters."""
+    """Words in lower case without markup, punctuation and invisible characters; each ideograph is a word."""
+    word = _WORD
     if not text.isascii():
         text = _UNSEEN.sub("", text)
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
+        if _IDEOGRAPH.search(text):
+            word = _WORD_OR_IDEOGRAPH
     text = text.lower()
     if "<" in text:
         text = _TAG.sub(" ", text)
@@ -51,7 +56,7 @@ def words(text: str) -> list[str]:
         text = _COMMAND.sub(" ", text)
     if "&" in text:
         text = _ENTITY.sub(" ", text)
-    return _WORD.findall(text)
+    return word.findall(text)
 
 
 class _Vocabulary(dict):
@@ -112,8 +117,8 @@ class ItemIndex:
         for name, *texts in items:
             for text in texts:
                 found = words(text) if text else []
-                if len(found) < LEAST_WORDS:
-                    continue
+                if len(found) < GRAM:
+                    continue  # fewer words than a seed are a stock phrase
                 ids = np.array([dict.setdefault(self.vocabulary, w, len(self.vocabulary) + 1) for w in found], np.int32)
                 self.names.append(name)
                 self.passages.append(ids)
@@ -131,7 +136,8 @@ class ItemIndex:
         self.screen = np.zeros(1 << 20, bool)
         self.screen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         # Fewest seeds that a passage of half the item with one word in ten altered and an insertion still holds.
-        self.needed = np.array([max(1, self._least(len(ids)) - GRAM + 1 - GRAM * (int(ALTERED * self._least(len(ids))) + 1) - (GRAM - 1)) for ids in self.passages], np.int32)
+        self.needed = np.array([len(ids) - GRAM + 1 if len(ids) < LEAST_WORDS else max(1, self._least(len(ids)) - GRAM + 1 - GRAM * (int(ALTERED * self._least(len(ids))) + 1) - (GRAM - 1)) for ids in self.passages], np.int32)
+        self.needed_rare = np.array([1 if len(ids) < LEAST_WORDS else min(2, k) for ids, k in zip(self.passages, self.needed.tolist(), strict=True)], np.int32)
 
     @staticmethod
     def _least(n: int) -> int:
@@ -186,9 +192,13 @@ class ItemIndex:
         text_at, rare = np.repeat(starts, count), np.repeat(count <= RARE, count)
         hits = np.bincount(owner, minlength=len(self.passages))
         rares = np.bincount(owner, weights=rare, minlength=len(self.passages))
-        for p in np.flatnonzero((hits >= self.needed) & (rares >= np.minimum(2, self.needed))).tolist():
+        for p in np.flatnonzero((hits >= self.needed) & (rares >= self.needed_rare)).tolist():
             item, mine = self.passages[p], owner == p
             places = text_at[mine]
+            if len(item) < LEAST_WORDS:
+                if any(np.array_equal(ids[t : t + len(item)], item) for t in places[item_at[mine] == 0].tolist()):
+                    found.add(p)
+                continue
             for cluster in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) > len(item)) + 1):
                 if len(cluster) < self.needed[p]:
                     continue
@@ -297,8 +307,8 @@ def find_leaks(documents: DataFrame, pairs: DataFrame, items: DataFrame) -> Data
     A passage is a stretch of the record's text that covers at least half of the words of the item's problem
     or solution with at most one altered or missing word in ten; case, spacing, punctuation, markup and short
     insertions do not matter, while other numbers in the places of the item's numbers do. Null or blank texts
-    of records and items match nothing; items of fewer than LEAST_WORDS words have no passage; repeated items
-    and rows count once; rows without an id come out with a null record_id; other columns are ignored.
+    of records and items match nothing; items of fewer than LEAST_WORDS words have to stand there whole and
+    unaltered, and those of fewer than GRAM words have no passage; repeated items and rows count once; rows without an id come out with a null record_id; other columns are ignored.
 
     The corpora are read once per block of items and not shuffled; only found rows are.
     """
