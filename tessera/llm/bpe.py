@@ -2,8 +2,8 @@
 
 Two independent algorithms over the same rank file:
 
-* ``PrefixEncoder`` - per-prefix dynamic programming. A suffix automaton over the vocabulary lists the
-  tokens that end at each byte; for every prefix exactly one of them can be the last token of that
+* ``PrefixEncoder`` - per-prefix dynamic programming. An Aho-Corasick automaton over the vocabulary (in
+  place of a suffix automaton; the matches are the same) lists the tokens that end at each byte; for every prefix exactly one of them can be the last token of that
   prefix's encoding, and a pair-compatibility test against the last token of the shorter prefix finds
   it. Following the back-pointers from the end emits the ids. Linear in the length of the piece.
 * ``MergeCounter`` - the piece as a linked list of symbols with a priority queue of merges; what
