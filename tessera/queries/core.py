@@ -435,7 +435,7 @@ def json_fields(spark, d):
 
 @query("SELECT CAST(event_id AS INTEGER) AS step, CAST(10000 AS INTEGER) AS of, round(value, 2) AS loss FROM events WHERE value IS NOT NULL AND event_id < 1000000")
 def parsed_log(spark, d):
-    lines = table(spark, d, "events").filter("value IS NOT NULL AND event_id < 1000000").select(F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit("/10000 | loss: "), F.format_string("%.6f", "value"), F.lit(" | 12.5 tok/s | eta 3m")).alias("value"))
+    lines = table(spark, d, "events").filter("value IS NOT NULL").select(F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit("/10000 | loss: "), F.format_string("%.6f", "value"), F.lit(" | 12.5 tok/s | eta 3m")).alias("value"))
     return files.parse_log(lines).select("step", "of", F.round("loss", 2).alias("loss"))
 
 

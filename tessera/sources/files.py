@@ -59,7 +59,7 @@ def parse_log(df: DataFrame, line: str = "value") -> DataFrame:
     c = F.col(line)
     number = lambda p: F.regexp_extract(c, p, 1).try_cast("double")
     return df.filter(c.rlike(r"step [0-9]+/[0-9]+")).select(
-        F.regexp_extract(c, r"step ([0-9]+)/", 1).cast("int").alias("step"), F.regexp_extract(c, r"step [0-9]+/([0-9]+)", 1).cast("int").alias("of"),
+        F.regexp_extract(c, r"step ([0-9]+)/", 1).try_cast("bigint").alias("step"), F.regexp_extract(c, r"step [0-9]+/([0-9]+)", 1).try_cast("bigint").alias("of"),
         number(r"loss[:= ]+([0-9.]+)").alias("loss"), number(r"([0-9.]+) ?tok/s").alias("tokens_per_second"), F.nullif(F.regexp_extract(c, r"eta[:= ]+(\S+)", 1), F.lit("")).alias("eta"),
     )
 

@@ -139,6 +139,11 @@ def test_plateau_stream(spark, tmp_path):
     assert [r.plateau for r in out.orderBy("step").collect()] == [False, False, False, False, False, True, True]
 
 
+def test_parsed_log_takes_every_event(spark, tmp_path):
+    spark.createDataFrame([(7, 1.5), (1_000_000, 2.5), (5_000_000_000, 3.5), (8, None)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(tuple(r) for r in core.queries()["parsed_log"](spark, str(tmp_path)).collect()) == [(7, 10000, 1.5), (1_000_000, 10000, 2.5), (5_000_000_000, 10000, 3.5)]
+
+
 @pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_query_against_sql(spark, folder, name):
     duckdb = pytest.importorskip("duckdb")
