@@ -89,7 +89,8 @@ def select_mixtures(documents: DataFrame, sources: DataFrame, targets: DataFrame
     where it ends by taking in permuted order each text that still fits. The rest left over is smaller than
     any text of that block that was left out; actual shares come from the selection itself.
 
-    Blocks hold about BLOCK_TEXTS texts however large a source is. Prefix sums run over one row per block;
+    Blocks hold about BLOCK_TEXTS texts however large a source is; a source of fewer than twice as many is one
+    block. Prefix sums run over one row per block;
     only the blocks in which some budget ends are sorted by row. All that is broadcast is the plan, at most
     MOST_MIXTURE_ROWS rows.
     """
@@ -99,12 +100,13 @@ def select_mixtures(documents: DataFrame, sources: DataFrame, targets: DataFrame
     counted = count_tokens(documents.select("doc_id", source_label(F.col("source")).alias("source"), F.md5(F.col("text").cast("binary")).alias("digest"), "text").filter("source IS NOT NULL AND text IS NOT NULL AND text <> ''"), "text", vocabulary=vocabulary)
     texts = counted.filter("n_tokens > 0").groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
     rank = F.xxhash64(F.lit(seed), "source", "digest")
-    blocks = max(1, documents.count() // BLOCK_TEXTS)  # from the parquet footers
-    texts = texts.select("source", "doc_id", "n_tokens", rank.alias("rank"), F.pmod(rank, F.lit(blocks)).alias("block"))
+    texts = texts.select("source", "doc_id", "n_tokens", rank.alias("rank"))
     texts = cut_lineage(texts)  # texts are tokenised once for sizes, block sums and selection
-    per_block = texts.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.count(F.lit(1)).alias("block_texts"))
-    sizes = per_block.groupBy("source").agg(F.sum("block_tokens").alias("n_tokens"), F.sum("block_texts").alias("n_texts"))
+    sizes = texts.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
     plan = cut_lineage(plan_mixtures(sources, targets, sizes))
+    blocks = plan.filter("budget_tokens > 0").select("source", F.greatest(F.lit(1), F.floor(F.col("available_texts") / BLOCK_TEXTS)).alias("blocks")).distinct()
+    texts = texts.join(F.broadcast(blocks), "source").select("source", "doc_id", "n_tokens", "rank", F.pmod("rank", "blocks").alias("block"))
+    per_block = texts.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     small = F.broadcast(plan.filter("budget_tokens > 0").select("mixture", "source", (F.col("budget_tokens") / F.col("available_tokens")).cast("bigint").alias("passes"), F.expr("budget_tokens % available_tokens").alias("rest")))
     before = F.sum("block_tokens").over(W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block").rowsBetween(W.unboundedPreceding, -1))
     placed = per_block.withColumn("before", F.coalesce(before, F.lit(0)))

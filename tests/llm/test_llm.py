@@ -84,6 +84,22 @@ def test_mixing(spark):
     assert abs(mixing.entropy(mixing.tempered([8, 1, 1], mixing.entropy_alpha([8, 1, 1], 1.0))) - 1.0) < 1e-6
 
 
+def test_mixing_fills_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TEXTS", 4)
+    docs = spark.createDataFrame([(i, f"number {i} " * 9, "big") for i in range(200)] + [(1000 + i, f"little {i} " * (1 + 3 * i), "small") for i in range(7)], "doc_id long, text string, source string")
+    goals = range(40, 180, 20)
+    sources = spark.createDataFrame([(str(g), "small", 1.0) for g in goals], "mixture string, path string, weight double")
+    plan, chosen = mixing.select_mixtures(docs, sources, spark.createDataFrame([(str(g), g, 1) for g in goals], "mixture string, target_tokens long, max_repeats int"))
+    encoder = bpe.PrefixEncoder(bpe.vocabulary_bytes())
+    size = {1000 + i: len(encoder.encode(f"little {i} " * (1 + 3 * i))) for i in range(7)}
+    used = {str(g): set() for g in goals}
+    for r in chosen.collect():
+        used[r.mixture].add(r.doc_id)
+    for r in plan.collect():
+        left = r.budget_tokens - sum(size[i] for i in used[r.mixture])
+        assert 0 <= left < min((n for i, n in size.items() if i not in used[r.mixture]), default=1)
+
+
 ITEM = "When the museum of Fernmouth moves to a new wing Celia packs its collection of oak barrels by hand and exactly 48 chests are opened while each of these chests turns out to contain 74 pieces later that week 38 are damaged by rain"
 
 
