@@ -1,8 +1,9 @@
 """Evaluation texts that leaked into training text (problem 2).
 
 Rare word n-grams of the test items seed the search; a Smith-Waterman alignment of words decides. The items
-are a reference set of known size: they go to the workers in blocks of at most BLOCK_ITEMS, and every block
-is held against all records.
+are a reference set of known size: they go to the workers in blocks of about BLOCK_ITEMS or BLOCK_BYTES,
+and every block is held against all records. Items with the same text are one passage that carries all their
+ids; a passage is never passed over because many items share its words.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEMS = 20_000  #: items in a block; more items mean more blocks, never fewer items
+BLOCK_BYTES = 32 << 20  #: text of the items of a block, which is what a worker is sent at a time
 GRAM = 4  #: words of a seed
-RARE = 8  #: a seed is rare if at most so many passages hold it
+COMMON = 8  #: seeds that more passages hold need not be tried, where a quotation must hold rarer ones too
 SHARE = 0.5  #: part of an item's words that a passage covers
 ALTERED = 0.1  #: altered or missing words in a passage
 SLACK = 1.5  #: altered words granted besides, since the share is of a short stretch
 NUMBER = 3.0  #: what another number in a number's place counts; one altered number is a typing error, several make another problem
 INSERTED = 6  #: words of a short insertion
+BAND = 16  #: how far words may be shifted against a seed before its neighbourhood is not worth an alignment
 LEAST_WORDS = 8  #: of items shorter than that a part could be a stock phrase; they count as a whole only
 SLICE_BYTES = 8 << 20
 
@@ -110,18 +113,21 @@ class ItemIndex:
     """Seeds and words of a block of items, as a worker needs them."""
 
     def __init__(self, items: Iterable[tuple[str, str | None, str | None]]):
-        self.names: list[str] = []
+        self.names: list[tuple[str, ...]] = []
         self.passages: list[np.ndarray] = []
         self.vocabulary = _Vocabulary()
         self.numbers: set[int] = set()
+        classes: dict[bytes, set[str]] = {}  # equal passages are one, with the names of all items that have it
         for name, *texts in items:
             for text in texts:
                 found = words(text) if text else []
                 if len(found) < GRAM:
                     continue  # fewer words than a seed are a stock phrase
                 ids = np.array([dict.setdefault(self.vocabulary, w, len(self.vocabulary) + 1) for w in found], np.int32)
-                self.names.append(name)
-                self.passages.append(ids)
+                classes.setdefault(ids.tobytes(), set()).add(name)
+        for held, names in classes.items():
+            self.names.append(tuple(sorted(names)))
+            self.passages.append(np.frombuffer(held, np.int32))
         self.numbers = {i for w, i in self.vocabulary.items() if w.isdigit()}
         keys, owner, at = [], [], []
         for p, ids in enumerate(self.passages):
@@ -135,9 +141,41 @@ class ItemIndex:
         self.keys, self.first, self.count = np.unique(all_keys[order], return_index=True, return_counts=True)
         self.screen = np.zeros(1 << 20, bool)
         self.screen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        # Fewest seeds that a passage of half the item with one word in ten altered and an insertion still holds.
-        self.needed = np.array([len(ids) - GRAM + 1 if len(ids) < LEAST_WORDS else max(1, self._least(len(ids)) - GRAM + 1 - GRAM * (int(ALTERED * self._least(len(ids))) + 1) - (GRAM - 1)) for ids in self.passages], np.int32)
-        self.needed_rare = np.array([1 if len(ids) < LEAST_WORDS else min(2, k) for ids, k in zip(self.passages, self.needed.tolist(), strict=True)], np.int32)
+        self.needed = np.array([self._surviving(len(ids)) for ids in self.passages], np.int32)
+        count = self.count[np.searchsorted(self.keys, all_keys)]
+        ends = np.cumsum([len(k) for k in keys])
+        self.anchor = np.concatenate([self._anchors(len(ids), of) for ids, of in zip(self.passages, np.split(count, ends[:-1]), strict=True)])[order] if keys else np.zeros(0, bool)
+
+    @classmethod
+    def _surviving(cls, n: int) -> int:
+        """Fewest seeds that a text still holds of an accepted passage of an item of n words."""
+        if n < LEAST_WORDS:
+            return n - GRAM + 1
+        return min(cls._unbroken(k) for k in range(cls._least(n), n + 1))
+
+    @staticmethod
+    def _unbroken(k: int) -> int:
+        """Seeds of a stretch of k words that its altered words and one insertion leave, 1 at least."""
+        return max(1, k - GRAM + 1 - GRAM * int(ALTERED * k + SLACK) - (GRAM - 1))
+
+    @classmethod
+    def _anchors(cls, n: int, count: np.ndarray) -> np.ndarray:
+        """The seeds of which an accepted passage must hold one.
+
+        Of the seeds that more than COMMON passages share, the commonest are left out as long as fewer are left
+        out in every stretch than that stretch keeps unbroken; so each accepted passage still holds an anchor.
+        """
+        anchor = np.ones(len(count), bool)
+        common = np.flatnonzero(count > COMMON)
+        if n < LEAST_WORDS or not len(common) or cls._surviving(n) < 2:
+            return anchor
+        spans = {cls._least(n)} | {k for k in range(cls._least(n), n + 1) if cls._unbroken(k) < cls._unbroken(k - 1)} | {n}
+        for at in common[np.argsort(-count[common], kind="stable")].tolist():
+            anchor[at] = False
+            out = np.concatenate([[0], np.cumsum(~anchor)])
+            if any(int((out[k - GRAM + 1 :] - out[: len(out) - k + GRAM - 1]).max()) >= cls._unbroken(k) for k in spans):
+                anchor[at] = True
+        return anchor
 
     @staticmethod
     def _least(n: int) -> int:
@@ -182,25 +220,26 @@ class ItemIndex:
         return found
 
     def _judge(self, ids: np.ndarray, starts: np.ndarray, which: np.ndarray, low: int, high: int, found: set[int]) -> None:
-        """Align the passages of which a text holds enough seeds, rare ones among them."""
+        """Align the passages of which a text holds enough seeds, an anchor among them."""
         count = self.count[which]
         total = int(count.sum())
         if total < int(self.needed.min()):
             return
         at_seed = np.repeat(self.first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
         owner, item_at = self.owner[at_seed], self.at[at_seed]
-        text_at, rare = np.repeat(starts, count), np.repeat(count <= RARE, count)
-        hits = np.bincount(owner, minlength=len(self.passages))
-        rares = np.bincount(owner, weights=rare, minlength=len(self.passages))
-        for p in np.flatnonzero((hits >= self.needed) & (rares >= self.needed_rare)).tolist():
+        text_at = np.repeat(starts, count)
+        present, place = np.unique(owner, return_inverse=True)
+        hits = np.bincount(place)
+        anchored = np.bincount(place, weights=self.anchor[at_seed]) > 0
+        for p in present[(hits >= self.needed[present]) & anchored].tolist():
             item, mine = self.passages[p], owner == p
-            places = text_at[mine]
+            places, at_item = text_at[mine], item_at[mine]
             if len(item) < LEAST_WORDS:
-                if any(np.array_equal(ids[t : t + len(item)], item) for t in places[item_at[mine] == 0].tolist()):
+                if any(np.array_equal(ids[t : t + len(item)], item) for t in places[at_item == 0].tolist()):
                     found.add(p)
                 continue
             for cluster in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) > len(item)) + 1):
-                if len(cluster) < self.needed[p]:
+                if len(cluster) < self.needed[p] or not any(self._worth(item, ids, d, low, high) for d in np.unique(places[cluster] - at_item[cluster]).tolist()):
                     continue
                 # Pieces with overlap, so that a stretch of the item is whole in one however long the cluster is.
                 first, last = int(places[cluster[0]]) - len(item), int(places[cluster[-1]]) + len(item)
@@ -213,6 +252,14 @@ class ItemIndex:
                 if p in found:
                     break
 
+    def _worth(self, item: np.ndarray, ids: np.ndarray, diagonal: int, low: int, high: int) -> bool:
+        """Could a stretch near this diagonal be enough: are enough of its words there at all, each within BAND of its place?"""
+        least = self._least(len(item))
+        place = np.arange(len(item))[:, None] + np.arange(diagonal - BAND, diagonal + BAND + 1)[None, :]
+        inside = (place >= low) & (place < high)
+        there = np.concatenate([[0], np.cumsum(((ids[np.where(inside, place, low)] == item[:, None]) & inside).any(1))])
+        return int((there[least:] - there[: len(there) - least]).max()) >= least - int(ALTERED * len(item) + SLACK)
+
     def holds(self, item: np.ndarray, text: np.ndarray) -> bool:
         """Is there one stretch of the text that covers enough of the item, with few enough words altered?
 
@@ -292,9 +339,9 @@ def _find(df: DataFrame, texts: list[str], block: object) -> DataFrame:
                         if text:
                             wanted.setdefault(text, []).append(i)
                 for at, passages in zip(wanted.values(), index.search(list(wanted)), strict=True):
-                    for p in passages:
+                    for name in {n for p in passages for n in index.names[p]}:
                         rows += at
-                        names += [index.names[p]] * len(at)
+                        names += [name] * len(at)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([corpus.take(take), record.take(take), pa.array(names, pa.string())], names=["corpus", "record_id", "problem_id"])
 
@@ -313,12 +360,13 @@ def find_leaks(documents: DataFrame, pairs: DataFrame, items: DataFrame) -> Data
     The corpora are read once per block of items and not shuffled; only found rows are.
     """
     distinct = items.filter("problem_id IS NOT NULL").select("problem_id", "problem", "solution").distinct()
-    n_blocks = max(1, -(-distinct.count() // BLOCK_ITEMS))
+    size = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.octet_length("problem"), F.lit(0)) + F.coalesce(F.octet_length("solution"), F.lit(0))), F.lit(0))).first()
+    n_blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_BYTES))
     context = items.sparkSession.sparkContext
     docs = documents.select(F.lit("documents").alias("corpus"), F.col("doc_id").cast("bigint").alias("record_id"), "text")
     sft = pairs.select(F.lit("sft_pairs").alias("corpus"), F.col("pair_id").cast("bigint").alias("record_id"), "problem", "solution")
     found = []
-    for k in range(n_blocks):  # about BLOCK_ITEMS items each; the blocks together are all items
+    for k in range(n_blocks):  # about BLOCK_ITEMS items or BLOCK_BYTES each; the blocks together are all items
         block = distinct.filter(F.pmod(F.xxhash64("problem_id", "problem", "solution"), F.lit(n_blocks)) == k).collect()
         shared = context.broadcast([tuple(row) for row in block])
         found += [_find(docs, ["text"], shared), _find(sft, ["problem", "solution"], shared)]

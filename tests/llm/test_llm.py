@@ -133,7 +133,7 @@ def test_leaks_of_short_and_chinese_items():
     items = [("short", "What is 12 times 15?", "180"), ("han", "小明有48个苹果，他给了小红23个，又买来17个。", None), ("tiny", "Add 2", "4")]
     index = leakage.ItemIndex(items)
     texts = ["So, what is **12** times 15? It is 180.", "what is 12 times 16", "问：小明有48个苹果，他给了小红23个，然后", "小明有31个苹果，他吃了", "Add 2 and 4", "what is 12 times"]
-    assert [{index.names[p] for p in found} for found in index.search(texts)] == [{"short"}, set(), {"han"}, set(), set(), set()]
+    assert [{n for p in found for n in index.names[p]} for found in index.search(texts)] == [{"short"}, set(), {"han"}, set(), set(), set()]
     assert leakage.words("共有48个 x_1ー") == ["共", "有", "48", "个", "x", "1ー"]
 
 
