@@ -1,4 +1,9 @@
-"""Mixing sources to target weights (problem 1)."""
+"""Mixing sources to target weights (problem 1).
+
+Temperature mixing: the shares of the sources are exponentiated, the exponent is bisected until the target can be
+met within the repeats allowed (or until the shares have a target entropy), and the normalised shares at that
+exponent are realised as budgeted block permutations.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ from tessera.plans.session import cut_lineage
 
 BLOCK_TEXTS = 1024  #: expected texts in a block
 MOST_MIXTURE_ROWS = 100_000  #: a configuration table, checked; a larger one is refused
-PLAN_SCHEMA = "mixture string, source string, paths array<string>, weight double, wanted_share double, wanted_tokens bigint, target_tokens bigint, max_repeats int, available_tokens bigint, available_texts bigint, budget_tokens bigint, alpha double, tempered_share double"
+PLAN_SCHEMA = "mixture string, source string, paths array<string>, weight double, wanted_share double, wanted_tokens bigint, target_tokens bigint, max_repeats int, available_tokens bigint, available_texts bigint, reachable_tokens bigint, budget_tokens bigint, alpha double, tempered_share double"
 
 
 def entropy(shares: list[float]) -> float:
@@ -50,31 +55,64 @@ def entropy_alpha(sizes: list[float], target: float) -> float:
     return bisect_alpha(lambda a: entropy(tempered(sizes, a)) >= target)
 
 
+def whole_budgets(shares: list[float], rooms: list[int], target: int) -> list[int]:
+    """Whole tokens that add up to the target as far as the rooms allow: rounded down, the rest by largest remainder."""
+    exact = [p * target for p in shares]
+    budgets = [min(int(x + 1e-6), r) for x, r in zip(exact, rooms, strict=True)]
+    left = min(target, sum(r for p, r in zip(shares, rooms, strict=True) if p > 0)) - sum(budgets)
+    for i in sorted(range(len(shares)), key=lambda i: (budgets[i] - exact[i], i)):
+        if shares[i] > 0 and left > 0:
+            more = min(left, rooms[i] - budgets[i], max(1, round(exact[i]) - budgets[i]))
+            budgets[i] += more
+            left -= more
+    return budgets
+
+
+def solve_mixture(weights: list[float], sizes: list[int], target: int, repeats: int, target_entropy: float | None = None) -> tuple[float, list[float], list[int]]:
+    """(alpha, shares, budgets) of one mixture's sources.
+
+    Sources without text are left out before the weights are normalised. The shares start from the weights, or,
+    with a target entropy, from the sizes exponentiated until the shares have it. They are then tempered towards
+    the sizes, s**alpha * size**(1 - alpha), with the largest alpha for which no source has to be repeated more
+    than ``repeats`` times: alpha is 1 where the stated weights can be met as they are, and 0 where all text
+    is needed. Budgets add up to the target whenever the sources with weight hold enough text for it.
+    """
+    have = [float(n) if w > 0 else 0.0 for w, n in zip(weights, sizes, strict=True)]
+    room = [max(0, repeats) * int(n) for n in have]
+    base = tempered([w if n > 0 else 0.0 for w, n in zip(weights, have, strict=True)], 1.0)
+    if target_entropy is not None:
+        base = tempered(have, entropy_alpha(have, target_entropy))
+    alpha = bisect_alpha(lambda a: all(p * target <= r + 1 for p, r in zip(tempered(base, a, have), room, strict=True)))
+    shares = tempered(base, alpha, have)
+    return alpha, shares, whole_budgets(shares, room, target)
+
+
 def plan_mixtures(sources: DataFrame, targets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Budget of each source of each mixture: the wanted share of the target, no more than the repeats allow.
+    """Budget of each source of each mixture, by solve_mixture; the wanted shares stay beside it.
 
     ``sizes`` has source, n_tokens, n_texts. Paths whose last segments name the same source are one row
     with their weights added; null, NaN and negative weights count as zero. Mixtures without a target are
-    left out; a source without text has nothing available and a budget of 0. ``alpha`` is the largest
-    exponent for which the mixture, tempered between its weights (1) and the sizes of its sources (0), can
-    be met in full without repeating a text too often, and ``tempered_share`` the share it would then have;
-    where alpha is 1 these are the wanted shares.
+    left out; a source without text or weight has a budget of 0. ``wanted_share`` is the weight's share over all
+    paths, ``wanted_tokens`` its tokens, ``reachable_tokens`` what of these the repeats allow; ``alpha`` and
+    ``tempered_share`` are what the budget follows. ``targets`` may have a column target_entropy (in nats),
+    which replaces the stated weights of the mixtures where it is not null.
     """
     bare = sources.select("mixture", "path", source_label(F.col("path")).alias("source"), F.when(F.isnan("weight") | F.col("weight").isNull() | (F.col("weight") < 0), 0.0).otherwise(F.col("weight")).alias("weight"))
     merged = bare.filter("source IS NOT NULL AND mixture IS NOT NULL").groupBy("mixture", "source").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.sum("weight").alias("weight"))
-    goal = targets.groupBy("mixture").agg(F.max("target_tokens").alias("target_tokens"), F.max("max_repeats").alias("max_repeats"))
+    wanted_entropy = F.max("target_entropy") if "target_entropy" in targets.columns else F.max(F.lit(None).cast("double"))
+    goal = targets.groupBy("mixture").agg(F.max("target_tokens").alias("target_tokens"), F.max("max_repeats").alias("max_repeats"), wanted_entropy.alias("target_entropy"))
     joined = merged.join(goal, "mixture").join(sizes.withColumnsRenamed({"n_tokens": "available_tokens", "n_texts": "available_texts"}), "source", "left")
-    joined = joined.select("mixture", "source", "paths", "weight", F.coalesce("target_tokens", F.lit(0)).alias("target_tokens"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("available_texts", F.lit(0)).alias("available_texts"))
+    joined = joined.select("mixture", "source", "paths", "weight", F.coalesce("target_tokens", F.lit(0)).alias("target_tokens"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), "target_entropy", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("available_texts", F.lit(0)).alias("available_texts"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source").reset_index(drop=True)
-        total, target, repeats = pdf.weight.sum(), int(pdf.target_tokens[0]), max(0, int(pdf.max_repeats[0]))
+        total, target, repeats = pdf.weight.sum(), max(0, int(pdf.target_tokens[0])), max(0, int(pdf.max_repeats[0]))
+        aim = None if pd.isna(pdf.target_entropy[0]) else float(pdf.target_entropy[0])
         share = (pdf.weight / total if total > 0 else pdf.weight * 0.0).tolist()
-        room = [repeats * int(a) for a in pdf.available_tokens]
-        have = [float(a) for a in pdf.available_tokens]
-        alpha = bisect_alpha(lambda a: all(p * target <= r + 1 for p, r in zip(tempered(share, a, have), room, strict=True)))
+        alpha, shares, budgets = solve_mixture(share, pdf.available_tokens.tolist(), target, repeats, aim)
         wanted = [round(p * target) for p in share]
-        return pdf.assign(wanted_share=share, wanted_tokens=wanted, budget_tokens=[min(w, r) for w, r in zip(wanted, room, strict=True)], alpha=alpha, tempered_share=tempered(share, alpha, have))
+        reachable = [min(w, repeats * int(a)) for w, a in zip(wanted, pdf.available_tokens, strict=True)]
+        return pdf.assign(wanted_share=share, wanted_tokens=wanted, reachable_tokens=reachable, budget_tokens=budgets, alpha=alpha, tempered_share=shares)
 
     return joined.groupBy("mixture").applyInPandas(lambda pdf: solve(pdf)[[c.split()[0] for c in PLAN_SCHEMA.split(", ")]], PLAN_SCHEMA)
 
@@ -135,10 +173,10 @@ def mixture_shares(plan: DataFrame, selection: DataFrame) -> DataFrame:
     out = plan.join(used, ["mixture", "source"], "left").fillna(0, ["used_tokens", "used_texts", "most_copies"])
     whole = F.sum("used_tokens").over(W.partitionBy("mixture"))
     return out.select(
-        "mixture", "source", "paths", "weight", "wanted_share", "wanted_tokens", "available_tokens", "max_repeats", "budget_tokens", "used_tokens", "used_texts", "most_copies",
+        "mixture", "source", "paths", "weight", "wanted_share", "wanted_tokens", "available_tokens", "max_repeats", "reachable_tokens", "budget_tokens", "used_tokens", "used_texts", "most_copies",
         F.when(F.col("target_tokens") > 0, F.col("used_tokens") / F.col("target_tokens")).alias("share_of_target"),
         F.when(whole > 0, F.col("used_tokens") / whole).alias("actual_share"),
         (F.col("wanted_tokens") - F.col("used_tokens")).alias("missing_tokens"),
-        (F.col("budget_tokens") < F.col("wanted_tokens")).alias("limited"),
+        (F.col("reachable_tokens") < F.col("wanted_tokens")).alias("limited"),
         "alpha", "tempered_share",
     )

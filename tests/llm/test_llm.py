@@ -80,7 +80,7 @@ def test_mixing(spark):
     big, small, ghost = (shares["m", s] for s in ("big-one", "small", "ghost"))
     assert abs(big.wanted_share - 0.3) < 1e-12 and ghost.used_tokens == 0 and shares["n", "small"].used_tokens == 0 and ("x", "small") not in shares
     assert small.limited and small.used_tokens == 2 * small.available_tokens and small.most_copies == 2
-    assert 0 <= big.missing_tokens < 60 and big.most_copies <= 2 and 901 not in {r.doc_id for r in chosen.collect()}
+    assert 0 <= big.budget_tokens - big.used_tokens < 60 and big.most_copies <= 2 and 901 not in {r.doc_id for r in chosen.collect()}
     assert abs(mixing.entropy(mixing.tempered([8, 1, 1], mixing.entropy_alpha([8, 1, 1], 1.0))) - 1.0) < 1e-6
 
 
