@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe
 
 GROUP_ITEMS = 4096  #: expected items packed together; bounds a task's memory and its local search
+STEPS_PER_BIN = 12  #: most exchanges of the local search for each bin of a group; bounds time, never content
 SCHEMA = "sequence_id string, n_tokens int, pieces array<struct<doc_id:bigint,start:int,length:int>>, ids array<int>"
 
 
@@ -39,65 +40,115 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = 400) -> list[list[int]]:
-    """Empty the least filled bin into the others as long as that works.
+def swap_search(bins: list[list[int]], sizes: list[int], capacity: int, steps_per_bin: int = STEPS_PER_BIN) -> list[list[int]]:
+    """Exchange items between underfull bins, raising the sum of squared fills, until bins are empty.
 
-    Its items leave by a move, by a one-for-one or by a two-for-one exchange with another underfull bin.
-    An exchange leaves the other bin fuller and the drained one lighter, so the sum of squared fills only
-    rises; a bin that is drained to nothing disappears. Every step needs free room, so full bins take no
-    part and the search stays within the underfull ones. ``rounds`` bounds the bins that are tried.
+    A step moves one item, exchanges one for one or two for one between any two underfull bins, and is taken
+    only if it raises the sum of the squared fills; so free room gathers in few bins, which end empty. The
+    least filled bin is served first, by an exchange that fills it exactly if there is one, else by the
+    one that raises the sum most; a bin that no exchange helps is passed over and tried again in the next
+    sweep. The search ends when a sweep changes nothing, when no packing could have fewer bins, or after
+    ``steps_per_bin`` steps for each bin. It never makes more bins than it was given.
     """
-    bins = [list(b) for b in bins]
+    bins = [list(b) for b in bins if b]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        under = sorted((at for at in range(len(bins)) if bins[at] and fill[at] < capacity), key=lambda at: fill[at])
-        if len(under) < 2 or sum(capacity - fill[at] for at in under[1:]) < fill[under[0]]:
-            break
-        drained, others, moved = under[0], under[1:], True
-        while bins[drained] and moved:
-            moved = _step(bins, fill, sizes, capacity, drained, others)
-        if bins[drained]:
-            break
+    least = -(-sum(fill) // capacity)
+    steps, live = steps_per_bin * len(bins), len(bins)
+    exchanges = _Exchanges(bins, fill, sizes, capacity)
+    changed = True
+    while changed and steps > 0 and live > least:
+        changed = False
+        for at in sorted(exchanges.under, key=lambda k: (fill[k], k)):
+            while steps > 0 and live > least and at in exchanges.under:
+                other = exchanges.improve(at)
+                if other is None:
+                    break
+                steps -= 1
+                changed = True
+                live -= not bins[other]
     return [b for b in bins if b]
 
 
-def _step(bins: list[list[int]], fill: list[int], sizes: list[int], capacity: int, drained: int, others: list[int]) -> bool:
-    """The exchange that makes another bin fullest, if any makes it fuller."""
-    best = (0, None)
-    mine = sorted(set(sizes[i] for i in bins[drained]))
-    for at in others:
-        room = capacity - fill[at]
-        if not room:
-            continue
-        theirs = {0} | {sizes[i] for i in bins[at]}
-        for x in mine:
-            for y in theirs:
-                gain = x - y
-                if 0 < gain <= room:
-                    score = (gain == room) * capacity + gain + fill[at]
-                    if score > best[0]:
-                        best = (score, (at, (x,), (y,) if y else ()))
-        for i, x in enumerate(mine):
-            for x2 in mine[i:]:
-                for y in theirs:
-                    gain = x + x2 - y
-                    if 0 < gain <= room and (x != x2 or sum(sizes[k] == x for k in bins[drained]) > 1):
-                        score = (gain == room) * capacity + gain + fill[at]
-                        if score > best[0]:
-                            best = (score, (at, (x, x2), (y,) if y else ()))
-        if best[0] >= 2 * capacity:
-            break
-    if best[1] is None:
-        return False
-    at, out, back = best[1]
-    for group, source, target in ((out, drained, at), (back, at, drained)):
-        for size in group:
-            item = next(i for i in bins[source] if sizes[i] == size)
-            bins[source].remove(item)
-            bins[target].append(item)
-            fill[source] -= size
-            fill[target] += size
-    return True
+class _Exchanges:
+    """The underfull bins with the sizes that may leave them: single items, and pairs of items."""
+
+    def __init__(self, bins: list[list[int]], fill: list[int], sizes: list[int], capacity: int):
+        self.bins, self.fill, self.sizes, self.capacity = bins, fill, sizes, capacity
+        self.under = {k for k in range(len(bins)) if fill[k] < capacity}
+        self.ones = {k: self._ones(k) for k in self.under}
+        self.twos = {k: self._twos(k) for k in self.under}
+        self.pool: tuple[np.ndarray, ...] | None = None
+
+    def _ones(self, k: int) -> np.ndarray:
+        return np.unique(np.array([self.sizes[i] for i in self.bins[k]], np.int64))
+
+    def _twos(self, k: int) -> np.ndarray:
+        held = np.array([self.sizes[i] for i in self.bins[k]], np.int64)
+        left, right = np.triu_indices(len(held), 1)
+        return np.unique(held[left] + held[right])
+
+    def _pool(self) -> tuple[np.ndarray, ...]:
+        if self.pool is None:
+            order = sorted(self.under)
+            made = []
+            for held in (self.ones, self.twos):
+                lengths = [len(held[k]) for k in order]
+                made += [np.concatenate([held[k] for k in order]), np.repeat(np.array(order), lengths)]
+            self.pool = tuple(made)
+        return self.pool
+
+    def improve(self, at: int) -> int | None:
+        """Make the exchange that serves bin ``at`` best; the other bin, or nothing where none raises the squares."""
+        if len(self.under) < 2:
+            return None
+        mine, room = self.fill[at], self.capacity - self.fill[at]
+        ones, one_of, twos, two_of = self._pool()
+        back_ones = np.concatenate([[0], self.ones[at], self.twos[at]])  # what may go back for one item
+        best: tuple[int, int, int, int, int] | None = None  # score, bin, size out, size back, items out
+        fills = np.array(self.fill)
+        for n, (out, of, back) in enumerate(((ones, one_of, back_ones), (twos, two_of, self.ones[at])), 1):
+            if not len(out) or not len(back):
+                continue
+            delta = out[:, None] - back[None, :]
+            theirs = fills[of][:, None]
+            gain = delta * (mine - theirs + delta)  # half of what the sum of squares rises by
+            gain[(delta <= 0) | (delta > room) | (gain <= 0) | (of == at)[:, None]] = 0
+            score = gain + (delta == room) * (gain > 0) * (self.capacity**2 * 4)
+            i, j = divmod(int(score.argmax()), score.shape[1])
+            if score[i, j] > (best[0] if best else 0):
+                best = (int(score[i, j]), int(of[i]), int(out[i]), int(back[j]), n)
+        if best is None:
+            return None
+        _, other, out, back, n = best
+        given = self._items(other, out, n)
+        returned = self._items(at, back, 1 if back in self.ones[at] else 2) if back else ()
+        for group, source, target in ((given, other, at), (returned, at, other)):
+            for item in group:
+                self.bins[source].remove(item)
+                self.bins[target].append(item)
+                self.fill[source] -= self.sizes[item]
+                self.fill[target] += self.sizes[item]
+        for k in (at, other):
+            if self.bins[k] and self.fill[k] < self.capacity:
+                self.ones[k], self.twos[k] = self._ones(k), self._twos(k)
+            else:
+                self.under.discard(k)
+                self.ones.pop(k)
+                self.twos.pop(k)
+        self.pool = None
+        return other
+
+    def _items(self, k: int, size: int, n: int) -> tuple[int, ...]:
+        """One or two items of a bin with this size in all."""
+        by_size: dict[int, int] = {}
+        for item in self.bins[k]:
+            if n == 1:
+                if self.sizes[item] == size:
+                    return (item,)
+            elif size - self.sizes[item] in by_size:
+                return by_size[size - self.sizes[item]], item
+            by_size.setdefault(self.sizes[item], item)
+        raise AssertionError("no such items")
 
 
 def pack_sequences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, group_items: int = GROUP_ITEMS, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
