@@ -1,76 +1,49 @@
 """Broken prompt and response pairs (problem 3).
 
-The clauses of an answer are tagged answer, refusal, echo, foreign or unfinished by a linear-chain
-conditional random field; how much of the answer the tags cover decides whether the pair is defective and
-how. The weights in defect_crf.json come from train_defects.py.
+The clauses of an answer are tagged answer, refusal, echo, foreign or unfinished (or hollow: a placeholder or a
+frame that says nothing) by a linear-chain conditional random field; how much of the answer the tags cover
+decides whether the pair is defective and how. The field sees the clause's words and word pairs, what stands at
+the end of the last clause, how much of the clause is the problem's wording, and how well its letters fit the
+problem's language; no list of phrases decides anything. The weights in defect_crf.npz come from
+train_defects.py.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
-N_FEATURES = 14
+TAGS = ("answer", "refusal", "echo", "foreign", "unfinished", "hollow")
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, HOLLOW = range(len(TAGS))
+LANGS = ("en", "de", "fr", "es", "ru", "zh")
+BUCKETS = 1 << 14  #: hashed words, word pairs and endings
+GRAMS = 1 << 13  #: hashed letter groups of the language scores
 SLICE_ROWS = 2048
 CACHE_CLAUSES = 150_000
+CACHE_WORDS = 300_000
+SHARE = 0.6  #: of the words that an echo or a foreign language has to cover
+N_DENSE = 18
 
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
 _THINK = re.compile(r"</?think>")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,60}>|&nbsp;")
 _LIST = re.compile(r"(?m)^[ \t]*(?:\d{1,3}[.)]|[-*•])[ \t]+(?=\S)")
-_SPLIT = re.compile(r"(?<=[.!?])[\"”»)]*\s+|(?<=[。！？])|\n+")
+_SPLIT = re.compile(r"(?<=[.!?])[\"”»)]*\s+|(?<=[。！？])|(?<=[:：])\s+|\n+")
 _TOKEN = re.compile(r"[一-鿿぀-ヿ]|[^\W_一-鿿぀-ヿ]+")
 _NUMBER = re.compile(r"\d+")
 _COMMAND = re.compile(r"\\[a-zA-Z]+")
-# Placeholders and bare frames that hold no answer.
-_HOLLOW = re.compile(
-    r"(?i)^(?:[\s\W_]|n/a|na|nan|none|null|nil|todo|tbd|tba|empty|no answer|no solution|no response|missing|not available|undefined|unknown|placeholder|blank|answer pending|pending|boxed|text|final answer|the answer is|answer|solution|response|result|proof"
-    r"|antwort|lösung|ergebnis|die antwort lautet|réponse|solución|respuesta|résultat|resultado|la respuesta es|ответ|решение|答案|解答|解|答案是|keine antwort|sans réponse|sin respuesta|нет ответа|无答案|无|暂无|空)*$"
-)
-# Wordings that decline, wordings that only go with them, and wordings that state a result.
-_REFUSAL = re.compile(
-    r"(?i)\b(?:can(?:no|['’])t|cannot|unable to|not able to|won['’]?t|will not|not going to|(?:must|have to) (?:decline|refuse)|decline to|refuse to|rather not|prefer not to|not (?:be )?(?:appropriate|allowed|permitted|comfortable)|no means of|(?:my|our|the) (?:guidelines|rules|policy|policies)|not feel comfortable|outside what i am allowed)\b(?=.{0,60}\b(?:help|assist|solv|answer|comput|calculat|complet|provid|give|request|question|task|exercise|homework|problem|solution|worked|result|work on|me|do|this|that|from)|$)"
-    r"|no solution will be provided|guidelines keep me|since i['’]m unable|ask a teacher, since|outside what i am allowed"
-    r"|(?:kann|darf|möchte|werde|will) (?:ich )?(?:\w+ ){0,4}(?:nicht|keine)|nicht in der lage|muss ich (?:leider )?ablehnen|ablehnen|nicht weiterhelfen|keine lösung angeben"
-    r"|ne (?:peux|puis) pas|je préfère ne pas|dois refuser|pas en mesure|m['’]est interdit|refuse de"
-    r"|no puedo (?:ayud|resol|respond|dar|hacer)|prefiero no|debo rechazar|no me está permitido|no estoy en condiciones|me niego"
-    r"|не могу (?:помочь|решить|ответить|дать|выполнить)|вынужден[а]? отказ|не разрешено|не имею возможности|не в состоянии|предпочитаю не|отказываюсь"
-    r"|无法(?:帮助|解答|回答|提供|完成|计算|协助)|不能(?:回答|帮助|提供|解答|完成|为)|拒绝|不便|不允许|不被允许|没有办法"
-)
-_NO_REFUSAL = re.compile(r"(?i)recall|divide|negative|perfect square|be zero|misread|by heart|determined|does not occur|double check|dividir|teilen|durch null|diviser|делить|不能除|determinar|bestimm|zu wenig|not enough|insufficient|cancel|rule out|exceed|happen")
-_SOFT = re.compile(r"(?i)\b(?:i['’]m sorry|i am sorry|i apologi[sz]e|unfortunately|regretfully|thanks for the question|let me know if|anything else|another topic|consult your textbook|general study habits|language assistant|as an? (?:ai|assistant)|ask a teacher|es tut mir leid|leider|wende dich|sprachassistent|gibt es etwas anderes|je suis désolé|malheureusement|souhaitez-vous|veuillez consulter|en tant qu['’]assistant|lo siento|lamentablemente|como asistente|quieres hablar|consulta mejor)|извините|к сожалению|обратитесь|к учителю|很抱歉|对不起|请向老师")
-_ANSWER = re.compile(r"(?i)answer|result|value|therefore|thus|hence|total|boxed|####|antwort|ergebnis|lautet|somit|réponse|résultat|vaut|cherchée|respuesta|resultado|por tanto|ответ|результат|равен|следовательно|答案|结果|所以|因此|∎|q\.?e\.?d|not enough information")
-_FRAME = re.compile(r"(?i)^\W*(?:solution|answer|problem|question|the question is|you asked|we are asked the following|we are asked|task|aufgabe|lösung|die frage lautet|gefragt ist|question|on demande|la question est|solución|problema|pregunta|se pide|la pregunta es|решение|задача|вопрос|спрашивается|题目|问题|解答|解)\s*[:：.]?\W*$")
-_OPEN_END = re.compile(r"(?:\.\.\.|…|(?:\.\.\.|…)\s*[\[(<].{0,24}[\])>]|[\[(<](?:truncated|cut|max(?:imum)? (?:length|tokens)|length|\.\.\.|…)[\])>]|<\|.{0,20}|-|–|—|,|，|、|;|；|:|：|\+|=|\\|/|\(|\[|\{|<)\s*$")
-_AND_SO_ON = re.compile(r"(?i)(?:etc|usw|and so on|und so weiter|et ainsi de suite|y así sucesivamente|и так далее|等等|以此类推)[.…]*\s*$")
-_CLOSED = re.compile(r"[.!?。！？∎□■)）\]”\"»’'`*>]\s*$")
-
-# Frequent small words that tell the languages apart.
-_SMALL = {
-    "en": "the of and is are we to that this with which there it from by each what how many does has have had was were be when then next into out only for on at an let us so gives giving get find first value values because would should no need both sides here not solve compute find number sum remainder divided determine calculate equation evaluate".split(),
-    "de": "der die das und ist sind wir mit von zu den dem ein eine einen nicht auch wie viele wird sich auf für aus dass man es im sie hat wenn so nach zuerst also bei beide folgt gilt wäre hier damit werden somit ergibt dabei durch löse gleichung berechne summe zahlen bestimme finde rest".split(),
-    "fr": "le la les des et est sont nous de du un une que qui dans pour avec sur par il ne pas ce cette on au aux donc d'abord ensuite reste combien quel quelle chaque en sans ici serait deux côtés cela obtient résoudre résous équation calculer calculez somme nombres déterminer trouver".split(),
-    "es": "el los las y es son nos del una que en para con por se su al lo como más cuántas cuál cada primero entonces después ambos lados aquí sería hay tanto esto queda resulta obtenemos respuesta resuelve resolver ecuación calcula calcular suma números halla determina de un su mide tiene".split(),
-}
-_SMALL_OF: dict[str, str] = {}
-for _lang, _list in _SMALL.items():
-    for _word in _list:
-        _SMALL_OF[_word] = "" if _word in _SMALL_OF and _SMALL_OF[_word] != _lang else _lang
-_CYRILLIC, _HAN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[一-鿿]")
-
-
-_LETTERS = {"de": re.compile("[ßäöü]"), "fr": re.compile("[çèêëîôùœ]"), "es": re.compile("[¿¡ñíó]")}
+_SHAPE = re.compile(r"\$[^$]*\$|\d+")
+_RESULT = re.compile(r"=\s*(\d+)(?!.*=)", re.S)
 
 
 def tokens(text: str) -> list[str]:
@@ -78,160 +51,157 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(_COMMAND.sub(" ", text.lower()))
 
 
-def language(words: list[str], text: str, least: int = 2) -> str:
-    """Language the words speak for, or an empty string where they do not tell."""
-    votes: dict[str, float] = {}
-    if not text.isascii():
-        votes = {"ru": len(_CYRILLIC.findall(text)) / 3, "zh": len(_HAN.findall(text)) / 2, **{lang: float(bool(rx.search(text))) for lang, rx in _LETTERS.items()}}
-    for w in words:
-        lang = _SMALL_OF.get(w)
-        if lang:
-            votes[lang] = votes.get(lang, 0) + 1
-    ranked = sorted(votes.items(), key=lambda x: -x[1])
-    if not ranked or ranked[0][1] < least or len(ranked) > 1 and ranked[0][1] < 1.5 * ranked[1][1]:
-        return ""
-    return ranked[0][0]
+def bucket(name: str, of: int = BUCKETS) -> int:
+    return crc32(name.encode("utf-8", "surrogatepass")) % of
+
+
+def letter_groups(word: str) -> list[int]:
+    """Hashed groups of two and three letters of a word; of another script, the script."""
+    if word > "ʯ":
+        code = ord(word[0])
+        return [bucket("script" + ("cyrillic" if 0x400 <= code < 0x530 else "han" if 0x3400 <= code < 0xA000 else str(code >> 8)), GRAMS)]
+    held = f"^{word}$"
+    return [bucket(held[i : i + n], GRAMS) for n in (2, 3) for i in range(len(held) - n + 1)]
 
 
 class Clause(NamedTuple):
     n: int
     words: frozenset[str]
     numbers: frozenset[str]
-    n_plain: int  #: words that are no numbers
-    lang: str
-    refusal: bool
-    answer: bool
-    frame: bool
-    row: list[float]  #: the features that do not depend on the problem
+    lexical: np.ndarray  #: what the words and word pairs add to each tag
+    lang: np.ndarray  #: how the letters speak for each language
 
 
 class Problem(NamedTuple):
     words: frozenset[str]
     n: int
-    lang: str
-
-
-_CLAUSES: dict[str, Clause] = {}
-
-
-_SHAPE = re.compile(r"\$[^$]*\$|\d+")
-_CUES: dict[str, tuple[bool, bool, bool, bool, str]] = {}
-
-
-def cues_of(shape: str) -> tuple[bool, bool, bool, bool, str]:
-    """(declines, goes with declining, states a result, only frames, language): what numbers and formulas do not change."""
-    known = _CUES.get(shape)
-    if known is None:
-        refusal = bool(_REFUSAL.search(shape)) and not _NO_REFUSAL.search(shape)
-        known = refusal, bool(_SOFT.search(shape)), bool(_ANSWER.search(shape)), bool(_FRAME.match(shape)), language(tokens(shape), shape)
-        if len(_CUES) >= CACHE_CLAUSES:
-            _CUES.clear()
-        if len(shape) < 400:
-            _CUES[shape] = known
-    return known
-
-
-def clause_of(text: str) -> Clause:
-    """What can be said of a clause by itself; many recur, so a worker remembers them."""
-    known = _CLAUSES.get(text)
-    if known is None:
-        refusal, soft, answer, frame, lang = cues_of(_SHAPE.sub("0", text))
-        words = tokens(text)
-        numbers = frozenset(w for w in words if w[0].isdigit())
-        row = [1.0, refusal, soft, 0.0, 0.0, 0.0, answer and not refusal, 0.0, 0.0, 0.0, 0.0, 0.0, frame, not words]
-        known = Clause(len(words), frozenset(words), numbers, sum(not w[0].isdigit() for w in words), lang, refusal, answer, frame, row)
-        if len(_CLAUSES) >= CACHE_CLAUSES:
-            _CLAUSES.clear()
-        if len(text) < 400:
-            _CLAUSES[text] = known
-    return known
-
-
-def problem_of(text: str | None) -> Problem:
-    words = tokens(text) if text else []
-    return Problem(frozenset(words), len(words), language(words, text or "", least=1))  # a problem may be short
-
-
-def clauses(solution: str | None) -> list[str]:
-    """Clauses with content, in order; none for null, blank, placeholders and empty frames."""
-    if not solution:
-        return []
-    text = solution
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFC", text))
-    if "<" in text or "&" in text:
-        text = _TAG.sub(" ", _THINK.sub("\n", text))
-    text = text.strip()
-    if len(text) < 80 and _HOLLOW.match(_COMMAND.sub(" ", text)):
-        return []
-    return [c for c in map(str.strip, _SPLIT.split(_LIST.sub("", text))) if c]
-
-
-def unbalanced(text: str) -> bool:
-    """Does a formula, brace or code block stay open?"""
-    return text.count("$") % 2 == 1 or text.count("{") > text.count("}") or text.count("\\(") > text.count("\\)") or text.count("```") % 2 == 1
-
-
-def unfinished(last: str, clause: Clause, before: str) -> tuple[bool, bool]:
-    """(the last clause lacks its end, it breaks off inside a formula, a word cut by dots or the like)."""
-    if _AND_SO_ON.search(last):
-        return False, False
-    if unbalanced(last) or _OPEN_END.search(last):
-        return True, True
-    if _CLOSED.search(last) and not last.endswith(("''", "*'")):
-        return False, False
-    if last.rstrip().endswith(("$", "}", "\\)", "\\]")) or last.rstrip()[-1:].isdigit() or last.rstrip()[-1:] in "%°":
-        if clause.n_plain <= 1 or clause.answer or "####" in last:
-            shown = _NUMBER.findall(last)
-            done = _NUMBER.findall(before[before.rfind("=") :]) if "=" in before else []
-            cut = bool(shown and len(done) == 1 and last.rstrip()[-1:].isdigit() and done[0] != shown[-1] and done[0].startswith(shown[-1]) and clause.answer)
-            return cut, False  # a stated result or a bare formula needs no full stop
-        return True, False
-    return True, False
-
-
-def features(problem: Problem, parts: list[str]) -> list[list[float]]:
-    """One row of features for each clause."""
-    out = []
-    own, lang = problem.words, problem.lang
-    for text in parts:
-        c = clause_of(text)
-        row = c.row.copy()
-        if c.n >= 3:
-            row[3] = inside = len(c.words & own) / len(c.words)
-        else:
-            inside = 0.0
-        if not c.numbers <= own:
-            row[5] = 1.0
-        elif inside >= 0.7:
-            row[4] = 1.0
-        if c.lang and lang:
-            row[7 if c.lang != lang else 8] = 1.0
-        out.append(row)
-    open_end, hard = unfinished(parts[-1], clause_of(parts[-1]), " ".join(parts[-4:-1]))
-    out[-1][11 if hard else 9 if open_end else 10] = 1.0
-    return out
+    lang: np.ndarray
 
 
 class Field:
     """Weights of the conditional random field, and the best tags for a batch of answers."""
 
-    def __init__(self, emit: np.ndarray, move: np.ndarray):
-        self.emit, self.move = emit, move
+    def __init__(self, hashed: np.ndarray, dense: np.ndarray, move: np.ndarray, grams: np.ndarray):
+        self.hashed, self.dense, self.move, self.grams = (x.astype(np.float32) for x in (hashed, dense, move, grams))
+        self._words: dict[str, tuple[int, np.ndarray]] = {}
+        self._shapes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self._clauses: dict[str, Clause] = {}
+        self._grams_of_numbers = np.zeros(len(LANGS), np.float32)
 
     @classmethod
     @cache
     def load(cls) -> Field:
-        raw = json.loads((Path(__file__).parent / "defect_crf.json").read_text())
-        return cls(np.array(raw["emit"], np.float32), np.array(raw["move"], np.float32))
+        with np.load(Path(__file__).parent / "defect_crf.npz") as held:
+            return cls(held["hashed"], held["dense"], held["move"], held["grams"])
+
+    def word(self, word: str) -> tuple[int, np.ndarray]:
+        """Hash of a word and its language scores; a number is just a number."""
+        known = self._words.get(word)
+        if known is None:
+            if word[0].isdigit() or not word.isalpha():
+                known = bucket("#", 1 << 31), self._grams_of_numbers
+            else:
+                known = bucket(word, 1 << 31), self.grams[letter_groups(word)].mean(0)
+            if len(self._words) >= CACHE_WORDS:
+                self._words.clear()
+            if len(word) <= 64:
+                self._words[word] = known
+        return known
+
+    def lexicon_rows(self, shape: str) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words and word pairs of a clause whose numbers and formulas are blanked, and its language scores."""
+        told = [self.word(w) for w in tokens(shape)]
+        if not told:
+            return np.array([bucket("<no words>")]), self._grams_of_numbers
+        ids = np.array([1, *(t[0] for t in told), 2], np.int64)
+        pairs = (ids[:-1] * 31 + ids[1:] * 17) % (BUCKETS - 1)
+        return np.concatenate([ids[1:-1] % BUCKETS, pairs]), np.sum([t[1] for t in told], axis=0)
+
+    def clause(self, text: str) -> Clause:
+        """What can be said of a clause by itself; many recur, so a worker remembers them."""
+        known = self._clauses.get(text)
+        if known is None:
+            shape = _SHAPE.sub("0", text)
+            held = self._shapes.get(shape)
+            if held is None:
+                rows, lang = self.lexicon_rows(shape)
+                held = self.hashed[rows].sum(0) / np.sqrt(len(rows)), lang
+                if len(self._shapes) >= CACHE_CLAUSES:
+                    self._shapes.clear()
+                if len(shape) < 400:
+                    self._shapes[shape] = held
+            words = tokens(text)
+            known = Clause(len(words), frozenset(words), frozenset(w for w in words if w[0].isdigit()), *held)
+            if len(self._clauses) >= CACHE_CLAUSES:
+                self._clauses.clear()
+            if len(text) < 400:
+                self._clauses[text] = known
+        return known
+
+    def problem(self, text: str | None) -> Problem:
+        words = tokens(text) if text else []
+        return Problem(frozenset(words), len(words), np.sum([self.word(w)[1] for w in words], axis=0) if words else self._grams_of_numbers)
+
+    def features(self, problems: list[Problem], parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of numbers for each clause of all answers, what its words add to each tag, and the hashed endings of each answer."""
+        inside, fresh, told, covered, inside_all, fresh_all, ends = [], [], [], [], [], [], []
+        for problem, of in zip(problems, parts, strict=True):
+            own = problem.words
+            mine = [self.clause(p) for p in of]
+            told += mine
+            new = 0
+            for c in mine:
+                inside.append(len(c.words & own))
+                k = 0 if c.numbers <= own else len(c.numbers - own)
+                fresh.append(k)
+                new += k
+            said = frozenset().union(*[c.words for c in mine])
+            both = len(said & own)
+            covered.append(both / len(own) if own else 0.0)
+            inside_all.append(both / len(said) if said and not new else 0.0)
+            fresh_all.append(float(new > 0))
+            ends.append(ending(of, mine[-1]))
+        counts = np.array([len(of) for of in parts])
+        owner = np.repeat(np.arange(len(parts)), counts)
+        n = np.array([c.n for c in told], np.float32)
+        distinct = np.array([len(c.words) for c in told], np.float32)
+        numbered = np.array([bool(c.numbers) for c in told])
+        spoken = np.array([c.lang for c in told], np.float32)
+        within = np.array(inside, np.float32) / np.maximum(1, distinct)
+        fresh, fresh_all = np.array(fresh) > 0, np.array(fresh_all, np.float32)
+        of_problem = np.array([p.lang for p in problems], np.float32)
+        ranked = np.sort(of_problem, axis=1)
+        lang, sure = of_problem.argmax(1), ranked[:, -1] - ranked[:, -2] > 0.25
+        starts = np.cumsum(counts) - counts
+        fit = fits(spoken, lang[owner], n) * sure[owner]
+        whole = (fits(np.add.reduceat(spoken, starts), lang, np.add.reduceat(n, starts)) * sure)[owner]
+        at = np.arange(len(owner)) - starts[owner]
+        dense = np.stack(
+            [
+                np.ones(len(owner)), within, np.maximum(0, within - 0.6), within * ~fresh * (1 - fresh_all[owner]), fresh, numbered & ~fresh,
+                np.log1p(n), np.maximum(0, fit), np.maximum(0, -fit), np.maximum(0, whole), np.maximum(0, -whole),
+                at == 0, at == counts[owner] - 1, counts[owner] == 1, np.array(covered)[owner], np.array(inside_all)[owner], fresh_all[owner], distinct == 0,
+            ],
+            axis=1,
+        ).astype(np.float32)
+        return dense, np.array([c.lexical for c in told], np.float32), np.array(ends)
+
+    def score(self, dense: np.ndarray, lexical: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What each clause of all answers adds to each tag."""
+        emitted = dense @ self.dense + lexical
+        emitted[np.cumsum(counts) - 1] += self.hashed[ends].sum(1)
+        return emitted
+
+    def tag(self, problems: list[Problem], parts: list[list[str]]) -> list[np.ndarray]:
+        """The best tags of the clauses of each answer; no answer may be without clauses."""
+        if not parts:
+            return []
+        counts = np.array([len(of) for of in parts])
+        return self.decode(self.score(*self.features(problems, parts), counts), counts)
 
-    def decode(self, answers: list[list[list[float]]]) -> list[np.ndarray]:
+    def decode(self, emitted: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         """Viterbi over all answers at once, the longest first, so that no step works on padding."""
-        if not answers:
-            return []
-        counts = np.array([len(a) for a in answers])
         offset = np.cumsum(counts) - counts
-        emitted = np.array([row for a in answers for row in a], np.float32) @ self.emit
         order = np.argsort(-counts, kind="stable")
         lengths, first = counts[order], offset[order]
         steps = int(lengths[0])
@@ -253,40 +223,87 @@ class Field:
         return np.split(tags, offset[1:])
 
 
-def judge(problem: Problem, parts: list[str], tags: np.ndarray) -> str | None:
+def fits(scores: np.ndarray, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How much better a row's language fits than the best other one, per root of the words, within -3 and 3."""
+    at = np.arange(len(scores))
+    others = scores.copy()
+    others[at, lang] = -np.inf
+    return np.clip((scores[at, lang] - others.max(1)) / np.sqrt(np.maximum(1, n)), -3, 3)
+
+
+def clauses(solution: str | None) -> list[str]:
+    """Clauses in order, without markup; none for null, blank and texts of invisible characters."""
+    if not solution:
+        return []
+    text = solution
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFC", text))
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", _THINK.sub("\n", text))
+    return [c for c in map(str.strip, _SPLIT.split(_LIST.sub("", text.strip()))) if c]
+
+
+def ending(parts: list[str], clause: Clause) -> list[int]:
+    """Hashed descriptions of how the last clause ends: its last characters, its last words, what is left open."""
+    last = parts[-1]
+    tail = last.rstrip("*_ \t")[-6:]
+    final = tail[-1:]
+    kind = "letter" if final.isalpha() else "digit" if final.isdigit() else final
+    words = _TOKEN.findall(last.lower())[-2:]
+    told = [("#" if w[:1].isdigit() else w) for w in ["", "", *words][-2:]]
+    plain = clause.n - len(clause.numbers)
+    size = "0" if plain <= 0 else "1" if plain == 1 else "2-3" if plain <= 3 else "4+"
+    opened = (last.count("$") % 2, last.count("{") > last.count("}"), last.count("(") > last.count(")"), last.count("[") > last.count("]"), last.count("```") % 2)
+    before = " ".join(parts[-4:-1])
+    result, shown = _RESULT.search(before), _NUMBER.findall(last)
+    prefix = bool(result and shown and kind == "digit" and result[1] != shown[-1] and result[1].startswith(shown[-1]))
+    only = len(parts) == 1
+    trailing = re.sub(r"\w+", "w", tail)
+    frame = "=" in last or "####" in last or "boxed" in last
+    return [bucket(f"E|{x}") for x in (f"k{kind}", f"k{kind}|{size}", f"k{kind}|o{any(opened)}", f"o{opened}", f"t{trailing}", f"k{kind}|w{told[1]}", f"k{kind}|w{told[0]}", f"p{prefix}", f"k{kind}|{size}|{only}|{frame}")]
+
+
+def judge(problem: Problem, told: list[Clause], tags: np.ndarray) -> str | None:
     """The defect that the tags' coverage of the words amounts to, if any."""
-    if not parts:
-        return "empty"
-    told = [clause_of(p) for p in parts]
-    worked = any(not c.numbers <= problem.words for c in told)
-    if worked and not tags.any():
-        return None
-    cover = dict.fromkeys(TAGS, 0)
+    cover = [0] * len(TAGS)
+    last, tail = HOLLOW, 0  # the last tag that says something, and the words after the last refusal
     for c, tag in zip(told, tags.tolist(), strict=True):
-        if not c.frame:
-            cover[TAGS[tag]] += c.n
-    total = sum(cover.values())
-    if TAGS[tags[-1]] == "refusal" and any(c.refusal for c in told):
-        return "refusal"  # whatever was worked out before, no answer follows
-    if problem.n and not worked:
-        repeated = frozenset().union(*(c.words for c in told)) & problem.words
-        echoed = sum(c.n for c in told if not c.frame and len(c.words & problem.words) >= 0.7 * len(c.words))
-        if len(repeated) >= max(3, 0.4 * len(problem.words)) and max(cover["echo"], echoed) >= 0.6 * total:
-            return "copy"
-    spoken = sum(c.n for c in told if c.lang)
-    if problem.lang and cover["foreign"] and sum(c.n for c in told if c.lang and c.lang != problem.lang) >= 0.6 * spoken:
+        cover[tag] += c.n
+        tail = 0 if tag == REFUSAL else tail + c.n * (tag != HOLLOW)
+        if tag == UNFINISHED or tag != HOLLOW and c.n:
+            last = tag
+    total = sum(cover) - cover[HOLLOW]
+    if not total and last != UNFINISHED:
+        return "empty"
+    if cover[REFUSAL] > tail:
+        return "refusal"  # whatever was worked out before, little or nothing follows
+    if problem.n and cover[ECHO] >= SHARE * total and last in (ECHO, UNFINISHED) and not cover[ANSWER] > cover[ECHO] / 4:
+        return "copy"
+    if cover[FOREIGN] and cover[FOREIGN] >= SHARE * (total - cover[ECHO]):
         return "language"
-    return "truncated" if TAGS[tags[-1]] == "unfinished" else None
+    return "truncated" if last == UNFINISHED else None
+
+
+def verdicts(field: Field, problems: list[str | None], solutions: list[str | None]) -> list[str | None]:
+    """The defect of each pair, or nothing."""
+    known: dict[str | None, Problem] = {}
+    of = [known.get(p) or known.setdefault(p, field.problem(p)) for p in problems]
+    parts = [clauses(s) for s in solutions]
+    filled = [k for k, p in enumerate(parts) if p]
+    out: list[str | None] = ["empty"] * len(parts)
+    for k, tags in zip(filled, field.tag([of[k] for k in filled], [parts[k] for k in filled]), strict=True):
+        out[k] = judge(of[k], [field.clause(p) for p in parts[k]], tags)
+    return out
 
 
 def find_defects(pairs: DataFrame) -> DataFrame:
     """pair_id and defect of each defective pair, once.
 
-    A null, blank or placeholder solution is empty. A null or blank problem is no defect and excludes copy
-    and language. A pair delivered again is judged once (its texts are the same); rows without pair_id come
-    out with a null one. Short answers, formulas alone and answers that restate the problem first are no
-    defects. Columns besides pair_id, problem and solution are ignored; an empty table has no defects.
-    Narrow but for a last exchange of the found rows.
+    A null or blank solution, or one whose clauses are all hollow, is empty. A null or blank problem is no
+    defect and excludes copy and language. A pair delivered again is judged once (its texts are the same);
+    rows without pair_id come out with a null one. Short answers, formulas alone and answers that restate the
+    problem first are no defects. Columns besides pair_id, problem and solution are ignored; an empty table
+    has no defects. Narrow but for a last exchange of the found rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +311,7 @@ def find_defects(pairs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in (whole.slice(i, SLICE_ROWS) for i in range(0, whole.num_rows, SLICE_ROWS)):
                 ids, problems, solutions = (c.to_pylist() for c in batch.columns)
-                known: dict[str | None, Problem] = {}
-                of = [known.get(p) or known.setdefault(p, problem_of(p)) for p in problems]
-                parts = [clauses(s) for s in solutions]
-                filled = [k for k, p in enumerate(parts) if p]
-                tags = dict(zip(filled, field.decode([features(of[k], parts[k]) for k in filled]), strict=True))
-                rows = [(i, d) for k, i in enumerate(ids) if (d := judge(of[k], parts[k], tags.get(k)))]
+                rows = [(i, d) for i, d in zip(ids, verdicts(field, problems, solutions), strict=True) if d]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["pair_id", "defect"])
 
     return pairs.select(F.col("pair_id").cast("bigint").alias("pair_id"), "problem", "solution").mapInArrow(run, "pair_id bigint, defect string").distinct()
