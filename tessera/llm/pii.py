@@ -1,8 +1,9 @@
 """Personal information in free text: typed spans and the text with placeholders (problem 7).
 
-Patterns propose spans, check digits confirm some of them, and words nearby raise or lower the score; a
-span is kept from a score of 1 on. Persons' names start from family names: those of a lexicon, and words
-built from a beginning and an ending that several of its names share.
+Patterns propose spans, check digits confirm them, and words nearby raise or lower the score; a span is kept from
+a score of 1 on. Names of persons are proposed as sequences of capitalised words, initials and particles in any
+script (and of words in any case where a lexicon has one); the lexicon, titles, words like "written by", other
+personal data beside them and how ordinary their words are add up to the score.
 """
 
 from __future__ import annotations
@@ -90,7 +91,14 @@ _ID_LABEL = re.compile(
 )
 _ID_BETWEEN = re.compile(r"[ \t ]*(?:(?:no|nr|number|num|n)\b\.?|n[°º]|#)?[ \t ]*(?:[:：=|(（#,，]|is\b|ist\b|est\b|es\b|是|为|was\b|lautet\b)?[ \t ]*[(]?", re.I)
 _ID_NUMBER = re.compile(r"(?:[A-Z]{1,3}[ \-]?)?\d(?:[  .\-/]?[A-Z]?\d)*(?:[  \-]?[A-Z](?![A-Za-z]))?")
-_ID_BARE = re.compile(r"(?<![\w.\-])(?:(?P<nino>[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D])|(?P<nir>\d[  ]\d\d[  ]\d\d[  ]\d\d[  ]\d\d[A-Z\d]?[  ]\d{3}[  ]\d{3}[  ]\d\d)|(?P<dni>\d{8}-?[A-Z])|(?P<card>[A-Z]\d{3}[A-Z]\d{3}[A-Z]\d))(?![\w\-])")
+_ID_BARE = re.compile(
+    r"(?<![\w.\-+$^/=])(?:(?P<nino>[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D])|(?P<nir>[12][  ]?\d\d[  ]?\d\d[  ]?\d\d[  ]?\d{3}[  ]?\d{3}[  ]?\d\d|\d[  ]\d\d[  ]\d\d[  ]\d\d[  ]\d{3}[  ]\d{3}[  ]\d\d|\d[  ]\d\d[  ]\d\d[  ]\d\d[  ]\d\d[A-Z\d]?[  ]\d{3}[  ]\d{3}[  ]\d\d)"
+    r"|(?P<dni>\d{8}-?[A-Z])|(?P<card>[A-Z]\d{3}[A-Z]\d{3}[A-Z]\d)|(?P<tax>\d{2} ?\d{3} ?\d{3} ?\d{3})|(?P<nine>\d{3}[ \-]?\d{3}[ \-]?\d{3}))(?![\w\-^]|[.,]\d)"
+)
+# How sure each form alone makes it; what is under 1 needs its check digit or words nearby.
+_ID_SCORE = {"nino": 1.0, "nir": 0.4, "dni": 0.4, "card": 0.8, "tax": 0.15, "nine": 0.1}
+_ID_WEAK = re.compile(r"(?<![A-Za-z])(?:ID|Id|id|I\.D\.|ident(?:ification|ity|ifier)?|Ident(?:ification|ity|ifikation|ifier)?|identité|identidad|[Pp]ersonal number|[Pp]ersonennummer|[Kk]ennnummer|[Kk]ennziffer|[Cc]édula|удостоверени[ея]|证件号?码?)(?![A-Za-z])[.]?")
+_ID_PERSON = re.compile(r"(?i)(?<![a-z])(?:born|citizen|resident|holder|patient|employee|applicant|insured|taxpayer|member|student|pupil|bürger|versicherte|geboren|inhaber|née?|titulaire|assurée?|citoyen|ciudadan[oa]|nacid[oa]|titular|гражданин|родил[а-я]+|出生|公民)(?![a-z])")
 
 _S = r"[ .\-   ‑]"
 _PHONE = re.compile(
@@ -105,9 +113,10 @@ _PHONE = re.compile(
     rf")(?![\w/]|[\-.]\d|{_S}\d)"
 )
 # How sure each shape alone makes it, and words nearby that speak for or against a telephone number.
-_PHONE_SCORE = {"world": 1.0, "ten": 0.7, "eleven": 0.6, "pairs": 0.7, "national": 0.6, "nine": 0.6, "local": 0.2}
-_PHONE_FOR = re.compile(r"(?i)(?<![a-z])(?:tel|tél|telefon|telephone|téléphone|teléfono|phone|fax|mobile|mobil|cell|handy|portable|móvil|call|ring|text me|whatsapp|hotline|help ?desk|office|line|answers at|ruf|ruft|anruf|nachhilfe unter|llam[ae]|appelez|dictated over|reach me|number is|nummer|numéro|número)(?![a-z])|电话|手机|致电|телефон|тел\.|звоните|справок")
-_PHONE_AGAINST = re.compile(r"(?i)pattern|interval|range|order no|exercise|version|isbn|issn|doi|compute|calculator|steps|sequence|file key|equation|remainder|sum of|≈|approx")
+_PHONE_SCORE = {"world": 1.0, "ten": 0.7, "eleven": 0.6, "pairs": 0.7, "national": 0.65, "nine": 0.6, "local": 0.2}
+_PHONE_FOR = re.compile(r"(?i)(?<![a-z])(?:tel|tél|telefon|telefonisch|telephone|téléphone|teléfono|phone|fax|mobile|mobil|cell|handy|portable|móvil|call|ring|dial|text|sms|whatsapp|hotline|help ?desk|office|line|contact|erreichbar|unter|ruf|ruft|anruf|anrufen|rückfragen|llam[ae]|llamar|appelez|appeler|joindre|reach|number|nummer|numéro|número)(?![a-z])|电话|手机|致电|拨打|联系|телефон|тел\.|звоните|справок|номер")
+_COUNTED = re.compile(r"[ \t][^\W\d_]{3,}")  # a bare number before a noun counts something
+_PHONE_AGAINST = re.compile(r"(?i)pattern|interval|range|order|exercise|version|isbn|issn|doi|compute|calculator|sequence|key|code|equation|remainder|sum of|digits|≈|approx")
 
 _EN_TYPE = r"(?:Street|Road|Avenue|Lane|Drive|Close|Way|Crescent|Terrace|Court|Place|Square|Boulevard|Grove|Gardens|Hill|Row|Walk|Mews|Parkway|Highway|St|Rd|Ave|Ln|Dr|Cl|Cres|Ter|Ct|Pl|Sq|Blvd)"
 _W = r"[A-ZÀ-ÖØ-ÞŁ][\w'’]*"
@@ -141,8 +150,7 @@ _TRIGGERS = {
 
 # --- names ----------------------------------------------------------------------------------------
 
-# Particles inside names, titles before them, and words that stand before a family name without being a given name.
-_PARTICLE = r"(?:van der|van den|van de|von der|von|van|della|dalla|del|de la|de los|de|di|da|dos|du|des|der|den|ter|ten|zu|zur|zum|el|al|bin|ibn|la|le|af|av)"
+# Titles before names, and words that stand before a family name without being a given name.
 _TITLES = set("dr prof mr mrs ms miss sir mme mlle herr frau sra sr srta don doña dra professor profesor profesora professeur lehrer lehrerin teacher tutor docteur доктор проф м".split())
 _NOT_GIVEN = set(
     "the a an and or of by to from with for at in on as is are was were this that these those see use using both like since when if but not no also per via under over about between "
@@ -154,27 +162,48 @@ _NOT_GIVEN = set(
 )
 # What follows a family name that stands for a result of mathematics.
 _RESULT = re.compile(r"(?i)(?:['’]s)?[  ]+(?:lemma|theorem|inequality|conjecture|identity|formula|criterion|method|rule|constant|number|matrix|series|transform|function|algorithm|ungleichung|satz|théorème|inégalité|teorema|desigualdad)\b")
-_NAME_CUE = re.compile(r"(?i)(?:name|by|from|tutor|contact|author|maintainer|regards|grüße|saludo|cordialement|thanks to|danke an|merci à|gracias a|graded by|homework of|pupil|prof\.|dr\.|mr\.|mrs\.|ms\.|frau|herr|mme|from:|\(c\)|place \||профессор|感谢)[:,.]?[\s|]*$")
-_WORD = r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_])|̀-ͯ)*"
-_BEFORE = re.compile(rf"(?<![\w@.\-+])(?P<given>{_WORD}(?:-{_WORD})?|[^\W\d_]\.)(?P<rest>(?:{_GAP}{{1,2}}[^\W\d_]\.(?:-?[^\W\d_]\.)?)*(?:{_GAP}{{1,2}}(?i:{_PARTICLE}))*){_GAP}{{1,2}}$")
-_INITIAL = re.compile(r"[^\W\d_]\.")
-_FIRST = re.compile(rf"(?<![\w@.\-])({_WORD}){_GAP}{{1,2}}$")
-_AFTER = re.compile(rf"(?P<comma>,)?{_GAP}{{1,2}}(?P<given>{_WORD}(?:-{_WORD})?|[^\W\d_]\.)(?:{_GAP}{{1,2}}[^\W\d_]\.)*")
+# Words after which a person is named, and titles; the first group is sure, the second is not.
+_NAME_CUE = re.compile(
+    r"(?i)(?<![a-z])(?:(?P<sure>(?:written|posted|asked|graded|checked|submitted|prepared|solved|answered|reviewed|edited|translated|created|compiled|taught|contributed|signed|marked|corrected|drawn|sent|given) by|(?:verfasst|geschrieben|bearbeitet|gestellt|eingereicht|korrigiert|übersetzt) von|(?:écrit|posé|rédigé|corrigé|proposé) par|(?:escrito|corregido|enviado|resuelto|propuesto) por"
+    r"|(?:full |first |last |family )?names?|vorname|nachname|nom|nombre|authors?|autor(?:in)?|auteur|autora|maintainers?|contact|kontakt|tutor|teacher|lehrer(?:in)?|student|pupil|schüler(?:in)?|élève|alumn[oa]|instructor|editor|(?:from|to|cc|attn)(?=[ \t]?[:：])|homework of|thanks(?: to)?|thank you|danke(?: an)?|merci(?: à)?|gracias(?: a)?|regards|sincerely|grüße(?:n)?|grüßen|cordialement|saludos?|hochachtungsvoll|signed|gezeichnet|copyright|dear|\\\\author)|(?P<weak>by|von|par|por|with|mit|avec|con|und|and|et|y|&|hello|hi|hallo|bonjour|hola))"
+    r"[ \t]?[:：,.]?[{(]?[ \t]*(?:\r?\n[ \t]*)?[|]?[ \t]*$|(?:\(c\)|©)[ \t]*(?:\d{4}[ \t,]*)?$|(?:автор|имя|от|спасибо|谢谢|作者|姓名|老师|教授|感谢)[:：,，]?[ \t]*$"
+)
+_TITLE = re.compile(r"(?i)(?<![a-z])(?:dr|prof|mrs?|ms|miss|sir|mme|mlle|herrn?|frau|sra?|srta|don|doña|dra|professor(?:in)?|profesora?|professeur|docteur|доктор|проф|м)\.?[ \t   ]{1,2}$|(?:教授|老师|先生|女士)$")
+# Ends of what introduces persons, in lower case; a capital after one of them is looked at.
+_CUES = "by|von|par|por|name|vorname|nachname|nom|nombre|names|author|authors|autor|autorin|auteur|autora|maintainer|contact|kontakt|tutor|teacher|lehrer|lehrerin|student|pupil|élève|alumno|alumna|instructor|editor|from|to|cc|attn|of|danke an|merci à|gracias a|regards|sincerely|gruß|grüße|grüßen|cordialement|saludo|saludos|signed|copyright|dear|hello|dr|prof|mr|mrs|ms|miss|sir|mme|mlle|herr|herrn|frau|sr|sra|srta|doña|dra|professor|professorin|profesora|profesor|professeur|docteur|автор|спасибо|danke|merci|gracias|thanks|thank you|доктор|проф|谢谢|作者|姓名|教授|感谢|老师".split("|")
+_AFTER_CUE = re.compile(r"(?:\.?[ \t   ]{1,2}|[ \t]?[:：,.]?[{(]?[ \t]*(?:\r?\n[ \t]*)?[|]?[ \t]*)(?=[^\W\d_])")
+_JOINED = re.compile(r",?[ \t\n]{1,2}(?:and|und|et|y|e|&|и|和)[ \t\n]{1,2}(?=[^\W\d_])")
+_NEXT = re.compile(r"-?[^\W\d_]*[ \t\u00a0\u202f\u2009]{1,2}([^\W\d_]+)")
+_WORD = r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]{2})|[\u0300-\u036f])*"
+_PIECE = re.compile(rf"(?P<initial>[^\W\d_]\.(?:-?[^\W\d_]\.)*)|(?P<word>{_WORD}(?:-{_WORD})*)|(?P<comma>,)")
+_PARTICLES = frozenset("van de der den von della dalla del la los di da dos du des ter ten zu zur zum el al bin ibn le af av y".split())
+_SPACE = frozenset(" \t\u00a0\u202f\u2009")
+_REACH = 70  #: characters of its line on either side of an anchor in which a name is looked for
+
+
+class Piece(NamedTuple):
+    start: int
+    end: int
+    text: str
+    low: str
+    kind: str
 
 
 class NameFinder:
-    """Finds full names around family names; made from the lexicon, once per worker."""
+    """Proposes and scores names of persons; made from the lexicon and a public vocabulary, once per worker.
 
-    def __init__(self, lexicon: Iterable[tuple[str | None, str | None]], ordinary: frozenset[str] = frozenset()):
+    ``ranks`` is a byte-pair vocabulary by frequency: a word that has a token of its own in lower case, sooner than
+    with a capital, is an ordinary word.
+    """
+
+    def __init__(self, lexicon: Iterable[tuple[str | None, str | None]], ranks: dict[bytes, int] | None = None):
         rows = [(w.strip().lower(), k) for w, k in lexicon if w and w.strip()]
         self.families = {w for w, k in rows if k == "family"}
         self.given = {w for w, k in rows if k == "given"}
-        starts, ends = self._parts(self.families)
-        self.starts, self.ends = starts, ends
-        # Names that are ordinary words too need a cue beside them.
-        self.plain = {w for w in self.families if w in ordinary}
+        self.ranks = ranks or {}
+        self._ordinary: dict[str, float] = {}
         triggers: dict[str, set[str]] = defaultdict(set)
-        for kind, keys in (_TRIGGERS | {"name": self.families | ends}).items():
+        for kind, keys in (_TRIGGERS | {"name": self.families | self.given, "cue": set(_CUES)}).items():
             for key in keys:
                 triggers[key].add(kind)
         self.automaton = ahocorasick.Automaton()
@@ -182,24 +211,6 @@ class NameFinder:
             self.automaton.add_word(key, (len(key), tuple(sorted(kinds))))
         self.automaton.make_automaton()
 
-    @staticmethod
-    def _parts(families: set[str]) -> tuple[set[str], set[str]]:
-        """Beginnings that two names share and endings that three share, each as long as its names allow."""
-        made = []
-        for cut, inner, least in ((lambda w, n: w[:n], slice(None, -1), 2), (lambda w, n: w[-n:], slice(1, None), 3)):
-            shared = Counter(cut(w, n) for w in families for n in range(2, len(w) - 1))
-            longer: dict[str, int] = defaultdict(int)
-            for part, n in shared.items():
-                longer[part[inner]] = max(longer[part[inner]], n)
-            made.append({p for p, n in shared.items() if n >= least and longer[p] < n})
-        return made[0], {e for e in made[1] if len(e) >= 3}
-
-    def _built(self, word: str) -> bool:
-        return any(word[:k] in self.starts and word[k:] in self.ends for k in range(2, len(word) - 2))
-
-    def is_family(self, word: str) -> bool:
-        return word in self.families or self._built(word)
-
     def scan(self, text: str) -> tuple[str, dict[str, list[tuple[int, int]]]]:
         """The text in lower case, of the same length, and the places of each pattern's triggers."""
         low = text.lower()
@@ -211,91 +222,209 @@ class NameFinder:
                 places[kind].append((last + 1 - length, last + 1))
         return low, places
 
-    def find(self, text: str, low: str, places: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[Span]:
-        done = 0
-        ends: dict[int, int] = {}
-        for start, end in places:
-            if end < len(low) and (low[end].isalpha() or low[end] == "_"):
-                continue
-            while start and low[start - 1].isalpha():
-                start -= 1
-            ends[end] = start
-        for end, start in ends.items():
-            if start < done or not self.is_family(low[start:end]) or any(a < end and start < b for a, b in taken):
-                continue
-            if start and low[start - 1] in "@._+/\\–" or low[start - 1 : start] == "-" and not self._left_of_hyphen(low, start):
+    def ordinary(self, word: str) -> float:
+        """1 for an ordinary word, -0.5 for one that the vocabulary rather knows with a capital, 0 where it tells nothing."""
+        known = self._ordinary.get(word)
+        if known is None:
+            small, large = (self.ranks.get(f" {w}".encode()) for w in (word, word[:1].upper() + word[1:]))
+            known = 0.0 if small is None and large is None else -0.5 if small is None or large is not None and large < small else 1.0
+            if len(self._ordinary) > 200_000:
+                self._ordinary.clear()
+            self._ordinary[word] = known
+        return known
+
+    def _may_start(self, text: str, low: str, start: int, end: int) -> bool:
+        """Is this lexicon word a whole word beside what could be the rest of a name?"""
+        if start and low[start - 1].isalpha() or end < len(low) and low[end].isalpha():
+            return False
+        if text[start - 2 : start] == ", " or text[end : end + 1] == ",":
+            return True
+        word = low[start:end]
+        after = _NEXT.match(text, end)
+        if after:
+            other = after.group(1)
+            if other[0].isupper() or other.lower() in _PARTICLES or other.lower() in self.families or other.lower() in self.given:
+                return True
+            if text[start].islower() and self.ordinary(word) <= 0 and self.ordinary(other.lower()) <= 0 and other.lower() not in _NOT_GIVEN:
+                return True
+        return word in self.families and bool(start) and text[start - 1] in _SPACE
+
+    def find(self, text: str, low: str, places: list[tuple[int, int]], cues: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[Span]:
+        """Names that score 1 or more, the best first where they overlap."""
+        anchors = {start for start, end in places if self._may_start(text, low, start, end)}
+        for start, end in cues:
+            if start and low[start - 1].isalpha() and low[start] < "一" or end < len(low) and low[end].isalpha() and low[end] < "一":
                 continue
-            if low[start - 1 : start] == "-":
-                continue  # the second half of a double name; its first half has been handled
-            stop = end
-            if text[end : end + 1] == "-":  # a double name
-                tail = re.compile(_WORD).match(text, end + 1)
-                if tail and (self.is_family(tail.group().lower()) or tail.group()[:1].isupper()):
-                    stop = tail.end()
-            follows = text[stop : stop + 1]
-            if follows in ("@", "–", "_", "＠") or follows == "." and text[stop + 1 : stop + 2].isalnum() or _RESULT.match(text, stop) or text[stop : stop + 2] in ("'s", "’s") and _RESULT.match(text, stop):
+            m = _AFTER_CUE.match(text, end)
+            if m and m.end() < len(text) and text[m.end()].lower() != text[m.end()]:
+                anchors.add(m.end())
+        for start, end in taken:  # a name may stand on the line of other personal data or on the one before
+            line = text.rfind("\n", 0, start) + 1
+            for at in (line, text.rfind("\n", 0, max(0, line - 1)) + 1):
+                m = _PIECE.search(text, at, at + 12)
+                if m:
+                    anchors.add(m.start())
+            m = _PIECE.search(text, end, min(len(text), end + 6))
+            if m:
+                anchors.add(m.start())
+        made: dict[tuple[int, int], float] = {}
+        seen: set[tuple[int, int]] = set()
+        queue = sorted(anchors)
+        for at in queue:  # grows by names that are joined to others
+            before = len(made)
+            self._propose(text, low, at, taken, made, seen)
+            for _, end in list(made)[before:]:
+                m = _JOINED.match(text, end)
+                if m and m.end() not in anchors:
+                    anchors.add(m.end())
+                    queue.append(m.end())
+        kept: list[tuple[int, int]] = []
+        for (start, end), score in sorted(made.items(), key=lambda x: (-x[1], x[0][0] - x[0][1], x[0])):
+            if all(end <= a or b <= start for a, b in kept):
+                kept.append((start, end))
+                yield Span(start, end, "name", score)
+
+    def _propose(self, text: str, low: str, at: int, taken: list[tuple[int, int]], made: dict[tuple[int, int], float], seen: set[tuple[int, int]]) -> None:
+        begin = max(text.rfind("\n", 0, at) + 1, at - _REACH)
+        stop = text.find("\n", at)
+        stop = min(len(text) if stop < 0 else stop, at + _REACH)
+        pieces = [Piece(m.start(), m.end(), m.group(), low[m.start() : m.end()], m.lastgroup) for m in _PIECE.finditer(text, begin, stop)]
+        i = next((k for k, p in enumerate(pieces) if p.start <= at < p.end), None)
+        if i is None:
+            return
+
+        def joined(k: int) -> bool:
+            """Is piece k + 1 right after piece k?"""
+            between = text[pieces[k].end : pieces[k + 1].start]
+            return pieces[k + 1].kind == "comma" and not between or 1 <= len(between) <= 2 and set(between) <= _SPACE
+
+        for g in range(max(0, i - 5), i + 1):
+            if pieces[g].kind == "comma":
                 continue
-            found = self._around(text, low, start, stop, low[start:end] in self.plain)
-            if found:
-                done = found.end
-                yield found
-
-    def _left_of_hyphen(self, low: str, start: int) -> bool:
-        left = start - 1
-        while left and low[left - 1].isalpha():
-            left -= 1
-        return self.is_family(low[left : start - 1])
-
-    def _around(self, text: str, low: str, start: int, stop: int, plain: bool) -> Span | None:
-        family = text[start:stop]
-        before = _BEFORE.search(text, max(0, start - 60), start)
-        if before:
-            given, begin = before.group("given"), before.start()
-            score = self._given_score(given, family, plain)
-            initial = _INITIAL.search(before.group("rest"))
-            if not score and initial:  # the word before the initials is none of the name
-                given, begin = initial.group(), before.start("rest") + initial.start()
-                score = self._given_score(given, family, plain)
-            elif score:
-                first = _FIRST.search(text, max(0, begin - 24), begin)
-                if first and first.group(1).lower() in self.given and first.group(1)[0].isupper() == given[0].isupper():
-                    begin = first.start(1)  # two given names
-            if score and plain and not _NAME_CUE.search(text, max(0, begin - 24), begin):
-                score = 0.0  # ordinary words that also occur as names
-            if score >= 1:
-                return Span(begin, stop, "name", score)
-        after = _AFTER.match(text, stop)
-        if after and not plain:
-            given = after.group("given")
-            score = self._given_score(given, family, plain)
-            known = given.lower() in self.given
-            next_word = re.compile(rf"{_GAP}{{1,2}}({_WORD})").match(text, after.end())
-            if next_word and self.is_family(next_word.group(1).lower()):
-                score = 0.0  # the given name belongs to the next family name
-            if not after.group("comma") and not known or after.group("comma") and not known and not given.endswith(".") and not self._likely_reversed(text, low, start, after.end()):
-                score = 0.0
-            if given.endswith(".") and not after.group("comma"):
-                score = 0.0
-            if score >= 1:
-                return Span(start, after.end(), "name", score)
-        return None
-
-    def _likely_reversed(self, text: str, low: str, start: int, end: int) -> bool:
-        """An unknown word after "Family," is a given name if the name fills its line or field, or a cue stands before it."""
-        left = text[max(0, start - 24) : start]
-        alone = not left.strip(" \t|-*•") or left.rstrip(" \t|-*•").endswith(("\n", ":", "："))
-        closes = text[end : end + 2].strip(" \t\r")[:1] in ("", "\n", "|", "<", "(", ",")
-        return bool(_NAME_CUE.search(left)) or alone and closes
-
-    def _given_score(self, given: str, family: str, plain: bool) -> float:
-        bare = given.rstrip(".").lower()
-        if given.endswith("."):
-            return 1.0 if len(bare) == 1 and given[0].isupper() == family[0].isupper() else 0.0
-        if bare in _NOT_GIVEN or bare in _TITLES or len(bare) < 2:
+            for first, end, given, family, order in self._sequences(pieces, g, joined):
+                if not first <= i <= end:
+                    continue
+                span = pieces[first].start, pieces[end].end
+                if span in seen:
+                    continue
+                seen.add(span)
+                score = self._score(text, pieces, first, end, given, family, order, taken, made)
+                if score >= 1:
+                    made[span] = score
+
+    def _sequences(self, pieces: list[Piece], g: int, joined) -> Iterator[tuple[int, int, int, int, str]]:
+        """(first, last, given, family, order) of the names that may start at piece g."""
+        n = len(pieces)
+        j = g
+        while j + 1 < n and joined(j) and (pieces[j + 1].kind == "initial" or pieces[j + 1].low in _PARTICLES):
+            j += 1
+        if j + 1 < n and joined(j) and pieces[j + 1].kind == "word" and pieces[g].low not in _PARTICLES:
+            yield g, j + 1, g, j + 1, "forward"
+            k = j + 1
+            if k + 1 < n and joined(k) and pieces[k + 1].kind == "word" and not {pieces[k].low, pieces[k + 1].low} & (self.families | self.given):
+                yield g, k + 1, g, k, "double"  # two family names, where something introduces the person
+            if pieces[k].low in self.given and pieces[g].kind == "word":  # two given names
+                while k + 1 < n and joined(k) and (pieces[k + 1].kind == "initial" or pieces[k + 1].low in _PARTICLES):
+                    k += 1
+                if k + 1 < n and joined(k) and pieces[k + 1].kind == "word":
+                    yield g, k + 1, g, k + 1, "forward"
+        if pieces[g].kind != "word":
+            return
+        f, order = g, ""
+        if g + 2 < n and pieces[g + 1].kind == "comma" and joined(g) and joined(g + 1):
+            f, order = g + 2, "comma"
+        elif g + 1 < n and joined(g) and pieces[g].low in self.families and pieces[g + 1].low in self.given:
+            f, order = g + 1, "reverse"
+        if order and pieces[f].kind != "comma":
+            end = f
+            while end + 1 < n and joined(end) and pieces[end + 1].kind == "initial":
+                end += 1
+            yield g, end, f, g, order
+
+    def _score(self, text: str, pieces: list[Piece], first: int, end: int, g: int, f: int, order: str, taken: list[tuple[int, int]], made: dict[tuple[int, int], float]) -> float:
+        given, family = pieces[g], pieces[f]
+        start, stop = pieces[first].start, pieces[end].end
+        if any(a < stop and start < b for a, b in taken):
             return 0.0
-        if bare in self.given:
-            return 1.5
-        return 1.0 if given[0].isupper() == family[0].isupper() and not self.is_family(bare) else 0.0
+        follows = text[stop : stop + 1]
+        if follows in ("@", "–", "_", "＠") or follows == "." and text[stop + 1 : stop + 2].isalnum() or _RESULT.match(text, stop) or start and text[start - 1] in "@._+/–-":
+            return 0.0
+        if start and text[start - 1] == "\\":
+            return 0.0  # a command
+        large = given.text[0].isupper(), family.text[0].isupper()
+        caseless = family.text[0].lower() == family.text[0].upper()
+        if large[0] != large[1] and not caseless:
+            return 0.0
+        score = 0.4 if all(large) else 0.0
+        parts = family.low.split("-")
+        known_given = given.low in self.given or any(p in self.given for p in given.low.split("-"))
+        known_family = family.low in self.families or any(p in self.families for p in parts)
+        if given.kind == "initial":
+            score += 0.35 if large[0] else -1.0
+        else:
+            score += self._of(given, known_given) - 0.6 * (given.low in self.families and not known_given)
+            if not known_given and self.ordinary(given.low) < 0:
+                score += 0.2
+        score += self._of(family, known_family)
+        if not known_family:
+            score += 0.2 if self.ordinary(family.low) <= 0 else 0.0
+            score -= 0.4 * (family.low in self.given)
+        score += 0.15 * min(2, sum(pieces[k].kind == "initial" for k in range(first, end + 1) if k != g))
+        known = known_given + known_family
+        if all(large) and family.text.isupper() and len(family.text) > 2 and self._shouted(text, start, stop):
+            score -= 0.4  # in a text in capitals they say nothing
+        context = self._context(text, start, stop, taken, made)
+        if order == "double":
+            last = pieces[end]
+            score += 0.05 if context >= 0.5 and last.text[0].isupper() and self.ordinary(last.low) <= 0 and last.low not in _NOT_GIVEN else -2.0
+        if order == "comma" and known < 2 and context < 0.5:
+            score -= 0.5
+        if order == "forward" and not all(large) and not known:
+            score -= 0.5
+        if context < 0.5:  # ordinary words that also occur as names
+            score -= 0.4 * (known_given and self.ordinary(given.low) > 0) + 0.7 * (known_family and self.ordinary(family.low) > 0)
+        return score + context
+
+    @staticmethod
+    def _shouted(text: str, start: int, stop: int) -> bool:
+        """Is a word beside it in capitals too?"""
+        around = re.findall(r"([^\W\d_]{3,})[ \t]{1,2}$", text[max(0, start - 16) : start]) + re.findall(r"^[ \t]{1,2}([^\W\d_]{3,})", text[stop : stop + 16])
+        return any(w.isupper() for w in around)
+
+    def _of(self, piece: Piece, known: bool) -> float:
+        """What a word adds for being in the lexicon, or takes away for being an ordinary word."""
+        if piece.low in _NOT_GIVEN or piece.low in _TITLES or len(piece.low) < 2:
+            return -2.0
+        if known:
+            return 0.6
+        return -0.6 if self.ordinary(piece.low) > 0 else 0.0
+
+    def _context(self, text: str, start: int, stop: int, taken: list[tuple[int, int]], made: dict[tuple[int, int], float]) -> float:
+        """What stands around: a title, a word that introduces persons, other personal data, another name."""
+        left = text[max(0, start - 40) : start]
+        if _TITLE.search(left):
+            return 0.7
+        cue = _NAME_CUE.search(left)
+        best = 0.0
+        if cue:
+            weak = cue.group("weak")
+            best = 0.6 if not weak else 0.1
+            if weak and any(start - len(weak) - 4 <= b <= start for _, b in made):
+                best = 0.5  # joined to another name
+        line = text.rfind("\n", 0, start) + 1
+        after = text.find("\n", stop)
+        after = len(text) if after < 0 else after
+        lead = text[line:start].strip(" \t\r|*-•>")
+        next_line = text.find("\n", after + 1)
+        next_line = len(text) if next_line < 0 else next_line
+        for a, b in taken:
+            if 0 <= a - stop <= 12 and "\n" not in text[stop:a] or 0 <= start - b <= 6 and "\n" not in text[b:start]:
+                best = max(best, 0.5)  # beside it
+            elif not lead and (not text[stop:after].strip(" \t\r|,.;") and after < a <= next_line and not text[after:a].strip() or line and b < start and not text[b:line].strip(" .\t\r\n") and not text[stop:after].strip(" \t\r|,.;")):
+                best = max(best, 0.5)  # a line of its own above or below it
+        if not lead and not text[stop:after].strip(" \t\r|,.;"):
+            best = max(best, 0.3)  # all of its line
+        return best
 
 
 # --- all kinds ------------------------------------------------------------------------------------
@@ -311,13 +440,24 @@ def _emails(text: str) -> Iterator[Span]:
 
 
 def _checked(number: str) -> bool:
-    """Does one of the check digits hold?"""
-    bare = re.sub(r"[^0-9A-Za-z]", "", number)
-    digits = re.sub(r"\D", "", bare)
-    return mod97_key(bare) if len(bare) == 15 and bare.isdigit() else letter_23(bare) if len(bare) == 9 and bare[:8].isdigit() and bare[8].isalpha() else mod11_10(digits) if len(digits) == 11 else len(digits) == 9 and luhn(digits)
+    """Does a check digit of the number's length and form hold?"""
+    bare = re.sub(r"[^0-9A-Za-z]", "", number).upper()
+    if len(bare) == 15 and bare.isdigit():
+        return mod97_key(bare)
+    if len(bare) == 9 and bare[:8].isdigit() and bare[8].isalpha():
+        return letter_23(bare)
+    if len(bare) == 11 and bare.isdigit():
+        return mod11_10(bare)
+    return len(bare) in (9, 10) and bare.isdigit() and luhn(bare)
 
 
 def _ids(text: str, places: list[tuple[int, int]]) -> Iterator[Span]:
+    """Numbers after a label, and numbers of a known form: the label, the check digit and words nearby make the score."""
+
+    def near(start: int) -> float:
+        left = text[max(0, start - 60) : start]
+        return 0.3 * bool(_ID_PERSON.search(left)) - 0.8 * bool(_PHONE_AGAINST.search(left[-40:]))
+
     labelled = set()
     for start, end in places:
         at = _ID_LABEL.search(text, max(0, start - 30), end + 30)
@@ -327,12 +467,21 @@ def _ids(text: str, places: list[tuple[int, int]]) -> Iterator[Span]:
                 m = _ID_LABEL.match(text, at.start())  # not cut by the window's end
                 n = m and _ID_NUMBER.match(text, _ID_BETWEEN.match(text, m.end()).end())
                 if n and 6 <= sum(c.isalnum() for c in n.group()) <= 18 and sum(c.isdigit() for c in n.group()) >= 5:
-                    yield Span(n.start(), n.end(), "id_number", 1.5 + _checked(n.group()))
+                    yield Span(n.start(), n.end(), "id_number", 1.2 + 0.7 * _checked(n.group()))
             at = _ID_LABEL.search(text, at.start() + 1, end + 30)
+    for m in _ID_WEAK.finditer(text):  # a label that other numbers have too
+        n = _ID_NUMBER.match(text, _ID_BETWEEN.match(text, m.end()).end())
+        if n and 9 <= sum(c.isalnum() for c in n.group()) <= 18:
+            yield from _sure(Span(n.start(), n.end(), "id_number", 0.5 + 0.7 * _checked(n.group()) + near(m.start())))
     for m in _ID_BARE.finditer(text):
-        score = {"nino": 1.0, "nir": 0.4, "dni": 0.4, "card": 0.8}[m.lastgroup] + 0.7 * _checked(m.group())
-        if score >= 1:
-            yield Span(m.start(), m.end(), "id_number", score)
+        score = _ID_SCORE[m.lastgroup] + near(m.start())
+        if score >= 0.3:
+            yield from _sure(Span(m.start(), m.end(), "id_number", score + 0.7 * _checked(m.group())))
+
+
+def _sure(span: Span) -> Iterator[Span]:
+    if span.score >= 1:
+        yield span
 
 
 def _phones(text: str) -> Iterator[Span]:
@@ -352,7 +501,9 @@ def _phones(text: str) -> Iterator[Span]:
         elif left.endswith("(") and right.startswith(")"):
             score += 0.5
         else:
-            score += 0.35
+            score += 0.35 - 0.3 * (shape in ("nine", "eleven") and bool(_COUNTED.match(right)))
+        if shape == "nine" and re.search(r"\d[ \u00a0\u202f]$", left):
+            score -= 1.0  # the end of a longer number
         if _PHONE_AGAINST.search(left):
             score -= 2.0
         if score >= 1:
@@ -399,7 +550,7 @@ def find_spans(text: str, names: NameFinder) -> list[Span]:
         for span in sorted(found, key=lambda s: (s.start - s.end, s.start)):
             if free(span):
                 kept.append(span)
-    for span in names.find(text, low, places.get("name", []), [(k.start, k.end) for k in kept]):
+    for span in names.find(text, low, places.get("name", []), places.get("cue", []), [(k.start, k.end) for k in kept]):
         if free(span):
             kept.append(span)
     return sorted(kept)
@@ -417,10 +568,10 @@ def redact(text: str, spans: list[Span]) -> str:
 _MADE: dict[int, tuple[object, NameFinder]] = {}
 
 
-def _finder(shared: tuple[list, frozenset]) -> NameFinder:
+def _finder(shared: tuple[list, bytes]) -> NameFinder:
     if id(shared) not in _MADE:
         _MADE.clear()
-        _MADE[id(shared)] = (shared, NameFinder(*shared))
+        _MADE[id(shared)] = (shared, NameFinder(shared[0], bpe.read_ranks(shared[1])))
     return _MADE[id(shared)][1]
 
 
@@ -429,16 +580,15 @@ def detect(documents: DataFrame, lexicon: DataFrame, redacted: bool = True, voca
 
     ``spans`` is an array of kind, found_text, start, score in order of the text. A null text stays null and has
     no spans, as has an empty one; repeated rows each come out; whole texts are searched, however long; other
-    columns are ignored. An empty lexicon finds no names. Narrow: no shuffle. The lexicon is a reference list
-    of at most LEXICON_ROWS rows, checked, and goes to every worker. A name of the lexicon that is also an
-    ordinary word (a token of its own in a public vocabulary) counts only beside a cue.
+    columns are ignored. An empty lexicon leaves titles, introducing words and other personal data to tell names.
+    Narrow: no shuffle. The lexicon is a reference list of at most LEXICON_ROWS rows, checked, and goes to every
+    worker. A name of the lexicon that is also an ordinary word (a token of its own in a public vocabulary)
+    counts only with such words beside it.
     """
     rows = lexicon.select("word", "word_kind").limit(LEXICON_ROWS + 1).collect()
     if len(rows) > LEXICON_ROWS:
         raise ValueError(f"the lexicon has over {LEXICON_ROWS} rows")
-    ranks = bpe.read_ranks(bpe.vocabulary_bytes(vocabulary))
-    ordinary = frozenset(w for w in (r.word.strip().lower() for r in rows if r.word) if f" {w}".encode() in ranks)
-    shared = documents.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], ordinary))
+    shared = documents.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], bpe.vocabulary_bytes(vocabulary)))  # the vocabulary at most 64 MB, checked
     spans_type = "array<struct<kind:string,found_text:string,start:int,score:double>>"
     arrow_spans = pa.list_(pa.struct([("kind", pa.string()), ("found_text", pa.string()), ("start", pa.int32()), ("score", pa.float64())]))
 
