@@ -97,6 +97,7 @@ _ID_BARE = re.compile(
 )
 # How sure each form alone makes it; what is under 1 needs its check digit or words nearby.
 _ID_SCORE = {"nino": 1.0, "nir": 0.4, "dni": 0.4, "card": 0.8, "tax": 0.15, "nine": 0.1}
+_LONG = re.compile(r"\d(?:[ \u00a0\u202f\-]?[0-9A-Z]){5,}")  # a run of digits, letters between
 _ID_WEAK = re.compile(r"(?<![A-Za-z])(?:ID|Id|id|I\.D\.|ident(?:ification|ity|ifier)?|Ident(?:ification|ity|ifikation|ifier)?|identité|identidad|[Pp]ersonal number|[Pp]ersonennummer|[Kk]ennnummer|[Kk]ennziffer|[Cc]édula|удостоверени[ея]|证件号?码?)(?![A-Za-z])[.]?")
 _ID_PERSON = re.compile(r"(?i)(?<![a-z])(?:born|citizen|resident|holder|patient|employee|applicant|insured|taxpayer|member|student|pupil|bürger|versicherte|geboren|inhaber|née?|titulaire|assurée?|citoyen|ciudadan[oa]|nacid[oa]|titular|гражданин|родил[а-я]+|出生|公民)(?![a-z])")
 
@@ -112,6 +113,7 @@ _PHONE = re.compile(
     rf"|(?P<local>[2-9]\d\d-\d{{4}})"
     rf")(?![\w/]|[\-.]\d|{_S}\d)"
 )
+_DIALLED = re.compile(rf"[+(\d][{_S[1:-1]}()/\d]{{6,}}")  # where a telephone number may stand
 # How sure each shape alone makes it, and words nearby that speak for or against a telephone number.
 _PHONE_SCORE = {"world": 1.0, "ten": 0.7, "eleven": 0.6, "pairs": 0.7, "national": 0.65, "nine": 0.6, "local": 0.2}
 _PHONE_FOR = re.compile(r"(?i)(?<![a-z])(?:tel|tél|telefon|telefonisch|telephone|téléphone|teléfono|phone|fax|mobile|mobil|cell|handy|portable|móvil|call|ring|dial|text|sms|whatsapp|hotline|help ?desk|office|line|contact|erreichbar|unter|ruf|ruft|anruf|anrufen|rückfragen|llam[ae]|llamar|appelez|appeler|joindre|reach|number|nummer|numéro|número)(?![a-z])|电话|手机|致电|拨打|联系|телефон|тел\.|звоните|справок|номер")
@@ -145,6 +147,7 @@ _TRIGGERS = {
     "fr": [f" {x}" for x in "rue|avenue|av.|boulevard|bd|impasse|chemin|place|allée|allee|quai|route|cours|passage|ruelle|sentier|square".split("|")],
     "de": "straße|strasse|str.|gasse|weg|platz|allee|damm|ufer|ring|steig|pfad".split("|"),
     "es": "calle|c/|avda|avenida|plaza|paseo|camino|ronda|travesía|cuesta".split("|"),
+    "am": ["am ", "am\u00a0", "an der", "an den", "auf de", "unter den", "hinter de", "zum ", "zur ", "zum\u00a0", "zur\u00a0"],
     "box": "box|postfach|postale|bp|b.p|apartado|apdo|casilla|а/я".split("|"),
 }
 
@@ -469,14 +472,18 @@ def _ids(text: str, places: list[tuple[int, int]]) -> Iterator[Span]:
                 if n and 6 <= sum(c.isalnum() for c in n.group()) <= 18 and sum(c.isdigit() for c in n.group()) >= 5:
                     yield Span(n.start(), n.end(), "id_number", 1.2 + 0.7 * _checked(n.group()))
             at = _ID_LABEL.search(text, at.start() + 1, end + 30)
-    for m in _ID_WEAK.finditer(text):  # a label that other numbers have too
-        n = _ID_NUMBER.match(text, _ID_BETWEEN.match(text, m.end()).end())
-        if n and 9 <= sum(c.isalnum() for c in n.group()) <= 18:
-            yield from _sure(Span(n.start(), n.end(), "id_number", 0.5 + 0.7 * _checked(n.group()) + near(m.start())))
-    for m in _ID_BARE.finditer(text):
-        score = _ID_SCORE[m.lastgroup] + near(m.start())
-        if score >= 0.3:
-            yield from _sure(Span(m.start(), m.end(), "id_number", score + 0.7 * _checked(m.group())))
+    for run in _LONG.finditer(text):  # the forms below stand in or around such a run
+        begin, stop = max(0, run.start() - 3), min(len(text), run.end() + 3)
+        weak = None
+        for weak in _ID_WEAK.finditer(text, max(0, begin - 24), run.start()):
+            pass
+        n = weak and _ID_NUMBER.match(text, _ID_BETWEEN.match(text, weak.end()).end())
+        if n and n.end() > run.start() and 9 <= sum(c.isalnum() for c in n.group()) <= 18:  # after a label that other numbers have too
+            yield from _sure(Span(n.start(), n.end(), "id_number", 0.5 + 0.7 * _checked(n.group()) + near(weak.start())))
+        for m in _ID_BARE.finditer(text, begin, stop):
+            score = _ID_SCORE[m.lastgroup] + near(m.start())
+            if score >= 0.3:
+                yield from _sure(Span(m.start(), m.end(), "id_number", score + 0.7 * _checked(m.group())))
 
 
 def _sure(span: Span) -> Iterator[Span]:
@@ -485,7 +492,7 @@ def _sure(span: Span) -> Iterator[Span]:
 
 
 def _phones(text: str) -> Iterator[Span]:
-    for m in _PHONE.finditer(text):
+    for m in (m for run in _DIALLED.finditer(text) for m in _PHONE.finditer(text, run.start(), min(len(text), run.end() + 3))):
         shape, digits = m.lastgroup, sum(c.isdigit() for c in m.group())
         if shape == "national" and not 9 <= digits <= 12 or not m.group().isascii() and not all(c.isascii() or c in "   ‑" for c in m.group()):
             continue
@@ -533,8 +540,9 @@ def _addresses(text: str, low: str, places: dict[str, list[tuple[int, int]]]) ->
         yield Span(m.start(), m.end(), "address", 1.2)
     for m in near(_BOX, "box", 16, 24):
         yield Span(m.start(), m.end(), "address", 1.3)
-    for m in _DE_AT.finditer(text):
-        if m.group("am").lower() not in _NO_STREET:
+    for start, _ in places.get("am", ()):
+        m = _DE_AT.match(text, start)
+        if m and m.group("am").lower() not in _NO_STREET:
             yield Span(m.start(), m.end(), "address", 1.2)
 
 
