@@ -6,6 +6,8 @@ as white space, and (?d) keeps the dot from stopping at other line ends than the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ WS = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 BOXED = r"\\boxed\{([^}]+)\}"
 NUMBER = r"-?[0-9]+\.?[0-9]*"
 HASHES = r"(?dm)####[\s]*(.+?)$"
-ANSWER_IS = r"(?d)[Tt]he (?:final )?answer is[:\s]*(.+?)(?:\.(?:\s|$)|\n|$)"
+ANSWER_IS = r"(?d)[Tt]he (?:final )?answer is[:\s]*(.+?)[\.\n]"
+FRACTION = r"\\?frac\{([^}]+)\}\{([^}]+)\}"
 THINK = r"(?s)<think>(.*?)</think>(.*)"
 CALCULATOR = r"<<[^>]*>>"
 
@@ -53,33 +56,108 @@ def last_number(col: Column) -> Column:
     return last_match(col, NUMBER, 0)
 
 
+def bind(col: Column, step: Callable[[Column], Column]) -> Column:
+    """step(col) with ``col`` evaluated once: bound to a lambda variable, which the optimizer does not replace by its expression."""
+    return F.element_at(F.transform(F.array(col), step), 1)
+
+
 def answer(col: Column) -> Column:
-    """Answer of a solution: boxed, else after ####, else after "the answer is", else the last number; blank is null.
+    """Answer of a solution: boxed, else after ####, else after "the answer is" up to a full stop or line end, else the last number; blank is null.
 
     The first rule that matches decides, also where its content is blank.
     """
-    found = F.when(col.rlike(BOXED), strip(boxed(col))).when(col.rlike(HASHES), strip(first_match(col, HASHES))).when(col.rlike(ANSWER_IS), strip(first_match(col, ANSWER_IS))).otherwise(last_number(col))
-    return F.nullif(found, F.lit(""))
+    found = bind(col, lambda t: F.coalesce(strip(last_match(t, BOXED)), strip(F.try_element_at(F.regexp_extract_all(t, F.lit(HASHES), F.lit(1)), F.lit(1))), strip(F.try_element_at(F.regexp_extract_all(t, F.lit(ANSWER_IS), F.lit(1)), F.lit(1))), last_match(t, NUMBER, 0)))
+    return bind(found, lambda a: F.nullif(a, F.lit("")))
+
+
+def _number_form(value: Column) -> Column:
+    """A finite number as a string, an integral one without its point; null otherwise."""
+    plain = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), plain)
 
 
 def normal_answer(col: Column) -> Column:
     """Form in which equal answers are equal strings.
 
-    A numeric fraction becomes its value to six places, an integral number loses its point, currency signs,
-    commas, backslashes and spaces go; whatever is no number is lower case.
+    A fraction of two numbers (\\frac or a/b) becomes its value to six places, an integral number loses its
+    point, currency signs, commas, backslashes and white space go; whatever is no number is lower case. Each
+    step is bound once, so that the whole stays small however it is nested.
     """
-    fraction = r"^-?[0-9]+/-?[0-9]+$"
-    bare = F.regexp_replace(F.regexp_replace(strip(col), r"\\frac\{(-?[0-9]+)\}\{(-?[0-9]+)\}", "$1/$2"), rf"[$\\,]|{WS}", "")
-    top, bottom = (F.split_part(bare, F.lit("/"), F.lit(k)).try_cast("double") for k in (1, 2))
-    value = F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), bare.try_cast("double")).when(bare.rlike(fraction) & (bottom != 0), F.round(top / bottom, 6))
-    plain = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
-    return F.coalesce(plain, F.lower(bare))
+    decimal = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+    def ratio(top: Column, bottom: Column) -> Column:
+        return F.when(top.rlike(decimal) & bottom.rlike(decimal) & (bottom.try_cast("double") != 0), F.round(top.try_cast("double") / bottom.try_cast("double"), 6))
+
+    def plain(bare: Column) -> Column:
+        value = F.when(bare.rlike(decimal), bare.try_cast("double")).when(bare.rlike(r"^-?[0-9]+/-?[0-9]+$"), ratio(F.split_part(bare, F.lit("/"), F.lit(1)), F.split_part(bare, F.lit("/"), F.lit(2))))
+        return F.coalesce(bind(value, _number_form), F.lower(bare))
+
+    def form(text: Column) -> Column:
+        fraction = bind(F.when(text.rlike(FRACTION), ratio(strip(F.regexp_extract(text, FRACTION, 1)), strip(F.regexp_extract(text, FRACTION, 2)))), _number_form)
+        return F.coalesce(fraction, bind(F.regexp_replace(text, rf"[$\\,]|{WS}", ""), plain))
+
+    return bind(col, form)
 
 
 def ensure_boxed(col: Column) -> Column:
     """The text with a boxed answer put after it where it has none, taken from ####, "the answer is" or the last number."""
-    found = F.coalesce(first_match(col, HASHES), first_match(col, ANSWER_IS), last_number(col))
-    return F.when(col.rlike(BOXED) | found.isNull(), col).otherwise(F.concat(col, F.lit("\n\nThe answer is \\boxed{"), strip(found), F.lit("}")))
+
+    def boxed_in(t: Column) -> Column:
+        found = F.coalesce(first_match(t, HASHES), first_match(t, ANSWER_IS), last_number(t))
+        return F.when(F.contains(t, F.lit("\\boxed{")), t).otherwise(F.coalesce(bind(found, lambda a: F.concat(t, F.lit("\n\nThe answer is \\boxed{"), strip(a), F.lit("}"))), t))
+
+    return bind(col, boxed_in)
+
+
+def box_last_number(col: Column) -> Column:
+    """The text with its last number boxed after it, in a sentence with a full stop, where it has no boxed answer; the simpler form of ensure_boxed."""
+    return bind(col, lambda t: F.when(F.contains(t, F.lit("\\boxed{")), t).otherwise(F.coalesce(bind(last_number(t), lambda n: F.concat(t, F.lit("\n\nThe answer is \\boxed{"), n, F.lit("}."))), t)))
+
+
+def level_number(col: Column) -> Column:
+    """5 of "Level 5"; null where no such label is."""
+    return F.regexp_extract(col, r"^\s*Level ([0-9]+)\s*$", 1).try_cast("int")
+
+
+def whole_number(col: Column) -> Column:
+    """An answer such as "12.0" as a whole number, cut towards zero; null where it is no number."""
+    return col.try_cast("double").cast("bigint").cast("string")
+
+
+def item_id(name: Column, position: Column) -> Column:
+    """Made-up id of an item: its file or data set and its position in four digits or more."""
+    return F.concat(name, F.lit("_"), F.when(position < 10_000, F.lpad(position.cast("string"), 4, "0")).otherwise(position.cast("string")))
+
+
+def eval_prompt(problem: Column) -> Column:
+    """The instruction that evaluated models are given, around the problem."""
+    # Fixed value: the wording of the instruction.
+    return F.concat(F.lit("Solve the following math problem step by step. Put your final answer in \\boxed{}.\n\nProblem: "), problem, F.lit("\n\nSolution:"))
+
+
+def as_document(problem: Column, solution: Column) -> Column:
+    """A pair as one text for pretraining."""
+    return F.concat(F.lit("Problem: "), problem, F.lit("\n\nSolution: "), solution)
+
+
+def strip_fence(col: Column) -> Column:
+    """The content of a text that is one fenced block, else the text, stripped."""
+    return strip(F.regexp_replace(strip(col), r"^```[A-Za-z]*[\s]*|[\s]*```$", ""))
+
+
+def experiment_id(col: Column) -> Column:
+    """Id of an experiment from the path of its adapter: leading slashes, the checkpoint folder and "sft-" go."""
+    return F.regexp_replace(F.regexp_replace(col, r"^/+", ""), "checkpoints/|sft-", "")
+
+
+def code_points(col: Column) -> Column:
+    """Code points of a text as ids: the tokenizer that needs no vocabulary. Null has none."""
+    return F.transform(F.filter(F.split(F.coalesce(col, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def with_end(ids: Column, end: int = 50_256) -> Column:
+    """Ids with the end-of-text token after them."""
+    return F.concat(ids, F.array(F.lit(end)))
 
 
 def clean_answer(col: Column) -> Column:

@@ -1,14 +1,20 @@
-"""Leakage of evaluation items by exact match and by containment of the normal form."""
+"""Leakage of evaluation items by exact match, by containment of the normal form, and by similar word shingles."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import neardup
+from tessera.plans.session import spread
 
-SEED_WORDS = 8
-BROADCAST_ITEMS = 200_000
+BLOCK_BYTES = 32 << 20  #: item text that a worker is sent at a time; more items are more blocks
 
 
 def _items(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -16,35 +22,87 @@ def _items(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def exact_matches(items: DataFrame, key: str, text: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
-    """Items whose text equals some corpus text in normal form: one row per item with ``leaked``."""
-    known = corpus.filter(~X.blank(F.col(corpus_text))).select(X.normal_form(F.col(corpus_text)).alias("item_text")).distinct().withColumn("hit", F.lit(True))
-    return _items(items, key, text).join(known, "item_text", "left").select("item", F.coalesce("hit", F.lit(False)).alias("leaked"))
+    """Items whose text equals some corpus text in normal form: one row per item with ``leaked``.
+
+    Both sides are compared by a 128-bit hash, so that no text is shuffled.
+    """
+    digest = F.md5(F.col("t").cast("binary"))
+    known = corpus.filter(~X.blank(F.col(corpus_text))).select(X.normal_form(F.col(corpus_text)).alias("t")).select(digest.alias("digest")).distinct().withColumn("hit", F.lit(True))
+    named = _items(items, key, text).select("item", F.md5(F.col("item_text").cast("binary")).alias("digest"))
+    return named.join(known, "digest", "left").select("item", F.coalesce("hit", F.lit(False)).alias("leaked"))
+
+
+_MADE: dict[int, tuple[object, ahocorasick.Automaton]] = {}
+
+
+def _automaton(held: list[tuple[object, str]]) -> ahocorasick.Automaton:
+    """The automaton of a block's texts, one per Python worker; a text carries all items that have it."""
+    if id(held) not in _MADE:
+        _MADE.clear()
+        of: dict[str, list] = {}
+        for item, text in held:
+            of.setdefault(text, []).append(item)
+        made = ahocorasick.Automaton()
+        for text, names in of.items():
+            made.add_word(text, tuple(names))
+        made.make_automaton()
+        _MADE[id(held)] = (held, made)
+    return _MADE[id(held)][1]
 
 
 def containments(items: DataFrame, key: str, text: str, corpus: DataFrame, corpus_key: str, corpus_text: str) -> DataFrame:
     """(item, record) wherever the item's normal form stands inside the record's, each pair once.
 
-    An item's seed are SEED_WORDS words from its second on (the first may be the end of a longer word of the
-    record); the records' word windows are matched with the seeds on their hash, and only the matches are
-    searched. Items too short for that are searched in every record, which is a broadcast of the
-    few such items. The items are broadcast up to BROADCAST_ITEMS, else the match is a shuffled join.
+    The items, long and short alike, form an Aho-Corasick automaton that reads each record once; the time does not
+    grow with the items. They go to the workers in blocks of about BLOCK_BYTES of text, and the corpus is read once
+    per block and never shuffled. Null and blank texts match nothing; equal items each come out.
+    """
+    named = _items(items, key, text)
+    total = named.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-total // BLOCK_BYTES))
+    records = spread(corpus.select(F.col(corpus_key).alias("record"), F.col(corpus_text).alias("t"))).filter(~X.blank(F.col("t"))).select("record", X.normal_form(F.col("t")).alias("t"))
+    kinds = named.schema["item"].dataType.simpleString(), records.schema["record"].dataType.simpleString()
+    item_type = pa.int64() if kinds[0] == "bigint" else pa.int32() if kinds[0] == "int" else pa.string()
+    found = []
+    for k in range(n_blocks):
+        block = named.filter(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == k).collect()
+        shared = items.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = shared.value
+                automaton = _automaton(held)
+                rows, names = [], []
+                if held:
+                    for i, t in enumerate(batch.column(1).to_pylist()):
+                        for name in {n for _, here in automaton.iter(t) for n in here}:
+                            rows.append(i)
+                            names.append(name)
+                yield pa.RecordBatch.from_arrays([pa.array(names, item_type), batch.column(0).take(pa.array(rows, pa.int64()))], names=["item", "record"])
+
+        found.append(records.mapInArrow(run, f"item {kinds[0]}, record {kinds[1]}"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def similar_items(items: DataFrame, key: str, text: str, corpus: DataFrame, corpus_key: str, corpus_text: str, least: float = 0.9, n: int = 5) -> DataFrame:
+    """(item, record, similarity) of items and records whose word shingles have a Jaccard similarity of ``least`` or more.
+
+    Exact by the same keys as near duplicates; each side's equal shingle sets are one class until the end.
     """
-    named = _items(items, key, text).withColumn("w", F.split("item_text", " "))
-    long = named.filter(F.size("w") >= SEED_WORDS + 2).withColumn("seed", F.xxhash64(F.concat_ws(" ", F.slice("w", 2, SEED_WORDS)))).drop("w")
-    short = named.filter(F.size("w") < SEED_WORDS + 2).drop("w")
-    few = named.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
-    small = F.broadcast if few else (lambda df: df)
-    records = corpus.filter(~X.blank(F.col(corpus_text))).select(F.col(corpus_key).alias("record"), X.normal_form(F.col(corpus_text)).alias("record_text"))
-    # Windows travel without the text, which would be copied for each of them; the few matches fetch it again.
-    windows = records.select("record", F.explode(X.window_hashes(F.split("record_text", " "), SEED_WORDS)).alias("seed"))
-    matches = windows.join(small(long.select("item", "seed")), "seed").select("item", "record").distinct()
-    hits = matches.join(records, "record").join(small(long.select("item", "item_text")), "item").filter(F.contains("record_text", "item_text")).select("item", "record")
-    rest = records.join(small(short), F.contains("record_text", "item_text")).select("item", "record")
-    return hits.unionByName(rest).distinct()
+    left, right = (neardup.shingle_sets(df.select(F.col(k).cast("string").alias("k"), F.col(c).alias("t")), "k", "t", n) for df, k, c in ((items, key, text), (corpus, corpus_key, corpus_text)))
+    return neardup.similar(left, right, least).select(F.col("left_id").alias("item"), F.col("right_id").alias("record"), "similarity")
 
 
 def leak_report(items: DataFrame, key: str, by: str, leaked: DataFrame) -> DataFrame:
-    """Items, leaked items and rate of each data set."""
+    """Items, leaked items, rate and the sorted ids of the leaked ones of each data set."""
     named = items.select(F.col(key).alias("item"), F.lower(F.trim(F.col(by))).alias(by)).distinct()
     flags = named.join(leaked.select("item").distinct().withColumn("hit", F.lit(1)), "item", "left")
     return flags.groupBy(by).agg(F.count(F.lit(1)).alias("n_items"), F.count("hit").alias("n_leaked"), (F.count("hit") / F.count(F.lit(1))).alias("rate"))
+
+
+def leak_totals(items: DataFrame, key: str, by: str, leaked: DataFrame) -> DataFrame:
+    """The report with a row for all data sets together (``by`` is null there and ``total`` true) and the sorted ids of the leaked items."""
+    named = items.filter(F.col(by).isNotNull()).select(F.col(key).alias("item"), F.lower(F.trim(F.col(by))).alias(by)).distinct()
+    flags = named.join(leaked.select("item").distinct().withColumn("hit", F.lit(1)), "item", "left")
+    ids = F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("hit").isNotNull(), F.col("item")))))
+    return flags.rollup(by).agg((F.grouping(by) == 1).alias("total"), F.count(F.lit(1)).alias("n_items"), F.count("hit").alias("n_leaked"), ids.alias("items"))

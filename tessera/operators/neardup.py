@@ -1,44 +1,188 @@
-"""Near-duplicate texts by word shingles: exact Jaccard classes without candidate caps."""
+"""Near-duplicate texts by word shingles: exact Jaccard links between classes of equal sets, without candidate caps.
+
+Candidates come from signatures of parts. Two sets with Jaccard similarity s or more differ in at most
+(1 - s) / (1 + s) of the sum of their sizes; cut by hash into more parts than that, they agree in some whole part.
+Sizes fall into bands, and each set signs with the parts of its own band and of the next one, so that any two sets
+whose sizes allow the similarity meet under the same cut. A signature is a hash of several shingles, so a shingle that
+many texts share makes no hot key; what meets is almost always what is linked.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.plans.session import cut_lineage
+from tessera.plans.session import spread, written
+
+SIDE = 256  #: sets on either side of a task's comparison; a larger meeting is split into blocks of that size
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
+
+
+def mixed(x: np.ndarray, k: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX[k]
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_hashes(words: list[str], known: dict[str, int], n: int) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles; fewer words are one shingle."""
+    ids = np.array([known[w] for w in words], np.uint64)
+    if len(ids) < n:
+        ids = np.concatenate([ids, np.zeros(n - len(ids), np.uint64)])
+    out = np.zeros(len(ids) - n + 1, np.uint64)
+    for k in range(n):
+        out = mixed(out + ids[k : len(ids) - n + 1 + k], 0) + np.uint64(k)
+    return np.unique(out)
+
+
+class _Words(dict):
+    """64-bit hashes of words, remembered by a worker."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = made = int(pd.util.hash_array(np.array([word], object))[0])
+        return made
+
+
+_WORDS = _Words()
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
-    """(key, set) with the sorted distinct hashes of the n-word shingles; a shorter text is one shingle, a blank one has none."""
-    w = F.filter(F.split(X.normal_form(F.col(text)), " "), lambda x: x != "")
-    rows = df.filter(F.col(key).isNotNull() & ~X.blank(F.col(text))).select(F.col(key).alias("id"), w.alias("w"))
-    return rows.select("id", F.array_sort(X.window_hashes(F.col("w"), n)).alias("set"))
+    """(id, set, digest, size): the distinct shingle hashes packed as bytes, and a 128-bit digest that equal sets share.
+
+    A text shorter than ``n`` words is one shingle; null and blank texts and null keys are left out.
+    """
+    rows = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter(F.col("id").isNotNull() & ~X.blank(F.col("t"))).select("id", X.normal_form(F.col("t")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                sets = [shingle_hashes(t.split(" "), _WORDS, n) for t in batch.column(1).to_pylist()]
+                with np.errstate(over="ignore"):  # sums wrap around
+                    digests = [f"{int(mixed(s, 1).sum(dtype=np.uint64)):016x}{int(mixed(s, 2).sum(dtype=np.uint64)):016x}" for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(digests), pa.array([len(s) for s in sets], pa.int32())], names=["id", "set", "digest", "size"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, set binary, digest string, size int")
+
+
+@cache
+def band_of(size: int, least: float) -> int:
+    """Band i holds the sizes from least**-i to under least**-(i+1); sizes that allow the similarity are at most one band apart."""
+    i = int(math.log(size) / -math.log(least))
+    while size < bounds(i, least)[0]:
+        i -= 1
+    while size > bounds(i, least)[1]:
+        i += 1
+    return i
+
+
+@cache
+def bounds(i: int, least: float) -> tuple[int, int]:
+    """Smallest and largest size of a band, in whole numbers such that every size is in exactly one."""
+    low = 1
+    for _ in range(i):
+        low = int(low / least + 1e-9) + 1
+    return low, int(low / least + 1e-9)
+
+
+@cache
+def cut_of(lower: int, least: float) -> tuple[int, int]:
+    """(parts, spare) of a cut: one part more than two sets of the band and the next can differ in, and spare ones for empty parts."""
+    differ = int((1 - least) / (1 + least) * (bounds(lower, least)[1] + bounds(lower + 1, least)[1]) + 1e-9)
+    spare = 2 + differ // 8
+    return differ + 1 + spare, spare
+
+
+def signatures(held: np.ndarray, least: float) -> list[int]:
+    """Signatures of a set: the hash of each of its parts, under the cut of its own band and of the one below.
+
+    Two similar sets agree in one part more than there are spare ones. A part that is empty in both agrees too,
+    which says nothing; so empty parts are left out as long as a set has no more of them than there are spare ones
+    (then some full part agrees), and only the few sets with more sign with them as well.
+    """
+    band = band_of(len(held), least)
+    out = []
+    first, second = mixed(held, 1), mixed(held, 2)
+    for lower in {max(0, band - 1), band}:  # a pair meets under the cut of its lower band
+        parts, spare = cut_of(lower, least)
+        part = (second % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        which = part[order][starts]
+        sums = np.zeros(parts, np.uint64)
+        sums[which] = np.add.reduceat(first[order], starts)
+        signs = mixed(sums + np.arange(parts, dtype=np.uint64) * _MIX[1] + np.uint64(lower + 1), 0).view(np.int64)
+        out += (signs if parts - len(which) > spare else signs[which]).tolist()
+    return out
+
+
+def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+    """(left_id, right_id, similarity) of all pairs of sets with Jaccard similarity ``least`` or more; of one table each pair once.
+
+    Sets (id, set) sign in Arrow batches. Sets that meet are compared in blocks of at most SIDE to a side, each block a
+    row group of its own, so that a meeting of any size is spread over tasks; only links leave a task.
+    """
+    own = right is None
+    signed = []
+    for side, df in enumerate([left] if own else [left, right]):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                    made = [signatures(np.frombuffer(s, np.uint64), least) for s in batch.column(1).to_pylist()]
+                    take = np.repeat(np.arange(batch.num_rows), [len(m) for m in made])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), pa.array([x for m in made for x in m], pa.int64())], names=["id", "s"])
+
+        kind = df.schema["id"].dataType.simpleString()
+        signed.append(df.select("id", "set").mapInArrow(run, f"id {kind}, s bigint").withColumn("side", F.lit(side)))
+    keys = signed[0] if own else signed[0].unionByName(signed[1])
+    # How often a signature occurs on either side; alone it links nothing. Partial counts come before the shuffle.
+    counts = keys.groupBy("s").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    met = counts.filter("n0 > 1" if own else "n0 > 0 AND n1 > 0")
+    rows = keys.join(met, "s")
+    # A small meeting gives its pairs of ids, at most SIDE * SIDE; a large one is cut into blocks first.
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest("n0", "n1") / F.lit(SIDE))).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = placed.filter("side = 0").select("s", F.col("id").alias("left_id"), "block", F.explode(others).alias("other"))
+    b = placed.filter(F.col("side") == (0 if own else 1)).select("s", F.col("id").alias("right_id"), F.col("block").alias("other"), F.explode(others).alias("block"))
+    pairs = a.join(b, ["s", "block", "other"])
+    pairs = (pairs.filter("left_id < right_id") if own else pairs).select("left_id", "right_id").distinct()
+    sets = [df.select(F.col("id").alias(f"{name}_id"), F.col("set").alias(f"{name}_set")) for name, df in (("left", left), ("right", left if own else right))]
+    full = pairs.join(sets[0], "left_id").join(sets[1], "right_id")
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            shared = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(shared / (len(p) + len(q) - shared))
+        return pd.Series(out)
+
+    return full.select("left_id", "right_id", jaccard("left_set", "right_set").alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, n: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(membership, links): every document with its class of equal shingle sets, and the pairs of classes with Jaccard >= least.
 
-    Classes stand for their copies, so copies are never paired. Candidates come from prefix filtering: with
-    shingles ordered by their frequency in the corpus, two sets that similar share a shingle among the first
-    size - ceil(least * size) + 1 of each, the rarest ones; then sizes and the exact similarity decide, so no
-    link between different texts is lost. Texts without words are in no class; rows with the same key are
-    one document by its smallest set.
+    Classes stand for their copies, so copies are never paired. No link between different texts is lost. Texts
+    without words are in no class; rows with the same key are one document, by the set of the smallest digest.
     """
-    sets = shingle_sets(df, key, text, n).groupBy("id").agg(F.min("set").alias("set"))
-    classes = cut_lineage(sets.groupBy("set").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n_members")).withColumn("size", F.size("set")))
-    membership = sets.join(classes.select("set", "class", "n_members"), "set").select(F.col("id").alias(key), "class", "n_members")
-    frequency = classes.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    prefix_size = F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1
-    # A shingle of one class only joins nothing, but counts for the order: it is rarer than all others.
-    ranked = classes.select("class", "size", F.explode("set").alias("s")).join(frequency, "s", "left").groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("order"))
-    prefix = ranked.select("class", "size", F.explode(F.filter(F.slice("order", 1, prefix_size.cast("int")), lambda x: x["df"] > 1)).alias("p")).select("class", "size", F.col("p.s").alias("s"))
-    other = prefix.select(F.col("class").alias("other"), F.col("size").alias("other_size"), "s")
-    close = (F.col("class") < F.col("other")) & (F.col("size") >= F.ceil(F.col("other_size") * F.lit(least))) & (F.col("other_size") >= F.ceil(F.col("size") * F.lit(least)))
-    pairs = prefix.join(other, "s").filter(close).select("class", "other").distinct()
-    full = classes.select("class", "set")
-    scored = pairs.join(full, "class").join(full.select(F.col("class").alias("other"), F.col("set").alias("other_set")), "other").withColumn("shared", F.size(F.array_intersect("set", "other_set")))
-    links = scored.select("class", "other", (F.col("shared") / (F.size("set") + F.size("other_set") - F.col("shared"))).alias("similarity")).filter(F.col("similarity") >= least)
+    sets = written(shingle_sets(df, key, text, n))
+    one = sets.groupBy("id").agg(F.min("digest").alias("digest"))
+    classes = one.groupBy("digest").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n_members"))
+    membership = one.join(classes, "digest").select(F.col("id").alias(key), "class", "n_members")
+    chosen = sets.join(classes.select(F.col("class").alias("id"), "digest"), ["id", "digest"]).groupBy("id").agg(F.first("set").alias("set"))
+    links = similar(written(chosen), None, least).select(F.col("left_id").alias("class"), F.col("right_id").alias("other"), "similarity")
     return membership, links
 
 

@@ -6,9 +6,9 @@ the order key, bucket totals are summed over the few buckets, and rows only insi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,11 +34,28 @@ def holdout(df: DataFrame, group: str, order: str, tokens: str, most: int) -> Da
 
 
 def tail_split(df: DataFrame, order: list[str]) -> DataFrame:
-    """Marks the last max(10, min(200, n div 20)) rows val, the rest train; the tail is a bounded top-k."""
-    n = df.count()
-    size = max(10, min(200, n // 20))
-    tail = df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(size).withColumn("split", F.lit("val"))
-    return tail.select(*order, "split").join(df, order, "right").withColumn("split", F.coalesce("split", F.lit("train"))).select(*df.columns, "split")
+    """Marks the last max(10, min(200, n div 20)) rows val, the rest train; every row comes out once.
+
+    Rows of equal order are put in the order of a hash of all their columns. A top-k of at most 200 keys finds the
+    boundary, and each row is held against it; only rows that equal the boundary in everything are ranked, since
+    any of them will do. Nulls come first in the order.
+    """
+    keyed = df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    keys = [*order, "__h"]
+    size = max(10, min(200, df.count() // 20))
+    tail = keyed.select(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in keys]).limit(size).collect()
+    if len(tail) < size:
+        return df.withColumn("split", F.lit("val"))
+    bound = tail[-1]
+    above, same = F.lit(False), F.lit(True)
+    for c in keys:
+        here = F.lit(bound[c]).cast(keyed.schema[c].dataType)
+        above = above | (same & F.coalesce(F.col(c) > here, F.col(c).isNotNull() & here.isNull()))
+        same = same & F.col(c).eqNullSafe(here)
+    left = sum(r == bound for r in tail)
+    rest = keyed.filter(~same).withColumn("split", F.when(above, "val").otherwise("train"))
+    equal = keyed.filter(same).withColumn("split", F.when(F.row_number().over(W.partitionBy("__h").orderBy("__h")) <= left, "val").otherwise("train"))
+    return rest.unionByName(equal).select(*df.columns, "split")
 
 
 def first_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
@@ -59,66 +76,140 @@ def stratified_top(df: DataFrame, group: str, level: str, hard: int, order: str,
     return pool.withColumn("rank", F.row_number().over(w.orderBy(F.col(level).desc_nulls_last(), order))).filter(F.col("rank") <= n).drop("__hard", "__enough")
 
 
-def fold(df: DataFrame, group: str, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """An ordered fold in every group on its own; the caller chooses groups of bounded size."""
-    return df.groupBy(group).applyInPandas(step, schema)
+def fold(df: DataFrame, group: str, order: list[str], step: Callable[[tuple | None, list[tuple]], tuple[tuple | None, list[tuple]]], made: str) -> DataFrame:
+    """An ordered fold over each group: (group, o, n_tokens) rows in the given order, with what ``step`` makes of each.
+
+    ``step`` gets the state and a batch's rows of one group and returns the new state and the added columns. Rows
+    stream through in Arrow batches sorted by group and order; a task holds one batch and one state, so a group may
+    have any size, and what is shuffled are two numbers a row.
+    """
+    names = [c.split()[0] for c in made.split(", ")]
+    kind = df.schema[group].dataType.simpleString()
+    rows = df.repartition(group).sortWithinPartitions(group, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, at = None, object()
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out: list[tuple] = []
+            start = 0
+            for i in range(len(columns[0]) + 1):
+                if i == len(columns[0]) or columns[0][i] != columns[0][start]:
+                    if i > start:
+                        if columns[0][start] != at:
+                            state, at = None, columns[0][start]
+                        state, more = step(state, list(zip(columns[1][start:i], columns[2][start:i], strict=True)))
+                        out += more
+                    start = i
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * len(names))]], names=["g", "o", "n_tokens", *names])
+
+    return rows.mapInArrow(run, f"g {kind}, o bigint, n_tokens bigint, {made}")
+
+
+def _narrow(df: DataFrame, group: str, order: str, tokens: str) -> DataFrame:
+    return df.select(F.col(group).alias("g"), F.col(order).cast("bigint").alias("o"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"))
 
 
 def assign_shards(df: DataFrame, group: str, order: str, tokens: str, size: int) -> DataFrame:
     """shard number of each document: a shard closes once it holds ``size`` tokens; documents stay whole, offset is the start in the shard."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        shards, offsets, shard, held = [], [], 0, 0
-        for n in pdf.n:
-            shards.append(shard)
-            offsets.append(held)
-            held += int(n)
+    def step(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        shard, held = state or (0, 0)
+        out = []
+        for _, n in rows:
+            out.append((shard, held))
+            held += n
             if held >= size:
                 shard, held = shard + 1, 0
-        return pd.DataFrame({"g": pdf.g, "o": pdf.o, "n_tokens": pdf.n, "shard": shards, "offset": offsets})
+        return (shard, held), out
 
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"))
-    return fold(rows, "g", step, "g bigint, o bigint, n_tokens bigint, shard int, offset bigint").withColumnsRenamed({"g": group, "o": order})
+    return fold(_narrow(df, group, order, tokens), "g", ["o"], step, "shard bigint, offset bigint").withColumnsRenamed({"g": group, "o": order})
 
 
 def pack_next_fit(df: DataFrame, group: str, order: str, tokens: str, length: int) -> DataFrame:
     """Packs in the given order: a sample joins the open pack if it and a separator fit, else a new pack opens.
 
-    Columns: pack, start (after the separator). Samples longer than ``length`` are refused and left out.
+    Columns: pack, start (after the separator). Samples longer than ``length`` are refused and left out, as are
+    samples without tokens.
     """
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        packs, starts, pack, held = [], [], 0, 0
-        for n in pdf.n:
-            if held and held + 1 + int(n) > length:
+    def step(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        pack, held = state or (0, 0)
+        out = []
+        for _, n in rows:
+            if held and held + 1 + n > length:
                 pack, held = pack + 1, 0
             held += bool(held)
-            packs.append(pack)
-            starts.append(held)
-            held += int(n)
-        return pd.DataFrame({"g": pdf.g, "o": pdf.o, "n_tokens": pdf.n, "pack": packs, "start": starts})
+            out.append((pack, held))
+            held += n
+        return (pack, held), out
 
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(tokens).cast("bigint").alias("n")).filter(f"n > 0 AND n <= {length}")
-    return fold(rows, "g", step, "g bigint, o bigint, n_tokens bigint, pack int, start int").withColumnsRenamed({"g": group, "o": order})
+    return fold(_narrow(df, group, order, tokens).filter(f"n > 0 AND n <= {length}"), "g", ["o"], step, "pack bigint, start bigint").withColumnsRenamed({"g": group, "o": order})
 
 
 def budget_batches(df: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
     """Batches of samples sorted by length with (samples * longest) within the budget; a longer sample is a batch of its own."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "o"], kind="stable")
-        batches, batch, held, longest = [], 0, 0, 0
-        for n in pdf.n:
-            if held and (held + 1) * max(longest, int(n)) > budget:
-                batch, held, longest = batch + 1, 0, 0
-            held, longest = held + 1, max(longest, int(n))
-            batches.append(batch)
-        return pd.DataFrame({"g": pdf.g, "o": pdf.o, "n_tokens": pdf.n, "batch": batches})
+    def step(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        batch, held = state or (0, 0)
+        out = []
+        for _, n in rows:  # sorted by length, so the sample at hand is the longest
+            if held and (held + 1) * n > budget:
+                batch, held = batch + 1, 0
+            held += 1
+            out.append((batch,))
+        return (batch, held), out
+
+    return fold(_narrow(df, group, order, tokens), "g", ["n", "o"], step, "batch bigint").withColumnsRenamed({"g": group, "o": order})
+
+
+def batch_order(batches: DataFrame, group: str, epoch: int, seed: int = 42) -> DataFrame:
+    """The batches of a group in the order of an epoch: a hash of seed + epoch and the batch; columns group, batch, position."""
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed + epoch)), F.col("batch").cast("string")))
+    return batches.select(group, "batch").distinct().withColumn("position", F.row_number().over(W.partitionBy(group).orderBy(mixed, "batch"))).select(group, "batch", "position")
+
+
+def packed_rows(samples: DataFrame, packs: DataFrame, group: str, order: str, length: int, end: int = 50_256, ignored: int = -100) -> DataFrame:
+    """Rows for training from samples (group, order, ids, labels) and their packs: input_ids, attention_mask and labels of ``length`` each.
+
+    Samples of a pack stand in order with the end token between them; separators and padding are ``ignored`` in
+    the labels, the padding is 0 in the mask. A row gathers one pack, which ``length`` bounds.
+    """
+    joined = samples.select(group, order, "ids", "labels").join(packs.select(group, order, "pack", "start"), [group, order])
+    parts = joined.groupBy(group, "pack").agg(F.array_sort(F.collect_list(F.struct("start", "ids", "labels"))).alias("s"))
+    between = F.transform("s", lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(end)), x["ids"])).otherwise(x["ids"]))
+    marked = F.transform("s", lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(ignored)), x["labels"])).otherwise(x["labels"]))
+    flat = parts.select(group, "pack", F.flatten(between).alias("ids"), F.flatten(marked).alias("labels"))
+    pad = F.greatest(F.lit(0), F.lit(length) - F.size("ids"))
+    return flat.select(
+        group, "pack", F.concat("ids", F.array_repeat(F.lit(end), pad)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"), F.concat("labels", F.array_repeat(F.lit(ignored), pad)).alias("labels"),
+    )
+
+
+def fitting(df: DataFrame, ids: str, labels: str, length: int, least: int = 5, ignored: int = -100) -> DataFrame:
+    """Samples that fit the sequence whole and leave at least ``least`` labels to learn from; longer ones are dropped, not cut."""
+    learnt = F.size(F.filter(labels, lambda x: x != ignored))
+    return df.filter((F.size(ids) <= length) & (learnt >= least))
+
+
+def cut_and_masked(ids: Column, mask: Column, length: int, least: int = 3) -> tuple[Column, Column, Column]:
+    """(ids, mask, keep): both cut at length + 1, and whether at least ``least`` positions still count for the loss."""
+    short, marks = F.slice(ids, 1, length + 1), F.slice(mask, 1, length + 1)
+    return short, marks, F.aggregate(marks, F.lit(0), lambda a, x: a + x) >= least
+
+
+def shifted_batch(ids: Column, mask: Column, length: int, pad: int = 0, masked: int = -1) -> tuple[Column, Column]:
+    """(inputs, targets) of ``length``: padded, shifted by one, targets ``masked`` where the mask of the target is 0."""
+    more = F.greatest(F.lit(0), F.lit(length + 1) - F.size(ids))
+    full, marks = F.slice(F.concat(ids, F.array_repeat(F.lit(pad), more)), 1, length + 1), F.slice(F.concat(mask, F.array_repeat(F.lit(0), more)), 1, length + 1)
+    targets = F.zip_with(F.slice(full, 2, length), F.slice(marks, 2, length), lambda t, m: F.when(m == 0, F.lit(masked)).otherwise(t))
+    return F.slice(full, 1, length), targets
+
 
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"))
-    return fold(rows, "g", step, "g bigint, o bigint, n_tokens bigint, batch int").withColumnsRenamed({"g": group, "o": order})
+def read_positions(steps: DataFrame, total: int, count: int) -> DataFrame:
+    """Where each step of an endless reader stands: epoch and first token of its ``count`` tokens over a source of ``total``, wrapping around."""
+    return steps.select(F.col("id").alias("step"), F.expr(f"(id * {count}) div {total}").alias("epoch"), F.expr(f"(id * {count}) % {total}").alias("position"))
 
 
 def loss_mask(tokens: Column, prompt: Column, ignored: int = -100) -> Column:
@@ -138,11 +229,11 @@ def warmup_cosine(step: Column, warmup: int, total: int, peak: float, floor: flo
     return F.when(step < warmup, peak * (step + 1) / warmup).otherwise(floor + (peak - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * part)))
 
 
-def monitor(df: DataFrame, series: str, order: list[str], loss: str, patience: int = 3, least: float = 0.005) -> DataFrame:
+def monitor(df: DataFrame, series: str, order: list[str], loss: str, patience: int = 3, least: float = 0.005, first_step: int = 0) -> DataFrame:
     """Running best, change, plateau, rise and peak distance of a metric along each series.
 
-    ``plateau``: the relative gain over the value ``patience`` points ago is under ``least``. ``monotone``: no
-    value so far was above the one before. Null values are left out.
+    ``plateau``: the relative gain over the value ``patience`` points ago is under ``least``, from ``first_step``
+    on. ``monotone``: no value so far was above the one before. Null values are left out.
     """
     w = W.partitionBy(series).orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
@@ -151,7 +242,7 @@ def monitor(df: DataFrame, series: str, order: list[str], loss: str, patience: i
         rows.withColumn("best", F.min(loss).over(upto))
         .withColumn("worst", F.max(loss).over(upto))
         .withColumn("monotone", F.bool_and(F.coalesce(F.col(loss) <= F.col("before"), F.lit(True))).over(upto))
-        .withColumn("plateau", F.coalesce(F.try_divide(F.col("past") - F.col(loss), F.abs("past")) < least, F.lit(False)))
+        .withColumn("plateau", F.coalesce(F.try_divide(F.col("past") - F.col(loss), F.abs("past")) < least, F.lit(False)) & (F.col("step") >= first_step))
         .drop("before", "past")
     )
 

@@ -22,15 +22,16 @@ def length_profile(df: DataFrame, by: str, n: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count("n").alias("n_rows"), F.avg("n").alias("mean"), F.percentile("n", 0.5).alias("median"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("stdev"), F.min("n").alias("least"), F.max("n").alias("most"), F.percentile("n", 0.95).alias("p95"))
 
 
-def floor_percentiles(df: DataFrame, by: str, n: Column, at: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """The value at index floor(p * count / 100) of the sorted values, for each p.
+def floor_percentiles(df: DataFrame, by: str, n: Column, at: tuple[int, ...] = PERCENTILES, clamped: bool = True) -> DataFrame:
+    """The value at index floor(p * count / 100) of the sorted values, for each p; past the last value it is that one, or null if not ``clamped``.
 
     Values are counted first, so that the window runs over distinct lengths, however many rows a group has.
     """
     counts = df.select(F.col(by), n.alias("n")).filter("n IS NOT NULL").groupBy(by, "n").agg(F.count(F.lit(1)).alias("rows"))
     w = W.partitionBy(by)
     upto = counts.withColumn("upto", F.sum("rows").over(w.orderBy("n").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("rows").over(w))
-    wanted = [F.min(F.when(F.col("upto") > F.least(F.expr(f"({p} * total) div 100"), F.col("total") - 1), F.col("n"))).alias(f"p{p}") for p in at]
+    index = [F.expr(f"({p} * total) div 100") for p in at]
+    wanted = [F.min(F.when(F.col("upto") > (F.least(i, F.col("total") - 1) if clamped else i), F.col("n"))).alias(f"p{p}") for p, i in zip(at, index, strict=True)]
     return upto.groupBy(by).agg(F.sum("rows").alias("n_rows"), *wanted)
 
 
@@ -57,23 +58,34 @@ def sequence_survival(df: DataFrame, by: str, n: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), *kept)
 
 
+# What counts as code, headings, step marks and opening words.
+CODING = r"(?i)\bdef \w+\(|import \w+|class \w+:|print\(|\.py\b|python\b|javascript\b|leetcode\b|Generate an executable|stdin|stdout|#include|int main\("
+HEADING = r"(?m)\*\*.+?\*\*|^#{1,3} "
+STEPS = r"\bStep \d+|\b\d+\.\s+\*\*|\*\*Step"
+OPENER = r"(?m)^(Okay[,.]|Let me |Alright[,.]|Hmm[,.]|So[,.])"
+
+
 def feature_rates(df: DataFrame, by: str, problem: str, solution: str) -> DataFrame:
-    """Shares of rows with a boxed answer, a think block, code words, headings, step marks, opening words, many lines."""
+    """Shares of rows with a boxed answer, a think block, code in either text, headings, step marks, opening words, many lines, a number."""
     p, s = (F.coalesce(F.col(c), F.lit("")) for c in (problem, solution))
-    code = r"(?i)def |import |```|function|python|algorithm"
     flags = {
-        "boxed": s.rlike(r"\\boxed\{"),
-        "think": s.rlike("<think>"),
-        "coding": p.rlike(code) | s.rlike(code),
-        "heading": s.rlike(r"\*\*|(?m)^#{1,4} "),
-        "steps": s.rlike(r"(?i)step [0-9]+|(?m)^[0-9]+\. "),
-        "opener": s.rlike(r"(?i)^(okay|sure|let|first|to solve|we )"),
-        "lines": F.regexp_count(s, F.lit("\n")) >= 5,
+        "boxed": F.contains(s, F.lit("\\boxed{")),
+        "think": F.contains(s, F.lit("<think>")),
+        "coding": p.rlike(CODING) | s.rlike(CODING),
+        "heading": s.rlike("(?d)" + HEADING),
+        "steps": s.rlike(STEPS),
+        "opener": s.rlike("(?d)" + OPENER),
+        "lines": F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))) >= 5,
         "number": s.rlike("[0-9]"),
     }
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(v.cast("double")).alias(f"{k}_rate") for k, v in flags.items()])
 
 
+def quality_alarms(rates: DataFrame) -> DataFrame:
+    """Whether fewer than 95 % of a source's rows have a boxed answer, from feature_rates."""
+    return rates.withColumn("few_boxed", F.col("boxed_rate") < 0.95)
+
+
 def key_counts(df: DataFrame, key: Column) -> DataFrame:
     """Rows of each key (a null key is left out)."""
     return df.select(key.alias("key")).filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))

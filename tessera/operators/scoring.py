@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.plans.session import written
 
 
 def reward(output: Column, truth: Column) -> Column:
@@ -15,14 +16,30 @@ def reward(output: Column, truth: Column) -> Column:
     return F.coalesce((X.normal_answer(X.answer(output)) == X.normal_answer(F.coalesce(X.boxed(truth), truth))).cast("double"), F.lit(0.0))
 
 
-def consensus(df: DataFrame, problem: str, solution: str) -> DataFrame:
-    """Each row with its answer, and whether that is its problem's most frequent one (ties: the smallest).
+def consensus(df: DataFrame, problem: str, solution: str, *keep: str) -> DataFrame:
+    """Counts of (problem, answer, *keep) with ``correct``: is it the problem's most frequent answer (ties: the smallest)?
 
-    Counted on the map side first, so that a problem with a tenth of all rows is no hot task.
+    ``n`` is the number of rows. Answers are extracted once, and counted on the map side before anything is
+    joined, so that a problem with a tenth of all rows is no hot task. Rows without a problem are left out.
     """
-    rows = df.filter(F.col(problem).isNotNull()).withColumn("answer", X.normal_answer(X.answer(F.col(solution))))
-    top = rows.filter("answer IS NOT NULL").groupBy(problem, "answer").agg(F.count(F.lit(1)).alias("n")).groupBy(problem).agg(F.min_by("answer", F.struct(-F.col("n"), F.col("answer"))).alias("truth"))
-    return rows.join(top, problem, "left").withColumn("correct", F.coalesce(F.col("answer") == F.col("truth"), F.lit(False)))
+    rows = df.filter(F.col(problem).isNotNull()).select(problem, *keep, X.normal_answer(X.answer(F.col(solution))).alias("answer"))
+    counts = written(rows.groupBy(problem, *keep, "answer").agg(F.count(F.lit(1)).alias("n")))
+    per_answer = counts.filter("answer IS NOT NULL").groupBy(problem, "answer").agg(F.sum("n").alias("n"))
+    top = per_answer.groupBy(problem).agg(F.min_by("answer", F.struct(-F.col("n"), F.col("answer"))).alias("truth"))
+    return counts.join(top, problem, "left").withColumn("correct", F.coalesce(F.col("answer") == F.col("truth"), F.lit(False)))
+
+
+def against_truth(predictions: DataFrame, truths: DataFrame, key: str, output: str, truth: str, *keep: str) -> DataFrame:
+    """Counts of (key, answer, *keep) with ``correct``: does the answer equal the item's truth in normal form?
+
+    Joined on the key, never by position. ``truths`` has one row per key (exact repeats count once; of several
+    truths the smallest stands); predictions of unknown or null keys are left out, items without predictions do
+    not appear. ``answer`` is null where nothing could be extracted.
+    """
+    known = truths.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(X.normal_answer(F.coalesce(X.boxed(F.col(truth)), F.col(truth)))).alias("truth"))
+    rows = predictions.filter(F.col(key).isNotNull()).select(key, *keep, X.normal_answer(X.answer(F.col(output))).alias("answer"))
+    counts = rows.groupBy(key, *keep, "answer").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(known, key).withColumn("correct", F.coalesce(F.col("answer") == F.col("truth"), F.lit(False)))
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
@@ -32,15 +49,49 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     return F.when(n >= k, F.when(n - c < k, F.lit(1.0)).otherwise(1.0 - missed))
 
 
+def per_problem(scored: DataFrame, problem: str, *keep: str) -> DataFrame:
+    """Samples and right ones of each problem, and samples without an answer."""
+    return scored.groupBy(problem, *keep).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("correct"), F.col("n"))), F.lit(0)).alias("c"), F.coalesce(F.sum(F.when(F.col("answer").isNull(), F.col("n"))), F.lit(0)).alias("failures"))
+
+
 def pass_rates(scored: DataFrame, problem: str, ks: tuple[int, ...] = (1, 4, 8)) -> DataFrame:
     """Mean pass@k over the problems with at least k samples, in one row."""
-    per = scored.groupBy(problem).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"))
+    per = per_problem(scored, problem)
     return per.agg(F.count(F.lit(1)).alias("n_problems"), *[F.avg(pass_at_k(F.col("n"), F.col("c"), k)).alias(f"pass_at_{k}") for k in ks])
 
 
 def accuracy(scored: DataFrame, by: str) -> DataFrame:
-    """Rows, correct ones, rows without an answer and the rates."""
-    return scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"), F.count_if(F.col("answer").isNull()).alias("failures"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg(F.col("answer").isNull().cast("double")).alias("failure_rate"))
+    """Rows, correct ones, rows without an answer and the rates (0 where there are no rows)."""
+    per = scored.groupBy(by).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("correct"), F.col("n"))), F.lit(0)).alias("n_correct"), F.coalesce(F.sum(F.when(F.col("answer").isNull(), F.col("n"))), F.lit(0)).alias("failures"))
+    return per.withColumn("accuracy", F.coalesce(F.try_divide(F.col("n_correct"), "n"), F.lit(0.0))).withColumn("failure_rate", F.coalesce(F.try_divide(F.col("failures"), "n"), F.lit(0.0)))
+
+
+def two_models(a: DataFrame, b: DataFrame, key: str, by: str) -> DataFrame:
+    """Problems that both models were scored on, joined by key: by, key, a, b (right or not). A problem of several samples is right if its first answer in order is."""
+    def flag(scored: DataFrame, name: str) -> DataFrame:
+        return scored.groupBy(key, by).agg(F.min_by("correct", "answer").alias(name))
+
+    return flag(a, "a").join(flag(b, "b"), [key, by])
+
+
+def comparison(both: DataFrame, by: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """Full record of two models by data set: rates with their intervals, delta, p, agreement, and whether the change is real.
+
+    ``overlap``: do the two intervals have a point in common; ``improved``: the paired test is significant or the
+    intervals do not overlap with b above a. All of it comes from the four cells of the agreement table, one row per data set.
+    """
+    table = agreement(both, by, F.col("a"), F.col("b"))
+    sides = [bootstrap_ci(table.select(by, "n", (F.col("both") + F.col(f"{s}_only")).alias("n_correct")), by, draws, seed).select(by, F.col("mean").alias(f"mean_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for s in "ab"]
+    out = table.drop("delta").join(sides[0], by).join(sides[1], by).join(paired_bootstrap(table, by, draws, seed), by)
+    overlap = (F.col("low_a") <= F.col("high_b")) & (F.col("low_b") <= F.col("high_a"))
+    return out.withColumn("overlap", overlap).withColumn("improved", F.col("significant") | (~F.col("overlap") & (F.col("mean_b") > F.col("mean_a"))))
+
+
+def shaped_rewards(output: Column, truth: Column, n_tokens: Column) -> dict[str, Column]:
+    """Variants of the reward: exact; 0.1 for a boxed answer and 0.9 more if right; right less a thousandth per token, never under 0."""
+    right = reward(output, truth)
+    boxed = F.coalesce(F.contains(output, F.lit("\\boxed{")), F.lit(False)).cast("double")
+    return {"exact": right, "formatted": boxed * 0.1 + right * 0.9, "shortened": F.greatest(F.lit(0.0), right * (1 - 0.001 * n_tokens))}
 
 
 def agreement(df: DataFrame, by: str, a: Column, b: Column) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
         return there
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return os.environ.setdefault("TESSERA_LOCAL_CHECKPOINT", tempfile.mkdtemp(prefix="tessera-"))
+    if "TESSERA_LOCAL_CHECKPOINT" not in os.environ:
+        made = os.environ["TESSERA_LOCAL_CHECKPOINT"] = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return os.environ["TESSERA_LOCAL_CHECKPOINT"]
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose few splits would leave most cores idle, dealt out to all of them; others as they are.
+
+    For work that costs much more than reading. Few splits hold little data, so the exchange is bounded by
+    half as many splits as there are cores, whatever the size of the table.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,6 +67,11 @@ def written(df: DataFrame) -> DataFrame:
 
     Unlike a checkpoint it carries the size it really has, so that loops of joins keep honest estimates.
     """
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(where)  # the folder goes when the session ends
+    return out

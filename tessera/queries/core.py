@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import labels as L
 from tessera.functions import text as X
 from tessera.operators import health, leakage, mixture, neardup, normalize, ordered, profile, registry, scoring
-from tessera.plans.session import shared_dir
+from tessera.plans.session import shared_dir, spread
 from tessera.sources import files
 from tessera.sources.tables import table
 from tessera.streaming import logs
@@ -43,7 +43,7 @@ def n_pair():
     return F.length("problem") + F.length("solution")
 
 _BOXED_SQL, _HASHES_SQL = r"'\\boxed\{([^}]+)\}'", r"'(?m)####[\s]*(.+?)$'"
-_IS_SQL = r"'[Tt]he (?:final )?answer is[:\s]*(.+?)(?:\.(?:\s|$)|\n|$)'"
+_IS_SQL = r"'[Tt]he (?:final )?answer is[:\s]*(.+?)[\.\n]'"
 
 
 def answer_sql(c: str) -> str:
@@ -52,10 +52,24 @@ def answer_sql(c: str) -> str:
     return f"nullif(CASE {tries} ELSE regexp_extract_all({c}, '-?[0-9]+\\.?[0-9]*')[-1] END, '')"
 
 
+_DECIMAL_SQL = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
+
+
+def _ratio_sql(top: str, bottom: str) -> str:
+    return f"CASE WHEN regexp_matches({top}, {_DECIMAL_SQL}) AND regexp_matches({bottom}, {_DECIMAL_SQL}) AND try_cast({bottom} AS DOUBLE) <> 0 THEN round(try_cast({top} AS DOUBLE) / try_cast({bottom} AS DOUBLE), 6) END"
+
+
+def _number_sql(value: str) -> str:
+    return f"CASE WHEN isfinite({value}) THEN CASE WHEN ({value}) = floor({value}) AND abs({value}) < 1e15 THEN CAST(CAST(({value}) AS BIGINT) AS VARCHAR) ELSE CAST(({value}) AS VARCHAR) END END"
+
+
 def normal_answer_sql(a: str) -> str:
-    bare = f"regexp_replace(regexp_replace({strip_sql(a)}, '\\\\frac\\{{(-?[0-9]+)\\}}\\{{(-?[0-9]+)\\}}', '\\1/\\2', 'g'), '[$\\\\,]|{WS}', '', 'g')"
-    value = f"CASE WHEN regexp_matches({bare}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN try_cast({bare} AS DOUBLE) WHEN regexp_matches({bare}, '^-?[0-9]+/-?[0-9]+$') AND try_cast(split_part({bare}, '/', 2) AS DOUBLE) <> 0 THEN round(try_cast(split_part({bare}, '/', 1) AS DOUBLE) / try_cast(split_part({bare}, '/', 2) AS DOUBLE), 6) END"
-    return f"coalesce(CASE WHEN ({value}) = floor(({value})) AND abs(({value})) < 1e15 THEN CAST(CAST(({value}) AS BIGINT) AS VARCHAR) ELSE CAST(({value}) AS VARCHAR) END, lower({bare}))"
+    frac = r"'\\?frac\{([^}]+)\}\{([^}]+)\}'"
+    bare = f"regexp_replace({a}, '[$\\\\,]|{WS}', '', 'g')"
+    latex = f"CASE WHEN regexp_matches({a}, {frac}) THEN {_ratio_sql(strip_sql(f'regexp_extract({a}, {frac}, 1)'), strip_sql(f'regexp_extract({a}, {frac}, 2)'))} END"
+    slash = r"'^-?[0-9]+/-?[0-9]+$'"
+    value = f"CASE WHEN regexp_matches({bare}, {_DECIMAL_SQL}) THEN try_cast({bare} AS DOUBLE) WHEN regexp_matches({bare}, {slash}) THEN {_ratio_sql(f'split_part({bare}, {chr(39)}/{chr(39)}, 1)', f'split_part({bare}, {chr(39)}/{chr(39)}, 2)')} END"
+    return f"coalesce({_number_sql(f'({latex})')}, {_number_sql(f'({value})')}, lower({bare}))"
 
 
 def query(sql: str | None = None):
@@ -117,7 +131,7 @@ def union_sources(spark, d):
 
 @query(f"SELECT pair_id, answer, {normal_answer_sql('answer')} AS normal FROM (SELECT pair_id, {answer_sql('solution')} AS answer FROM sft_pairs)")
 def answers(spark, d):
-    return table(spark, d, "sft_pairs").select("pair_id", X.answer(F.col("solution")).alias("answer")).withColumn("normal", X.normal_answer(F.col("answer")))
+    return spread(table(spark, d, "sft_pairs").select("pair_id", "solution")).select("pair_id", X.answer(F.col("solution")).alias("answer")).withColumn("normal", X.normal_answer(F.col("answer")))
 
 
 @query(r"SELECT pair_id, regexp_extract_all(solution, '\\boxed\{([^}]+)\}', 1)[-1] AS boxed, regexp_extract_all(solution, '-?[0-9]+\.?[0-9]*')[-1] AS number FROM sft_pairs")
@@ -125,9 +139,9 @@ def boxed_and_number(spark, d):
     return table(spark, d, "sft_pairs").select("pair_id", X.boxed(F.col("solution")).alias("boxed"), X.last_number(F.col("solution")).alias("number"))
 
 
-@query(rf"""SELECT pair_id, CASE WHEN regexp_matches(solution, '\\boxed\{{([^}}]+)\}}') OR found IS NULL THEN solution ELSE solution || chr(10) || chr(10) || 'The answer is \boxed{{' || {strip_sql('found')} || '}}' END AS solution FROM (
+@query(rf"""SELECT pair_id, CASE WHEN contains(solution, '\boxed{{') OR found IS NULL THEN solution ELSE solution || chr(10) || chr(10) || 'The answer is \boxed{{' || {strip_sql('found')} || '}}' END AS solution FROM (
  SELECT pair_id, solution, coalesce(CASE WHEN regexp_matches(solution, '(?m)####[\s]*(.+?)$') THEN regexp_extract(solution, '(?m)####[\s]*(.+?)$', 1) END,
-  CASE WHEN regexp_matches(solution, '[Tt]he (?:final )?answer is[:\s]*(.+?)(?:\.(?:\s|$)|\n|$)') THEN regexp_extract(solution, '[Tt]he (?:final )?answer is[:\s]*(.+?)(?:\.(?:\s|$)|\n|$)', 1) END, regexp_extract_all(solution, '-?[0-9]+\.?[0-9]*')[-1]) AS found FROM sft_pairs)""")
+  CASE WHEN regexp_matches(solution, '[Tt]he (?:final )?answer is[:\s]*(.+?)[\.\n]') THEN regexp_extract(solution, '[Tt]he (?:final )?answer is[:\s]*(.+?)[\.\n]', 1) END, regexp_extract_all(solution, '-?[0-9]+\.?[0-9]*')[-1]) AS found FROM sft_pairs)""")
 def boxed_answers(spark, d):
     return table(spark, d, "sft_pairs").select("pair_id", X.ensure_boxed(F.col("solution")).alias("solution"))
 
@@ -172,7 +186,7 @@ def middle_truncated(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", X.truncate_middle(X.words(F.col("text")), 400)).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, contains(array_to_string(list_transform(range(1, len(w) - 2), lambda i: CASE WHEN w[i] = w[i + 3] THEN '1' ELSE '0' END), ''), '111111') AS repeats FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)")
 def repeating_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", X.repeats(X.words(F.col("text")), 3, 3).alias("repeats"))
 
@@ -237,22 +251,19 @@ def sequence_survival(spark, d):
     return profile.sequence_survival(_by_source(table(spark, d, "documents")), "source", F.col("n_chars"))
 
 
-_CODE = "(?i)def |import |```|function|python|algorithm"
-
-
 @query(
     "SELECT source, count(*) AS n_rows, "
     + ", ".join(
         f"avg(CAST({e} AS INTEGER)) AS {n}_rate"
         for n, e in {
-            "boxed": r"contains(s, '\boxed{')", "think": "contains(s, '<think>')", "coding": f"(regexp_matches(p, '{_CODE}') OR regexp_matches(s, '{_CODE}'))", "heading": r"regexp_matches(s, '\*\*|(?m)^#{1,4} ')",
-            "steps": r"regexp_matches(s, '(?i)step [0-9]+|(?m)^[0-9]+\. ')", "opener": "regexp_matches(s, '(?i)^(okay|sure|let|first|to solve|we )')", "lines": "(length(s) - length(replace(s, chr(10), '')) >= 5)", "number": "regexp_matches(s, '[0-9]')",
+            "boxed": r"contains(s, '\boxed{')", "think": "contains(s, '<think>')", "coding": f"(regexp_matches(p, '{profile.CODING}') OR regexp_matches(s, '{profile.CODING}'))", "heading": f"regexp_matches(s, '{profile.HEADING}')",
+            "steps": f"regexp_matches(s, '{profile.STEPS}')", "opener": f"regexp_matches(s, '{profile.OPENER}')", "lines": "(length(s) - length(replace(s, chr(10), '')) >= 5)", "number": "regexp_matches(s, '[0-9]')",
         }.items()
     )
     + f" FROM (SELECT {SOURCE_SQL} AS source, coalesce(problem, '') AS p, coalesce(solution, '') AS s FROM sft_pairs) GROUP BY 1"
 )
 def feature_rates(spark, d):
-    return profile.feature_rates(_by_source(table(spark, d, "sft_pairs")), "source", "problem", "solution")
+    return profile.feature_rates(_by_source(spread(table(spark, d, "sft_pairs").select("source", "problem", "solution"))), "source", "problem", "solution")
 
 
 _KEY = f"left({strip_sql('problem')}, 200)"
@@ -315,21 +326,26 @@ def stratified_top(spark, d):
 
 
 def _sized(spark, d):
-    """Documents in groups of about a thousand that are packed each for itself."""
-    return table(spark, d, "documents").select("doc_id", F.size(X.words(F.col("text"))).alias("n"), F.expr("doc_id div 1000").alias("g"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("g"), F.size(X.words(F.col("text"))).alias("n"))
 
 
-@query()
+def _fold_sql(order: str, keep: str, first: str, then: str, out: str) -> str:
+    """A fold over each group in order, row by row."""
+    base = f"SELECT coalesce(source, '-') AS g, doc_id, CAST(len({WORDS_SQL}) AS BIGINT) AS n FROM documents"
+    return f"WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS i FROM ({base}) WHERE {keep}), f AS (SELECT g, doc_id, n, i, {first} FROM b WHERE i = 1 UNION ALL SELECT b.g, b.doc_id, b.n, b.i, {then} FROM f JOIN b ON b.g = f.g AND b.i = f.i + 1) SELECT g, doc_id, n AS n_tokens, {out} FROM f"
+
+
+@query(_fold_sql("doc_id", "true", 'CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS "offset"', 'f.shard + CASE WHEN f."offset" + f.n >= 20000 THEN 1 ELSE 0 END, CASE WHEN f."offset" + f.n >= 20000 THEN 0 ELSE f."offset" + f.n END', 'shard, "offset"'))
 def shard_assignment(spark, d):
     return ordered.assign_shards(_sized(spark, d), "g", "doc_id", "n", 20_000)
 
 
-@query()
+@query(_fold_sql("doc_id", "n BETWEEN 1 AND 2048", "CAST(0 AS BIGINT) AS pack, CAST(0 AS BIGINT) AS start", "f.pack + CASE WHEN f.start + f.n + 1 + b.n > 2048 THEN 1 ELSE 0 END, CASE WHEN f.start + f.n + 1 + b.n > 2048 THEN 0 ELSE f.start + f.n + 1 END", "pack, start"))
 def packed_sequences(spark, d):
     return ordered.pack_next_fit(_sized(spark, d), "g", "doc_id", "n", 2_048)
 
 
-@query()
+@query(_fold_sql("n, doc_id", "true", "CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS held", "f.batch + CASE WHEN (f.held + 1) * b.n > 16384 THEN 1 ELSE 0 END, CASE WHEN (f.held + 1) * b.n > 16384 THEN 1 ELSE f.held + 1 END", "batch"))
 def token_budget_batches(spark, d):
     return ordered.budget_batches(_sized(spark, d), "g", "doc_id", "n", 16_384)
 
@@ -433,7 +449,7 @@ def json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT CAST(event_id AS INTEGER) AS step, CAST(10000 AS INTEGER) AS of, round(value, 2) AS loss FROM events WHERE value IS NOT NULL AND event_id < 1000000")
+@query("SELECT event_id AS step, CAST(10000 AS BIGINT) AS of, round(value, 2) AS loss FROM events WHERE value IS NOT NULL")
 def parsed_log(spark, d):
     lines = table(spark, d, "events").filter("value IS NOT NULL").select(F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit("/10000 | loss: "), F.format_string("%.6f", "value"), F.lit(" | 12.5 tok/s | eta 3m")).alias("value"))
     return files.parse_log(lines).select("step", "of", F.round("loss", 2).alias("loss"))
@@ -446,7 +462,7 @@ _SCORED = f"WITH a AS ({_ANSWERED}), t AS (SELECT problem_id, first(answer ORDER
 
 
 def _scored(spark, d):
-    return scoring.consensus(_by_source(table(spark, d, "sft_pairs")), "problem_id", "solution")
+    return scoring.consensus(_by_source(spread(table(spark, d, "sft_pairs").select("problem_id", "source", "solution"))), "problem_id", "solution", "source")
 
 
 @query(_SCORED + "SELECT source, count(*) AS n, count_if(correct) AS n_correct, count_if(answer IS NULL) AS failures, avg(CAST(correct AS INTEGER)) AS accuracy, avg(CAST(answer IS NULL AS INTEGER)) AS failure_rate FROM s GROUP BY 1")
@@ -486,7 +502,7 @@ def output_diversity(spark, d):
     return health.output_diversity(_by_source(table(spark, d, "sft_pairs")), "source", "solution")
 
 
-@query()
+@query(f"SELECT doc_id, CASE WHEN len(w) > 0 THEN len(list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda i: array_to_string(w[i:i+2], ' ')))) / greatest(1, len(w) - 2) END AS diversity FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)")
 def ngram_diversity(spark, d):
     return table(spark, d, "documents").select("doc_id", health.ngram_diversity(F.col("text")).alias("diversity"))
 
@@ -577,9 +593,8 @@ def file_manifest(spark, d):
     return files.manifest(spark, d, "*.parquet")
 
 
-@query()
+@query("SELECT e.user_id, e.ts, e.event_id, e.value FROM events e JOIN (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1) USING (user_id, event_id)")
 def stream_latest(spark, d):
     schema = table(spark, d, "events").schema
     stream = logs.file_stream(spark, os.path.join(d, "events.parquet*"), schema).select("user_id", "ts", "event_id", "value")
-    name = f"stream_latest_{uuid.uuid4().hex}"
-    return logs.run_once(logs.latest_per_key(stream, "user_id", "event_id"), name, f"{shared_dir(spark)}/{name}")
+    return logs.run_once(logs.latest_per_key(stream, "user_id", "event_id"), f"{shared_dir(spark)}/stream-latest-{uuid.uuid4().hex}")

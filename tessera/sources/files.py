@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +31,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     schema = "text string, problem string, messages array<struct<role:string,content:string>>"
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(path)
     turns = F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: m["content"])
-    lines = rows.select(F.explode(F.coalesce(F.array(F.coalesce(F.nullif("text", F.lit("")), F.nullif("problem", F.lit("")))), F.array())).alias("text")).unionByName(rows.filter("text IS NULL AND problem IS NULL").select(F.explode(turns).alias("text")))
+    own = F.coalesce(F.nullif("text", F.lit("")), F.nullif("problem", F.lit("")))
+    lines = rows.select(F.explode(F.when(own.isNotNull(), F.array(own)).otherwise(turns)).alias("text"))
     whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("value").alias("text"))
     return lines.unionByName(whole).filter(~X.blank(F.col("text"))).distinct()
 
@@ -47,6 +49,73 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("n_bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"))
 
 
+def short_hash(sha256: Column) -> Column:
+    """The first 16 hex digits of a prefixed hash; "missing" where there is none."""
+    return F.coalesce(F.left(F.regexp_replace(sha256, "^sha256:", ""), F.lit(16)), F.lit("missing"))
+
+
+def manifest_json(files: DataFrame, version: str = "1.0") -> DataFrame:
+    """The manifest as one JSON text: version, and for each file its name, length and hash, in order of the names."""
+    entry = F.struct("file", F.struct("file", "n_bytes", "sha256"))
+    return files.agg(F.to_json(F.struct(F.lit(version).alias("version"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("datasets"))).alias("manifest"))
+
+
+def manifest_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a manifest file, an empty string where there is none."""
+    try:
+        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
+    except AnalysisException:
+        return ""
+    return found[0] if found else ""
+
+
+def read_checked(spark: SparkSession, folder: str, name: str, expected: DataFrame | None = None) -> DataFrame:
+    """Lines (as JSON texts) of an evaluation set, checked against its manifest entry: file, sha256, n.
+
+    ``expected`` has name, file, sha256 and n. The entry's file has to be there with that hash (if one is stated)
+    and that many filled lines (if stated), else ValueError; without an entry NAME.jsonl or NAME_test.jsonl is read
+    as it is; FileNotFoundError if none of them is there.
+    """
+    entry = expected.filter(F.col("name") == name).first() if expected is not None else None
+    for file in [entry.file] if entry else [f"{name}.jsonl", f"{name}_test.jsonl"]:
+        try:
+            held = spark.read.format("binaryFile").load(f"{folder}/{file}")
+        except AnalysisException:
+            continue
+        lines = spark.read.text(f"{folder}/{file}").filter(F.trim("value") != "")
+        if entry:
+            found = held.select(F.sha2("content", 256)).first()[0]
+            if entry.sha256 and entry.sha256.removeprefix("sha256:") != found:
+                raise ValueError(f"checksum mismatch for {name}: expected {entry.sha256[:16]}, got {found[:16]}")
+            if entry.n and lines.count() != entry.n:
+                raise ValueError(f"count mismatch for {name}: expected {entry.n}, got {lines.count()}")
+        return lines
+    raise FileNotFoundError(f"no evaluation set {name} in {folder}")
+
+
+def read_items(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Evaluation items of all JSON lines files of a folder: dataset (the file's name), id, and the fields of ``schema``.
+
+    Items without an id get one from the file's name and the number of their line, blank lines counting. A line's
+    number is its place in its file, so each file is read by one task, as evaluation sets are small.
+    """
+    whole = spark.read.text(folder, wholetext=True, pathGlobFilter="*.jsonl").select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("dataset"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    parsed = whole.filter(F.trim("line") != "").select("dataset", "at", F.from_json("line", schema).alias("item"))
+    fields = T._parse_datatype_string(schema).fieldNames()
+    made = X.item_id(F.col("dataset"), F.col("at"))
+    return parsed.select("dataset", (F.coalesce("item.id", made) if "id" in fields else made).alias("id"), *[f"item.{f}" for f in fields if f != "id"])
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table with a header, columns by the stated schema."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
+    """A CSV table with a header; quotes inside values are doubled."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
 def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """status of each expected file: MISSING, MISMATCH or OK; a hash that is "pending" is not held against it."""
     found = actual.select("file", F.col("sha256").alias("found"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +21,32 @@ def latest_per_key(stream: DataFrame, key: str, order: str) -> DataFrame:
     return stream.groupBy(key).agg(F.max_by(F.struct(*stream.columns), F.col(order)).alias("row")).select("row.*")
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Work off what is there and stop; the result is a table in memory, for reports of bounded size."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, folder: str, mode: str = "complete", every: str | None = None) -> DataFrame:
+    """Work off what is there and stop; the result is a table in ``folder``, which all executors must share.
+
+    Each batch is written to a folder of its own, which a repeated batch overwrites, so that a restart neither
+    loses nor doubles rows; nothing passes through the driver. In complete mode the last batch is the result, else
+    all batches are. ``every`` (such as "600 seconds") commits on that clock until the caller stops the query,
+    which is then returned in place of a table.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
+    if every:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    last = (query.lastProgress or {}).get("batchId")
+    if last is None and mode == "complete":
+        return spark.createDataFrame([], df.schema)
+    try:
+        rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    except AnalysisException:  # no batch had anything
+        return spark.createDataFrame([], df.schema)
+    return (rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0]) if mode == "complete" else rows).drop("batch")
 
 
 def windowed_counts(stream: DataFrame, at: str, by: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -55,7 +55,7 @@ def test_profiles(spark):
 
 def test_folds(spark):
     sizes = [30, 70, 50, 10, 100, 5, 5]
-    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes)], "g long, o long, n int")
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes)], "g long, o long, n int").repartition(3)
     got = [(r.shard, r.offset) for r in ordered.assign_shards(df, "g", "o", "n", 100).orderBy("o").collect()]
     assert got == [(0, 0), (0, 30), (1, 0), (1, 50), (1, 60), (2, 0), (2, 5)]
     packs = [(r.pack, r.start) for r in ordered.pack_next_fit(df, "g", "o", "n", 101).orderBy("o").collect()]
@@ -135,7 +135,7 @@ def test_plateau_stream(spark, tmp_path):
     rows = [("a", i, v) for i, v in enumerate([1.0, 0.9, 0.8, 0.7999, 0.7999, 0.7999, 0.7999])]
     df = spark.createDataFrame(rows, "s string, step long, loss double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = logs.run_once(logs.plateau_monitor(logs.file_stream(spark, str(tmp_path / "in"), df.schema), "s", "step", "loss"), "plateau_test", str(tmp_path / "ck"), "append")
+    out = logs.run_once(logs.plateau_monitor(logs.file_stream(spark, str(tmp_path / "in"), df.schema), "s", "step", "loss"), str(tmp_path / "ck"), "append")
     assert [r.plateau for r in out.orderBy("step").collect()] == [False, False, False, False, False, True, True]
 
 
