@@ -69,7 +69,7 @@ def accuracy(scored: DataFrame, by: str) -> DataFrame:
 def two_models(a: DataFrame, b: DataFrame, key: str, by: str) -> DataFrame:
     """Problems that both models were scored on, joined by key: by, key, a, b (right or not). A problem of several samples is right if its first answer in order is."""
     def flag(scored: DataFrame, name: str) -> DataFrame:
-        return scored.groupBy(key, by).agg(F.min_by("correct", "answer").alias(name))
+        return scored.groupBy(key, by).agg(F.min_by("correct", F.struct(F.col("answer").isNull(), "answer")).alias(name))
 
     return flag(a, "a").join(flag(b, "b"), [key, by])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels, text as X
 from tessera.operators import leakage, mixture, neardup, normalize, ordered, profile, registry, scoring
-from tessera.queries import core
+from tessera.queries import core, more  # noqa: F401 - more adds its queries
 from tessera.sources import files, shards
 from tessera.streaming import logs
 
