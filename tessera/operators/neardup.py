@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = made = int(pd.util.hash_array(np.array([word], object))[0])
+        self[word] = made = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return made
 
 
@@ -143,7 +144,7 @@ def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame
 
         kind = df.schema["id"].dataType.simpleString()
         signed.append(df.select("id", "set").mapInArrow(run, f"id {kind}, s bigint").withColumn("side", F.lit(side)))
-    keys = signed[0] if own else signed[0].unionByName(signed[1])
+    keys = written(signed[0] if own else signed[0].unionByName(signed[1]))  # signed once, read twice
     # How often a signature occurs on either side; alone it links nothing. Partial counts come before the shuffle.
     counts = keys.groupBy("s").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
     met = counts.filter("n0 > 1" if own else "n0 > 0 AND n1 > 0")
