@@ -2,10 +2,12 @@
 
 Two independent algorithms over the same rank file:
 
-* ``PrefixEncoder`` - per-prefix dynamic programming. An Aho-Corasick automaton over the vocabulary (in
-  place of a suffix automaton; the matches are the same) lists the tokens that end at each byte; for every prefix exactly one of them can be the last token of that
-  prefix's encoding, and a pair-compatibility test against the last token of the shorter prefix finds
-  it. Following the back-pointers from the end emits the ids. Linear in the length of the piece.
+* ``PrefixEncoder`` - per-prefix dynamic programming. For every prefix exactly one token can be the last of its
+  encoding; among the tokens that are suffixes of the prefix, a pair-compatibility test against the last token of
+  the shorter prefix finds it. Following the back-pointers from the end emits the ids. Linear in the length of the
+  piece. The suffixes come from an Aho-Corasick automaton: its state after a byte stands for the longest suffix that
+  begins a token, and its suffix links lead through all tokens that end there, which is the match set that a suffix
+  automaton over the vocabulary gives (tests hold it against trying every suffix).
 * ``MergeCounter`` - the piece as a linked list of symbols with a priority queue of merges; what
   survives is counted. O(n log n).
 

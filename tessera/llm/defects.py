@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from pathlib import Path
 from typing import NamedTuple
 from zlib import crc32
@@ -51,6 +51,7 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(_COMMAND.sub(" ", text.lower()))
 
 
+@lru_cache(100_000)
 def bucket(name: str, of: int = BUCKETS) -> int:
     return crc32(name.encode("utf-8", "surrogatepass")) % of
 
@@ -142,13 +143,14 @@ class Field:
         words = tokens(text) if text else []
         return Problem(frozenset(words), len(words), np.sum([self.word(w)[1] for w in words], axis=0) if words else self._grams_of_numbers)
 
-    def features(self, problems: list[Problem], parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A row of numbers for each clause of all answers, what its words add to each tag, and the hashed endings of each answer."""
-        inside, fresh, told, covered, inside_all, fresh_all, ends = [], [], [], [], [], [], []
+    def features(self, problems: list[Problem], parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[Clause]]]:
+        """A row of numbers for each clause of all answers, what its words add to each tag, the hashed endings of each answer, and its clauses."""
+        inside, fresh, told, covered, inside_all, fresh_all, ends, all_told = [], [], [], [], [], [], [], []
         for problem, of in zip(problems, parts, strict=True):
             own = problem.words
             mine = [self.clause(p) for p in of]
             told += mine
+            all_told.append(mine)
             new = 0
             for c in mine:
                 inside.append(len(c.words & own))
@@ -184,7 +186,7 @@ class Field:
             ],
             axis=1,
         ).astype(np.float32)
-        return dense, np.array([c.lexical for c in told], np.float32), np.array(ends)
+        return dense, np.array([c.lexical for c in told], np.float32), np.array(ends), all_told
 
     def score(self, dense: np.ndarray, lexical: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What each clause of all answers adds to each tag."""
@@ -192,12 +194,13 @@ class Field:
         emitted[np.cumsum(counts) - 1] += self.hashed[ends].sum(1)
         return emitted
 
-    def tag(self, problems: list[Problem], parts: list[list[str]]) -> list[np.ndarray]:
-        """The best tags of the clauses of each answer; no answer may be without clauses."""
+    def tag(self, problems: list[Problem], parts: list[list[str]]) -> tuple[list[list[Clause]], list[np.ndarray]]:
+        """(clauses, best tags) of each answer; no answer may be without clauses."""
         if not parts:
-            return []
+            return [], []
         counts = np.array([len(of) for of in parts])
-        return self.decode(self.score(*self.features(problems, parts), counts), counts)
+        *seen, told = self.features(problems, parts)
+        return told, self.decode(self.score(*seen, counts), counts)
 
     def decode(self, emitted: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         """Viterbi over all answers at once, the longest first, so that no step works on padding."""
@@ -291,8 +294,8 @@ def verdicts(field: Field, problems: list[str | None], solutions: list[str | Non
     parts = [clauses(s) for s in solutions]
     filled = [k for k, p in enumerate(parts) if p]
     out: list[str | None] = ["empty"] * len(parts)
-    for k, tags in zip(filled, field.tag([of[k] for k in filled], [parts[k] for k in filled]), strict=True):
-        out[k] = judge(of[k], [field.clause(p) for p in parts[k]], tags)
+    for k, told, tags in zip(filled, *field.tag([of[k] for k in filled], [parts[k] for k in filled]), strict=True):
+        out[k] = judge(of[k], told, tags)
     return out
 
 

@@ -30,7 +30,7 @@ REFUSALS = {
             "I can't help with that", "I cannot assist you here", "I am unable to give an answer", "I won't solve this", "I'm not able to answer this question", "I must decline to respond", "I have to refuse this task",
             "I would rather not work on this", "I don't feel comfortable answering", "this is something I am not permitted to do", "that lies outside of what I may offer", "it goes against my policy to give solutions", "I am not going to complete this exercise",
             "answering this would not be appropriate", "I do not have the means to handle such tasks", "you will get no answer from me", "I decline to work this out", "I'd prefer not to give the result", "I can not provide a solution", "my rules forbid me to answer",
-            "I will not be doing this homework for you", "I'm not allowed to solve exercises", "I have been told not to answer questions like this", "I cannot comply with this request", "I do not wish to continue with this calculation", "my instructions do not let me respond to this", "no worked answer will come from me", "a result is not going to be given here", "an answer cannot be supplied", "nothing of the kind will be supplied by me", "no result will be offered by me", "there won't be a solution from me", "no help will be given with this", "it would be wrong of me to hand out a result", "giving a full solution would be inappropriate", "I'd rather leave this unanswered", "I'd rather not", "it would not be appropriate for me to do this", "I don't want to give the answer", "it is not appropriate that I answer here", "I am prevented from finishing this problem", "I refuse to help with this",
+            "I will not be doing this homework for you", "I'm not allowed to solve exercises", "I have been told not to answer questions like this", "I cannot comply with this request", "I do not wish to continue with this calculation", "my instructions do not let me respond to this", "no worked answer will come from me", "a result is not going to be given here", "an answer cannot be supplied", "nothing of the kind will be supplied by me", "no result will be offered by me", "there won't be a solution from me", "no help will be given with this", "it would be wrong of me to hand out a result", "giving a full solution would be inappropriate", "I'd rather leave this unanswered", "I don't want to give the answer", "it is not appropriate that I answer here", "I am prevented from finishing this problem", "I refuse to help with this",
         ),
         ("", "", "Please ask someone else.", "Maybe a tutor can help you.", "Is there something different I could do for you?", "Feel free to ask me something else.", "I hope you understand.", "Try looking it up in a book.", "I can offer advice on how to learn instead.", "Do you have another question?", "Thank you for understanding.", "If you need anything else, just tell me.", "I am happy to talk about other topics.", "Tell me if you want something different.", "Perhaps your class notes are of use."),
     ),
@@ -237,7 +237,7 @@ def fit(field: D.Field, data: list[tuple[str, list[str], list[int], str]], epoch
     moment, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     rng = np.random.default_rng(seed)
     made = []
-    all_dense, _, all_ends = field.features([field.problem(d[0]) for d in data], [d[1] for d in data])
+    all_dense, _, all_ends, _ = field.features([field.problem(d[0]) for d in data], [d[1] for d in data])
     cuts = np.cumsum([len(d[1]) for d in data])[:-1]
     for (_, parts, tags, _), rows, ends in zip(data, np.split(all_dense, cuts), all_ends, strict=True):
         made.append((rows, ends, [field.lexicon_rows(D._SHAPE.sub("0", p))[0] for p in parts], np.array(tags)))
@@ -301,12 +301,12 @@ def fit(field: D.Field, data: list[tuple[str, list[str], list[int], str]], epoch
 
 def measure(field: D.Field, data: list[tuple[str, list[str], list[int], str]]) -> tuple[float, dict[str, float]]:
     """Share of clauses tagged rightly, and share of answers judged as constructed, by kind."""
-    tagged = field.tag([field.problem(p) for p, *_ in data], [parts for _, parts, _, _ in data])
+    told, tagged = field.tag([field.problem(p) for p, *_ in data], [parts for _, parts, _, _ in data])
     right = sum(int((t == np.array(y)).sum()) for t, (_, _, y, _) in zip(tagged, data, strict=True))
     want = {"answer": None, "unfinished": "truncated", "echo": "copy", "foreign": "language", "hollow": "empty"}
     kinds: dict[str, list[bool]] = {}
-    for (problem, parts, _, kind), tags in zip(data, tagged, strict=True):
-        got = D.judge(field.problem(problem), [field.clause(p) for p in parts], tags)
+    for (problem, _, _, kind), mine, tags in zip(data, told, tagged, strict=True):
+        got = D.judge(field.problem(problem), mine, tags)
         kinds.setdefault(kind, []).append(got == want.get(kind, kind))
     return right / sum(len(y) for _, _, y, _ in data), {k: round(sum(v) / len(v), 4) for k, v in sorted(kinds.items())}
 

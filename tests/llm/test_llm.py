@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, defects, leakage, mixing, packing, pii, queries, tokens
 
-tiktoken = pytest.importorskip("tiktoken")
-
 
 @pytest.fixture(scope="module")
 def reference():
+    tiktoken = pytest.importorskip("tiktoken")
     return tiktoken.Encoding("own", pat_str=bpe.PIECE_PATTERN, mergeable_ranks=bpe.read_ranks(bpe.vocabulary_bytes()), special_tokens={})
 
 
@@ -25,6 +24,14 @@ def test_bpe_is_exact(reference):
         assert encoder.encode(t) == want and counter.count(t) == len(want)
 
 
+def test_suffix_matches_by_trying_every_suffix():
+    encoder, rng = bpe.PrefixEncoder(bpe.vocabulary_bytes()), random.Random(4)
+    for _ in range(300):
+        data = "".join(rng.choice(" theinsonaé中\n1") for _ in range(rng.randrange(1, 40))).encode()
+        found = {(end + 1 - length, end + 1, token) for end, (length, token) in encoder.automaton.iter(data.decode("latin-1"))}
+        assert found == {(i, j, encoder.ranks[data[i:j]]) for i in range(len(data)) for j in range(i + 1, len(data) + 1) if data[i:j] in encoder.ranks}
+
+
 def test_ids_and_counts(spark, reference):
     rows = [(1, "Hello  world"), (2, ""), (3, None), (4, "x" * 300_000), (4, "Hello  world")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids_", F.lit(1))
@@ -234,6 +241,25 @@ def test_emails_however_disguised(at):
         assert [(s.kind, s.start, s.end) for s in spans] == [("email", 5, 5 + len(mail))]
 
 
+def test_queries_agree(spark, folder, reference, tmp_path):
+    """Over the whole smallest tables: ids as the public library has them; counts, ids and sequences add up to the same; totals as SQL has them."""
+    duckdb = pytest.importorskip("duckdb")
+    made = queries.queries()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {r.doc_id: r.ids for r in made["p5_ids"](spark, folder).collect()}
+    assert ids == {k: reference.encode_ordinary(t or "") for k, t in texts.items()}
+    counted = made["p4_record_tokens"](spark, folder)
+    counted.write.parquet(str(tmp_path / "counted"))
+    assert {r.record_id: r.n_tokens for r in counted.filter("corpus = 'documents'").collect()} == {k: len(v) for k, v in ids.items()}
+    assert made["p6_fill"](spark, folder).first().n_tokens == sum(map(len, ids.values()))
+    want = duckdb.sql(
+        f"""SELECT corpus, CASE grouping(source, lang, subject) WHEN 0 THEN 'source,lang,subject' WHEN 3 THEN 'source' WHEN 5 THEN 'lang' WHEN 6 THEN 'subject' ELSE 'all' END AS slice, source, lang, subject, count(*) AS n_records, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+        FROM (SELECT corpus, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(subject, 'unknown') AS subject, n_tokens FROM '{tmp_path}/counted/*.parquet')
+        GROUP BY GROUPING SETS ((corpus, source, lang, subject), (corpus, source), (corpus, lang), (corpus, subject), (corpus))"""
+    ).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in tokens.token_totals(counted).collect())
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, folder, name):
     assert queries.queries()[name](spark, folder).count() > 0
