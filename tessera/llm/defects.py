@@ -43,12 +43,12 @@ _TOKEN = re.compile(r"[一-鿿぀-ヿ]|[^\W_一-鿿぀-ヿ]+")
 _NUMBER = re.compile(r"\d+")
 _COMMAND = re.compile(r"\\[a-zA-Z]+")
 _SHAPE = re.compile(r"\$[^$]*\$|\d+")
-_RESULT = re.compile(r"=\s*(\d+)(?!.*=)", re.S)
+_RESULT = re.compile(r"=\s*(\d+)")
 
 
 def tokens(text: str) -> list[str]:
     """Words and numbers in lower case without markup; each ideograph is a word."""
-    return _TOKEN.findall(_COMMAND.sub(" ", text.lower()))
+    return _TOKEN.findall(_COMMAND.sub(" ", text.lower()) if "\\" in text else text.lower())
 
 
 @lru_cache(100_000)
@@ -252,14 +252,16 @@ def ending(parts: list[str], clause: Clause) -> list[int]:
     tail = last.rstrip("*_ \t")[-6:]
     final = tail[-1:]
     kind = "letter" if final.isalpha() else "digit" if final.isdigit() else final
-    words = _TOKEN.findall(last.lower())[-2:]
+    words = _TOKEN.findall(last[-120:].lower())[-2:]
     told = [("#" if w[:1].isdigit() else w) for w in ["", "", *words][-2:]]
     plain = clause.n - len(clause.numbers)
     size = "0" if plain <= 0 else "1" if plain == 1 else "2-3" if plain <= 3 else "4+"
     opened = (last.count("$") % 2, last.count("{") > last.count("}"), last.count("(") > last.count(")"), last.count("[") > last.count("]"), last.count("```") % 2)
     before = " ".join(parts[-4:-1])
-    result, shown = _RESULT.search(before), _NUMBER.findall(last)
-    prefix = bool(result and shown and kind == "digit" and result[1] != shown[-1] and result[1].startswith(shown[-1]))
+    prefix = False  # is the last number the beginning of the last result before?
+    if kind == "digit" and (at := before.rfind("=")) >= 0:
+        result, shown = _RESULT.match(before, at), _NUMBER.findall(last)[-1:]
+        prefix = bool(result and shown and result[1] != shown[0] and result[1].startswith(shown[0]))
     only = len(parts) == 1
     trailing = re.sub(r"\w+", "w", tail)
     frame = "=" in last or "####" in last or "boxed" in last
