@@ -68,12 +68,16 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("__h", key).limit(n).drop("__h")
 
 
-def stratified_top(df: DataFrame, group: str, level: str, hard: int, order: str, n: int) -> DataFrame:
-    """n rows of each group, from the hard levels where those suffice, hardest first; ties by ``order``."""
-    w = W.partitionBy(group)
-    marked = df.withColumn("__hard", F.coalesce(F.col(level) >= hard, F.lit(False))).withColumn("__enough", F.count_if("__hard").over(w) >= n)
-    pool = marked.filter(~F.col("__enough") | F.col("__hard"))
-    return pool.withColumn("rank", F.row_number().over(w.orderBy(F.col(level).desc_nulls_last(), order))).filter(F.col("rank") <= n).drop("__hard", "__enough")
+def stratified_top(df: DataFrame, group: str, level: str, hard: int, order: str, n: int, most: int | None = None) -> DataFrame:
+    """n rows of each group, from the hard levels where those suffice, hardest first; ties by ``order``; ``most`` rows in all, group after group.
+
+    Whether they suffice is an aggregate with partial counts; the ranks are cut to n in each partition before the shuffle.
+    """
+    is_hard = F.coalesce(F.col(level) >= hard, F.lit(False))
+    enough = df.groupBy(F.col(group).alias("__g")).agg((F.count_if(is_hard) >= n).alias("__enough"))
+    pool = df.join(enough, F.col(group).eqNullSafe(F.col("__g"))).filter(~F.col("__enough") | is_hard).drop("__g", "__enough")
+    out = pool.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.col(level).desc_nulls_last(), order))).filter(F.col("rank") <= n)
+    return out if most is None else out.orderBy(group, "rank").limit(most)
 
 
 def fold(df: DataFrame, group: str, order: list[str], step: Callable[[tuple | None, list[tuple]], tuple[tuple | None, list[tuple]]], made: str) -> DataFrame:
@@ -247,20 +251,36 @@ def monitor(df: DataFrame, series: str, order: list[str], loss: str, patience: i
     )
 
 
-def trajectory(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
-    """First, quarter, half, three-quarter and last value of each series."""
-    w = W.partitionBy(series)
-    rows = df.withColumn("i", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(w))
+def trajectory(df: DataFrame, series: str, order: list[str], value: str, width: int = 10_000) -> DataFrame:
+    """First, quarter, half, three-quarter and last value of each series.
+
+    A series may hold most of the rows: the range of its first order column is cut into parts of about ``width`` rows,
+    whose counts are summed first; a row's position is that sum and its rank in its part. Nulls of the order come first.
+    """
+    first = F.col(order[0])
+    number = F.unix_micros(first) if df.schema[order[0]].dataType.simpleString() == "timestamp" else first.cast("double")
+    span = df.groupBy(F.col(series).alias("__s")).agg(F.min(number).alias("__low"), F.max(number).alias("__high"), F.count(F.lit(1)).alias("n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / width))
+    placed = df.join(span, F.col(series).eqNullSafe(F.col("__s"))).withColumn("__b", F.when(F.col("__high") > F.col("__low"), F.floor((number - F.col("__low")) / (F.col("__high") - F.col("__low")) * parts)).otherwise(F.lit(0)))
+    placed = placed.withColumn("__b", F.coalesce("__b", F.lit(-1)))
+    counts = placed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = counts.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), F.coalesce(F.sum("__c").over(W.partitionBy("__s").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__s", "__b").orderBy(*order))
+    rows = placed.withColumn("__i", inside).join(before, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2"))).withColumn("i", F.col("__before") + F.col("__i"))
     at = {"first": F.lit(1), "quarter": F.greatest(F.lit(1), F.expr("n div 4")), "half": F.greatest(F.lit(1), F.expr("n div 2")), "three_quarters": F.greatest(F.lit(1), F.expr("3 * n div 4")), "last": F.col("n")}
     return rows.groupBy(series).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == k, F.col(value))).alias(name) for name, k in at.items()])
 
 
-def frontier(df: DataFrame, cost: str, metric: str, width: float) -> DataFrame:
+def frontier(df: DataFrame, cost: str, metric: str, buckets: int = 4_096) -> DataFrame:
     """Rows whose metric is above that of every cheaper row (and best of their cost).
 
-    Two levels: the best metric of each cost bucket is made first, so that no task sorts all rows.
+    Two levels: the range of costs is cut into at most ``buckets`` parts, the best metric of each part is made
+    first, and only those few are put in order; inside its part a row is held against the cheaper ones there.
     """
-    per_cost = df.filter(F.col(cost).isNotNull() & F.col(metric).isNotNull()).groupBy(cost).agg(F.max(metric).alias(metric)).withColumn("__b", F.floor(F.col(cost) / width))
+    per_cost = df.filter(F.col(cost).isNotNull() & F.col(metric).isNotNull()).groupBy(cost).agg(F.max(metric).alias(metric))
+    ends = per_cost.agg(F.min(cost).cast("double").alias("low"), F.max(cost).cast("double").alias("high")).first()
+    width = ((ends.high - ends.low) / buckets or 1.0) if ends.low is not None else 1.0
+    per_cost = per_cost.withColumn("__b", F.floor((F.col(cost).cast("double") - F.lit(ends.low or 0.0)) / width))
     tops = per_cost.groupBy("__b").agg(F.max(metric).alias("__top"))
     earlier = tops.select("__b", F.max("__top").over(W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__earlier"))
     inside = F.max(metric).over(W.partitionBy("__b").orderBy(cost).rowsBetween(W.unboundedPreceding, -1))

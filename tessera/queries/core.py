@@ -366,7 +366,7 @@ def metric_trajectory(spark, d):
 @query("SELECT cost, metric FROM (SELECT *, max(metric) OVER (ORDER BY cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT o_totalprice AS cost, max(length(o_orderpriority) * 10 + o_custkey % 97) AS metric FROM orders GROUP BY 1)) WHERE best IS NULL OR metric > best")
 def pareto_frontier(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_totalprice").alias("cost"), (F.length("o_orderpriority") * 10 + F.col("o_custkey") % 97).alias("metric"))
-    return ordered.frontier(rows, "cost", "metric", 10_000.0)
+    return ordered.frontier(rows, "cost", "metric")
 
 
 # --- mixtures and registries ----------------------------------------------------------------------

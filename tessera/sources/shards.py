@@ -7,8 +7,8 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -34,6 +34,31 @@ def read_shard(path: str) -> list[list[int]]:
     return [part.tolist() for part in np.split(flat, starts[1:])] if len(starts) else []
 
 
+def shard_index(path: str) -> list[int] | None:
+    """Where the documents of a shard start, None where it has no index file."""
+    index = path.removesuffix(".bin") + ".idx"
+    return np.fromfile(index, "<i8").tolist() if os.path.exists(index) else None
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, doc_idx, tokens) of all shards of a folder in any file system Spark reads; without an index a shard is one document.
+
+    Both files come by Spark's own reader and meet on the shard's name; an empty folder has no rows.
+    """
+    name = F.regexp_extract("path", r"([^/]+)\.(?:bin|idx)$", 1)
+    files = [spark.read.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(folder).select(name.alias("shard"), F.col("content").alias(kind)) for kind in ("bin", "idx")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, tokens, index in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                flat = np.frombuffer(tokens, "<u2").astype(np.int32)
+                starts = np.zeros(min(1, len(flat)), np.int64) if index is None else np.frombuffer(index, "<i8")
+                ends = pa.array(np.append(starts, len(flat)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(starts), pa.string()), pa.array(np.arange(len(starts))), pa.ListArray.from_arrays(ends, pa.array(flat)) if len(starts) else pa.array([], pa.list_(pa.int32()))], names=["shard", "doc_idx", "tokens"])
+
+    return files[0].join(files[1], "shard", "left").select("shard", "bin", "idx").mapInArrow(run, SCHEMA)
+
+
 def list_shards(folder: str) -> list[str]:
     return sorted(glob.glob(os.path.join(folder, "*.bin")))
 
