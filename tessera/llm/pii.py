@@ -117,6 +117,7 @@ _DIALLED = re.compile(rf"[+(\d][{_S[1:-1]}()/\d]{{6,}}")  # where a telephone nu
 # How sure each shape alone makes it, and words nearby that speak for or against a telephone number.
 _PHONE_SCORE = {"world": 1.0, "ten": 0.7, "eleven": 0.6, "pairs": 0.7, "national": 0.65, "nine": 0.6, "local": 0.2}
 _PHONE_FOR = re.compile(r"(?i)(?<![a-z])(?:tel|tél|telefon|telefonisch|telephone|téléphone|teléfono|phone|fax|mobile|mobil|cell|handy|portable|móvil|call|ring|dial|text|sms|whatsapp|hotline|help ?desk|office|line|contact|erreichbar|unter|ruf|ruft|anruf|anrufen|rückfragen|llam[ae]|llamar|appelez|appeler|joindre|reach|number|nummer|numéro|número)(?![a-z])|电话|手机|致电|拨打|联系|телефон|тел\.|звоните|справок|номер")
+_SENTENCE = re.compile(r"[.!?。]\s+(?=[^\W\d_a-z])")
 _COUNTED = re.compile(r"[ \t][^\W\d_]{3,}")  # a bare number before a noun counts something
 _PHONE_AGAINST = re.compile(r"(?i)pattern|interval|range|order|exercise|version|isbn|issn|doi|compute|calculator|sequence|key|code|equation|remainder|sum of|digits|≈|approx")
 
@@ -167,11 +168,11 @@ _NOT_GIVEN = set(
 _RESULT = re.compile(r"(?i)(?:['’]s)?[  ]+(?:lemma|theorem|inequality|conjecture|identity|formula|criterion|method|rule|constant|number|matrix|series|transform|function|algorithm|ungleichung|satz|théorème|inégalité|teorema|desigualdad)\b")
 # Words after which a person is named, and titles; the first group is sure, the second is not.
 _NAME_CUE = re.compile(
-    r"(?i)(?<![a-z])(?:(?P<sure>(?:written|posted|asked|graded|checked|submitted|prepared|solved|answered|reviewed|edited|translated|created|compiled|taught|contributed|signed|marked|corrected|drawn|sent|given) by|(?:verfasst|geschrieben|bearbeitet|gestellt|eingereicht|korrigiert|übersetzt) von|(?:écrit|posé|rédigé|corrigé|proposé) par|(?:escrito|corregido|enviado|resuelto|propuesto) por"
+    r"(?i)(?<![^\W\d_])(?:(?P<sure>(?:written|posted|asked|graded|checked|submitted|prepared|solved|answered|reviewed|edited|translated|created|compiled|taught|contributed|signed|marked|corrected|drawn|sent|given) by|(?:verfasst|geschrieben|bearbeitet|gestellt|eingereicht|korrigiert|übersetzt) von|(?:écrit|posé|rédigé|corrigé|proposé) par|(?:escrito|corregido|enviado|resuelto|propuesto) por"
     r"|(?:full |first |last |family )?names?|vorname|nachname|nom|nombre|authors?|autor(?:in)?|auteur|autora|maintainers?|contact|kontakt|tutor|teacher|lehrer(?:in)?|student|pupil|schüler(?:in)?|élève|alumn[oa]|instructor|editor|(?:from|to|cc|attn)(?=[ \t]?[:：])|homework of|thanks(?: to)?|thank you|danke(?: an)?|merci(?: à)?|gracias(?: a)?|regards|sincerely|grüße(?:n)?|grüßen|cordialement|saludos?|hochachtungsvoll|signed|gezeichnet|copyright|dear|\\\\author)|(?P<weak>by|von|par|por|with|mit|avec|con|und|and|et|y|&|hello|hi|hallo|bonjour|hola))"
     r"[ \t]?[:：,.]?[{(]?[ \t]*(?:\r?\n[ \t]*)?[|]?[ \t]*$|(?:\(c\)|©)[ \t]*(?:\d{4}[ \t,]*)?$|(?:автор|имя|от|спасибо|谢谢|作者|姓名|老师|教授|感谢)[:：,，]?[ \t]*$"
 )
-_TITLE = re.compile(r"(?i)(?<![a-z])(?:dr|prof|mrs?|ms|miss|sir|mme|mlle|herrn?|frau|sra?|srta|don|doña|dra|professor(?:in)?|profesora?|professeur|docteur|доктор|проф|м)\.?[ \t   ]{1,2}$|(?:教授|老师|先生|女士)$")
+_TITLE = re.compile(r"(?i)(?<![^\W\d_])(?:dr|prof|mrs?|ms|miss|sir|mme|mlle|herrn?|frau|sra?|srta|don|doña|dra|professor(?:in)?|profesora?|professeur|docteur|доктор|проф|м)\.?[ \t   ]{1,2}$|(?:教授|老师|先生|女士)$")
 # Ends of what introduces persons, in lower case; a capital after one of them is looked at.
 _CUES = "by|von|par|por|name|vorname|nachname|nom|nombre|names|author|authors|autor|autorin|auteur|autora|maintainer|contact|kontakt|tutor|teacher|lehrer|lehrerin|student|pupil|élève|alumno|alumna|instructor|editor|from|to|cc|attn|of|danke an|merci à|gracias a|regards|sincerely|gruß|grüße|grüßen|cordialement|saludo|saludos|signed|copyright|dear|hello|dr|prof|mr|mrs|ms|miss|sir|mme|mlle|herr|herrn|frau|sr|sra|srta|doña|dra|professor|professorin|profesora|profesor|professeur|docteur|автор|спасибо|danke|merci|gracias|thanks|thank you|доктор|проф|谢谢|作者|姓名|教授|感谢|老师".split("|")
 _AFTER_CUE = re.compile(r"(?:\.?[ \t   ]{1,2}|[ \t]?[:：,.]?[{(]?[ \t]*(?:\r?\n[ \t]*)?[|]?[ \t]*)(?=[^\W\d_])")
@@ -364,6 +365,9 @@ class NameFinder:
         known_family = family.low in self.families or any(p in self.families for p in parts)
         if given.kind == "initial":
             score += 0.35 if large[0] else -1.0
+            lead = pieces[first - 1] if first else None
+            if lead and lead.kind == "word" and lead.text[0].isupper() and set(text[lead.end : start]) <= _SPACE and self._of(lead, False) == 0 and len(lead.text) > 2:
+                score -= 0.5  # a middle initial, rather
         else:
             score += self._of(given, known_given) - 0.6 * (given.low in self.families and not known_given)
             if not known_given and self.ordinary(given.low) < 0:
@@ -391,7 +395,7 @@ class NameFinder:
     @staticmethod
     def _shouted(text: str, start: int, stop: int) -> bool:
         """Is a word beside it in capitals too?"""
-        around = re.findall(r"([^\W\d_]{3,})[ \t]{1,2}$", text[max(0, start - 16) : start]) + re.findall(r"^[ \t]{1,2}([^\W\d_]{3,})", text[stop : stop + 16])
+        around = re.findall(r"([^\W\d_]+)[ \t]{1,2}$", text[max(0, start - 16) : start]) + re.findall(r"^[ \t]{1,2}([^\W\d_]+)", text[stop : stop + 16])
         return any(w.isupper() for w in around)
 
     def _of(self, piece: Piece, known: bool) -> float:
@@ -459,7 +463,7 @@ def _ids(text: str, places: list[tuple[int, int]]) -> Iterator[Span]:
 
     def near(start: int) -> float:
         left = text[max(0, start - 60) : start]
-        return 0.3 * bool(_ID_PERSON.search(left)) - 0.8 * bool(_PHONE_AGAINST.search(left[-40:]))
+        return 0.3 * bool(_ID_PERSON.search(left)) - 0.8 * bool(_PHONE_AGAINST.search(left[-40:])) - 0.6 * bool(_PHONE_FOR.search(left[-20:]))
 
     labelled = set()
     for start, end in places:
@@ -511,7 +515,7 @@ def _phones(text: str) -> Iterator[Span]:
             score += 0.35 - 0.3 * (shape in ("nine", "eleven") and bool(_COUNTED.match(right)))
         if shape == "nine" and re.search(r"\d[ \u00a0\u202f]$", left):
             score -= 1.0  # the end of a longer number
-        if _PHONE_AGAINST.search(left):
+        if _PHONE_AGAINST.search(_SENTENCE.split(left)[-1]):
             score -= 2.0
         if score >= 1:
             yield Span(m.start(), m.end(), "phone", score)
