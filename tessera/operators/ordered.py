@@ -258,7 +258,8 @@ def trajectory(df: DataFrame, series: str, order: list[str], value: str, width:
     whose counts are summed first; a row's position is that sum and its rank in its part. Nulls of the order come first.
     """
     first = F.col(order[0])
-    number = F.unix_micros(first) if df.schema[order[0]].dataType.simpleString() == "timestamp" else first.cast("double")
+    timed = df.schema[order[0]].dataType.simpleString().startswith(("timestamp", "date"))
+    number = F.unix_micros(first.cast("timestamp")) if timed else first.cast("double")
     span = df.groupBy(F.col(series).alias("__s")).agg(F.min(number).alias("__low"), F.max(number).alias("__high"), F.count(F.lit(1)).alias("n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / width))
     placed = df.join(span, F.col(series).eqNullSafe(F.col("__s"))).withColumn("__b", F.when(F.col("__high") > F.col("__low"), F.floor((number - F.col("__low")) / (F.col("__high") - F.col("__low")) * parts)).otherwise(F.lit(0)))
