@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import registry
+from tessera.operators import ordered, registry
 from tessera.plans.session import written
 
 # --- registries -----------------------------------------------------------------------------------
@@ -130,10 +130,10 @@ def best_of_stage(df: DataFrame, stage: str, order: str, metric: str) -> DataFra
 
 
 def cost_per_point(df: DataFrame, series: str, order: str, cost: str, metric: str) -> DataFrame:
-    """Cost so far, gain of the metric over the first value, and cost for each point gained (null without a gain)."""
-    w = W.partitionBy(series).orderBy(order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumn("spent", F.sum(cost).over(upto)).withColumn("gain", F.col(metric) - F.first(metric).over(upto))
+    """Cost so far, gain of the metric over the first value, and cost for each point gained (null without a gain). Rows of equal order share one sum."""
+    first = df.groupBy(series).agg(F.min_by(metric, order).alias("__first"))
+    out = ordered.running_total(df, series, order, cost, "spent").join(first.withColumnRenamed(series, "__s"), F.col(series).eqNullSafe(F.col("__s"))).drop("__s")
+    out = out.withColumn("gain", F.col(metric) - F.col("__first")).drop("__first")
     return out.withColumn("per_point", F.when(F.col("gain") > 0, F.col("spent") / F.col("gain")))
 
 
@@ -174,12 +174,13 @@ def loss_health(df: DataFrame, series: str, order: str, loss: str, after: int, d
 def streaks(df: DataFrame, series: str, order: list[str], alarm: Column, least: int) -> DataFrame:
     """Series in which the alarm holds for ``least`` points on end: first and longest such streak.
 
-    Streaks are found by the difference of two row numbers, then counted.
+    A streak is what lies between two quiet points: rows carry the place of the last quiet one before them, a running
+    maximum in two levels, and streaks are counted by it.
     """
-    w = W.partitionBy(series).orderBy(*order)
-    rows = df.withColumn("__a", F.coalesce(alarm, F.lit(False))).withColumn("__i", F.row_number().over(w))
-    runs = rows.filter("__a").withColumn("__run", F.col("__i") - F.row_number().over(w))
-    return runs.groupBy(series, "__run").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("at")).filter(F.col("n") >= least).groupBy(series).agg(F.min("at").alias("first_at"), F.max("n").alias("longest"))
+    rows = ordered.positions(df.withColumn("__a", F.coalesce(alarm, F.lit(False))), series, order)
+    marked = ordered.running(rows, {"__quiet": (F.max, F.when(~F.col("__a"), F.col("i")).otherwise(F.lit(0)))})
+    runs = marked.filter("__a").groupBy(series, "__quiet").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("at"))
+    return runs.filter(F.col("n") >= least).groupBy(series).agg(F.min("at").cast("int").alias("first_at"), F.max("n").alias("longest"))
 
 
 def correlations(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -243,6 +244,4 @@ def chat_ids(messages: Column, marks: tuple[int, int, int, int] = (1, 2, 3, 4))
 
 def in_order(df: DataFrame, key: str, n: int, order: str, seed: int = 42) -> DataFrame:
     """A seeded sample of n rows (by the order of a hash of the key), back in the order they had."""
-    from tessera.operators.ordered import seeded_sample
-
-    return seeded_sample(df, key, n, seed).orderBy(order)
+    return ordered.seeded_sample(df, key, n, seed).orderBy(order)

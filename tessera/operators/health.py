@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import ordered
 
 
 def ngram_diversity(text: Column, n: int = 3) -> Column:
@@ -24,15 +25,20 @@ def output_diversity(df: DataFrame, by: str, output: str, alarm: float = 0.3) ->
     return out.withColumn("share", F.col("n_distinct") / F.col("n_outputs")).withColumn("alarm", F.col("share") < alarm)
 
 
-def series_health(df: DataFrame, series: str, order: list[str], value: str, drop: float, streak: int, low: float) -> DataFrame:
-    """One row per series: first, last, best, explosion (over twice the first, or NaN), a drop under the running peak for ``streak`` points on end, and a streak of values under ``low``."""
-    w = W.partitionBy(series).orderBy(*order)
-    rows = df.filter(F.col(value).isNotNull()).withColumn("peak", F.max(value).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    frame = w.rowsBetween(-(streak - 1), 0)
+def series_health(df: DataFrame, series: str, order: list[str], value: str, drop: float, streak: int, low: float, width: int = ordered.WIDTH) -> DataFrame:
+    """One row per series: first, last, best, explosion (over twice the first, or NaN), a drop under the running peak for ``streak`` points on end, and a streak of values under ``low``.
+
+    No task holds more than about ``width`` rows of a series.
+    """
+    rows = ordered.positions(df.filter(F.col(value).isNotNull()), series, order, width)
+    peaks = ordered.running(rows, {"peak": (F.max, F.col(value))}, width)
+    frame = W.partitionBy("__k", "__chunk").orderBy("i").rowsBetween(-(streak - 1), 0)
     full = F.count(F.lit(1)).over(frame) == streak
-    rows = rows.withColumn("fallen", full & F.bool_and(F.col("peak") - F.col(value) > drop).over(frame)).withColumn("short", full & F.bool_and(F.col(value) < low).over(frame)).withColumn("start", F.first(value).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    at = F.struct(*order)
-    return rows.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"), F.max(value).alias("best"), F.bool_or(F.isnan(value) | (F.col(value) > 2 * F.col("start"))).alias("exploded"), F.bool_or("fallen").alias("fell"), F.bool_or("short").alias("stayed_low"))
+    near = ordered.overlapped(peaks, streak - 1, width)
+    near = near.withColumn("fallen", full & F.bool_and(F.col("peak") - F.col(value) > drop).over(frame)).withColumn("short", full & F.bool_and(F.col(value) < low).over(frame)).filter("__own")
+    out = near.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, "i").alias("first"), F.max_by(value, "i").alias("last"), F.max(value).alias("best"), F.bool_or(F.isnan(value)).alias("__nan"), F.bool_or("fallen").alias("fell"), F.bool_or("short").alias("stayed_low"))
+    # The largest value decides whether any is over twice the first; NaN counts as largest.
+    return out.select(series, "n", "first", "last", "best", (F.col("__nan") | (F.col("best") > 2 * F.col("first"))).alias("exploded"), "fell", "stayed_low")
 
 
 def stage_delta(df: DataFrame, key: str, stage: str, early: str, late: str, metric: str) -> DataFrame:

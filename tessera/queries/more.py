@@ -47,11 +47,14 @@ def sampled_scores(spark, d):
     return scoring.per_problem(scoring.against_truth(samples, items, "problem_id", "output", "answer"), "problem_id")
 
 
-@query(f"SELECT problem_id, coalesce(CAST({normal_answer_sql('a')} = {normal_answer_sql('b')} AS INTEGER), 0) * 1.0 AS exact, CASE WHEN contains(solution, '\\boxed{{') THEN 0.1 ELSE 0.0 END + 0.9 * coalesce(CAST({normal_answer_sql('a')} = {normal_answer_sql('b')} AS INTEGER), 0) AS formatted, greatest(0.0, coalesce(CAST({normal_answer_sql('a')} = {normal_answer_sql('b')} AS INTEGER), 0) * (1 - 0.001 * n)) AS shortened FROM (SELECT problem_id, coalesce(solution, '') AS solution, {answer_sql('solution')} AS a, coalesce(regexp_extract_all(answer, '\\\\boxed\\{{([^}}]+)\\}}', 1)[-1], answer) AS b, len({WORDS_SQL.replace('text', 'solution')}) AS n FROM ({_ITEMS}))")
+_RIGHT = f"coalesce(CAST({normal_answer_sql('a')} = {normal_answer_sql('b')} AS INTEGER), 0)"
+
+
+@query(f"SELECT problem_id, CAST({_RIGHT} AS DOUBLE) AS exact, round(CASE WHEN contains(solution, '\\boxed{{') THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CAST(0.9 AS DOUBLE) * {_RIGHT}, 9) AS formatted, round(greatest(CAST(0 AS DOUBLE), {_RIGHT} * (1 - CAST(0.001 AS DOUBLE) * n)), 9) AS shortened FROM (SELECT problem_id, coalesce(solution, '') AS solution, {answer_sql('solution')} AS a, coalesce(regexp_extract_all(answer, '\\\\boxed\\{{([^}}]+)\\}}', 1)[-1], answer) AS b, len({WORDS_SQL.replace('text', 'solution')}) AS n FROM ({_ITEMS}))")
 def item_rewards(spark, d):
     items = _items(spark, d)
     made = scoring.shaped_rewards(F.coalesce("solution", F.lit("")), F.col("answer"), F.size(X.words(F.col("solution"))))
-    return items.select("problem_id", *[c.alias(n) for n, c in made.items()])
+    return items.select("problem_id", *[F.round(c, 9).alias(n) for n, c in made.items()])
 
 
 _BOTH = f"SELECT dataset, coalesce(found = truth, false) AS a, coalesce(contains(solution, truth), false) AS b FROM ({_TRUE_SQL})"

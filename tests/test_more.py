@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import extras, leakage, neardup, normalize, ordered, scoring
+from tessera.operators import extras, health, leakage, neardup, normalize, ordered, scoring
 from tessera.plans.session import spread
 from tessera.sources import files, shards
 from tessera.streaming import logs
@@ -178,6 +178,30 @@ def test_alarms(spark):
     assert extras.streaks(runs, "s", ["t"], F.col("v") == 1, 4).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 10_000])
+def test_series_in_chunks(spark, width):
+    """Running values, neighbours and streaks do not depend on how a series is cut; ties and null series included."""
+    rng = random.Random(2)
+    rows = [(s, rng.choice((None, *range(20))), i, None if rng.random() < 0.1 else float(rng.randrange(30))) for s in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "s string, t int, id long, v double").repartition(3)
+    got = {r.id if r.s else -1 - r.id: r for r in ordered.monitor(df, "s", ["t", "id"], "v", 2, 0.05, width=width).collect()}
+    health_rows = {r.s: r for r in health.series_health(df, "s", ["t", "id"], "v", 10.0, 3, 12.0, width).collect()}
+    for s in ("a", None):
+        mine = sorted((r for r in rows if r[0] == s and r[3] is not None), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        values = [r[3] for r in mine]
+        for k, r in enumerate(mine):
+            g = got[r[2] if s else -1 - r[2]]
+            past = values[k - 2] if k >= 2 else None
+            assert (g.step, g.best, g.worst) == (k + 1, min(values[: k + 1]), max(values[: k + 1]))
+            assert g.monotone == all(y <= x for x, y in zip(values[:k], values[1 : k + 1]))
+            assert g.plateau == (past is not None and past != 0 and (past - values[k]) / abs(past) < 0.05)
+        peaks = [max(values[: k + 1]) for k in range(len(values))]
+        runs = lambda flags: any(all(flags[k - 2 : k + 1]) for k in range(2, len(flags)))
+        h = health_rows[s]
+        assert (h.n, h.first, h.last, h.best) == (len(values), values[0], values[-1], max(values)) and h.exploded == (max(values) > 2 * values[0])
+        assert h.fell == runs([p - v > 10 for p, v in zip(peaks, values)]) and h.stayed_low == runs([v < 12 for v in values])
+
+
 def test_conversation_masks(spark):
     df = spark.createDataFrame([([("system", "S"), ("user", "a"), ("assistant", "bc")],)], f"m {normalize.MESSAGES}")
     ids, mask = extras.chat_ids(F.col("m"))
