@@ -41,7 +41,7 @@ def _automaton(held: list[tuple[object, str]]) -> ahocorasick.Automaton:
         _MADE.clear()
         of: dict[str, list] = {}
         for item, text in held:
-            of.setdefault(text, []).append(item)
+            of.setdefault(" ".join(text.lower().split()), []).append(item)
         made = ahocorasick.Automaton()
         for text, names in of.items():
             made.add_word(text, tuple(names))
@@ -60,7 +60,7 @@ def containments(items: DataFrame, key: str, text: str, corpus: DataFrame, corpu
     named = _items(items, key, text)
     total = named.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // BLOCK_BYTES))
-    records = spread(corpus.select(F.col(corpus_key).alias("record"), F.col(corpus_text).alias("t"))).filter(~X.blank(F.col("t"))).select("record", X.normal_form(F.col("t")).alias("t"))
+    records = spread(corpus.select(F.col(corpus_key).alias("record"), F.col(corpus_text).alias("t"))).filter("t IS NOT NULL")
     kinds = named.schema["item"].dataType.simpleString(), records.schema["record"].dataType.simpleString()
     item_type = pa.int64() if kinds[0] == "bigint" else pa.int32() if kinds[0] == "int" else pa.string()
     found = []
@@ -75,6 +75,7 @@ def containments(items: DataFrame, key: str, text: str, corpus: DataFrame, corpu
                 rows, names = [], []
                 if held:
                     for i, t in enumerate(batch.column(1).to_pylist()):
+                        t = " ".join(t.lower().split())  # the normal form
                         for name in {n for _, here in automaton.iter(t) for n in here}:
                             rows.append(i)
                             names.append(name)

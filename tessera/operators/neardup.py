@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text as X
 from tessera.plans.session import spread, written
 
 SIDE = 256  #: sets on either side of a task's comparison; a larger meeting is split into blocks of that size
@@ -61,12 +61,14 @@ def shingle_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
 
     A text shorter than ``n`` words is one shingle; null and blank texts and null keys are left out.
     """
-    rows = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter(F.col("id").isNotNull() & ~X.blank(F.col("t"))).select("id", X.normal_form(F.col("t")).alias("t"))
+    rows = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter("id IS NOT NULL AND t IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                sets = [shingle_hashes(t.split(" "), _WORDS, n) for t in batch.column(1).to_pylist()]
+                words = [t.lower().split() for t in batch.column(1).to_pylist()]  # white space of any script, as in the normal form
+                batch = batch.filter(pa.array([bool(w) for w in words], pa.bool_()))
+                sets = [shingle_hashes(w, _WORDS, n) for w in words if w]
                 with np.errstate(over="ignore"):  # sums wrap around
                     digests = [f"{int(mixed(s, 1).sum(dtype=np.uint64)):016x}{int(mixed(s, 2).sum(dtype=np.uint64)):016x}" for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(digests), pa.array([len(s) for s in sets], pa.int32())], names=["id", "set", "digest", "size"])
@@ -128,8 +130,9 @@ def signatures(held: np.ndarray, least: float) -> list[int]:
 def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """(left_id, right_id, similarity) of all pairs of sets with Jaccard similarity ``least`` or more; of one table each pair once.
 
-    Sets (id, set) sign in Arrow batches. Sets that meet are compared in blocks of at most SIDE to a side, each block a
-    row group of its own, so that a meeting of any size is spread over tasks; only links leave a task.
+    Sets (id, set) sign in Arrow batches; signatures are sorted and met in one streaming pass. A meeting of more than
+    SIDE sets is cut into blocks of about that size, whose pairs of blocks are keys of their own, so that a meeting of
+    any size is spread over tasks.
     """
     own = right is None
     signed = []
@@ -144,19 +147,54 @@ def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame
 
         kind = df.schema["id"].dataType.simpleString()
         signed.append(df.select("id", "set").mapInArrow(run, f"id {kind}, s bigint").withColumn("side", F.lit(side)))
-    keys = written(signed[0] if own else signed[0].unionByName(signed[1]))  # signed once, read twice
-    # How often a signature occurs on either side; alone it links nothing. Partial counts come before the shuffle.
-    counts = keys.groupBy("s").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
-    met = counts.filter("n0 > 1" if own else "n0 > 0 AND n1 > 0")
-    rows = keys.join(met, "s")
-    # A small meeting gives its pairs of ids, at most SIDE * SIDE; a large one is cut into blocks first.
-    blocks = F.greatest(F.lit(1), F.ceil(F.greatest("n0", "n1") / F.lit(SIDE))).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    keys = signed[0] if own else signed[0].unionByName(signed[1])
+    kind = left.schema["id"].dataType.simpleString()
+    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of ids that share a signature; of a signature of more than SIDE sets only itself, once. Rows come sorted by signature."""
+        at, held, large = None, [], False
+        for batch in chain(batches, [None]):
+            out: list[tuple] = []
+            if batch is not None:
+                s = batch.column(0).to_numpy()
+                cuts = np.flatnonzero(np.diff(s)) + 1
+                starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(s)]])
+                # Only groups of more than one row, and those at the batch's edges, are looked at.
+                wanted = np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)) if len(s) else []
+                groups = [(int(s[starts[g]]), list(zip(batch.column(1).slice(starts[g], ends[g] - starts[g]).to_pylist(), batch.column(2).slice(starts[g], ends[g] - starts[g]).to_pylist(), strict=True))) for g in wanted]
+            else:
+                groups = [(None, [])]
+            for value, rows in groups:
+                if value != at or batch is None:
+                    if large:
+                        out.append((None, None, at))
+                    elif len(held) > 1:
+                        if own:
+                            ids = sorted(i for i, _ in held)
+                            out += [(x, y, None) for k, x in enumerate(ids) for y in ids[k + 1 :] if x != y]
+                        else:
+                            out += [(x, y, None) for x, p in held if p == 0 for y, q in held if q == 1]
+                    at, held, large = value, [], False
+                if len(held) + len(rows) > SIDE:
+                    held, large = [], True
+                elif not large:
+                    held += rows
+            pairs = pa.array([o[0] for o in out], id_type), pa.array([o[1] for o in out], right_type), pa.array([o[2] for o in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(pairs), names=["left_id", "right_id", "s"])
+
+    right_type = id_type if own else pa.string() if right.schema["id"].dataType.simpleString() == "string" else pa.int64()
+    right_kind = kind if own else right.schema["id"].dataType.simpleString()
+    met = written(keys.select("s", "id", "side").repartition("s").sortWithinPartitions("s").mapInArrow(meet, f"left_id {kind}, right_id {right_kind}, s bigint"))
+    # A large meeting is cut into blocks, which meet pairwise, each in a task's reach of its own.
+    rows = keys.join(met.filter("s IS NOT NULL").select("s").distinct(), "s")
+    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.join(counts, "s").withColumn("blocks", F.ceil(F.col("n") / F.lit(SIDE)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     a = placed.filter("side = 0").select("s", F.col("id").alias("left_id"), "block", F.explode(others).alias("other"))
     b = placed.filter(F.col("side") == (0 if own else 1)).select("s", F.col("id").alias("right_id"), F.col("block").alias("other"), F.explode(others).alias("block"))
-    pairs = a.join(b, ["s", "block", "other"])
-    pairs = (pairs.filter("left_id < right_id") if own else pairs).select("left_id", "right_id").distinct()
+    large = a.join(b, ["s", "block", "other"]).select("left_id", "right_id")
+    pairs = met.filter("s IS NULL").select("left_id", "right_id").unionByName(large.filter("left_id < right_id") if own else large).distinct()
     sets = [df.select(F.col("id").alias(f"{name}_id"), F.col("set").alias(f"{name}_set")) for name, df in (("left", left), ("right", left if own else right))]
     full = pairs.join(sets[0], "left_id").join(sets[1], "right_id")
 
