@@ -32,7 +32,7 @@ def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
 
 def _map_text(df: DataFrame, column: str, result: T.StructField, work: Callable[[list[str | None]], pa.Array]) -> DataFrame:
     """Replace the text column by what ``work`` makes of it; Arrow batches, no row loop in the JVM."""
-    others = [f for f in df.schema if f.name != column]
+    others = [f for f in df.schema if f.name not in (column, result.name)]  # a column of the result's name is replaced
     narrow = df.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{column}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary
     """Replace ``text`` by its token ids, without special tokens.
 
     A null or empty text has the empty list of ids. Other columns (any number, nulls included) pass
-    unchanged; repeated rows stay repeated; an empty table gives an empty table. Narrow: no shuffle.
+    unchanged, but for one of the result's name, which is replaced; repeated rows stay repeated; an empty table gives an empty table. Narrow: no shuffle.
     """
     raw = df.sparkSession.sparkContext.broadcast(bpe.vocabulary_bytes(vocabulary))  # at most 64 MB, checked
 
