@@ -178,8 +178,8 @@ def streaks(df: DataFrame, series: str, order: list[str], alarm: Column, least:
     maximum in two levels, and streaks are counted by it.
     """
     rows = ordered.positions(df.withColumn("__a", F.coalesce(alarm, F.lit(False))), series, order)
-    marked = ordered.running(rows, {"__quiet": (F.max, F.when(~F.col("__a"), F.col("i")).otherwise(F.lit(0)))})
-    runs = marked.filter("__a").groupBy(series, "__quiet").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("at"))
+    marked = ordered.running(rows, {"__quiet": (F.max, F.when(~F.col("__a"), F.col("__i")).otherwise(F.lit(0)))})
+    runs = marked.filter("__a").groupBy(series, "__quiet").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("at"))
     return runs.filter(F.col("n") >= least).groupBy(series).agg(F.min("at").cast("int").alias("first_at"), F.max("n").alias("longest"))
 
 

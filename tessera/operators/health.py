@@ -31,12 +31,12 @@ def series_health(df: DataFrame, series: str, order: list[str], value: str, drop
     No task holds more than about ``width`` rows of a series.
     """
     rows = ordered.positions(df.filter(F.col(value).isNotNull()), series, order, width)
-    peaks = ordered.running(rows, {"peak": (F.max, F.col(value))}, width)
-    frame = W.partitionBy("__k", "__chunk").orderBy("i").rowsBetween(-(streak - 1), 0)
+    peaks = ordered.running(rows, {"__peak": (F.max, F.col(value))}, width)
+    frame = W.partitionBy("__k", "__chunk").orderBy("__i").rowsBetween(-(streak - 1), 0)
     full = F.count(F.lit(1)).over(frame) == streak
     near = ordered.overlapped(peaks, streak - 1, width)
-    near = near.withColumn("fallen", full & F.bool_and(F.col("peak") - F.col(value) > drop).over(frame)).withColumn("short", full & F.bool_and(F.col(value) < low).over(frame)).filter("__own")
-    out = near.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, "i").alias("first"), F.max_by(value, "i").alias("last"), F.max(value).alias("best"), F.bool_or(F.isnan(value)).alias("__nan"), F.bool_or("fallen").alias("fell"), F.bool_or("short").alias("stayed_low"))
+    near = near.withColumn("__fallen", full & F.bool_and(F.col("__peak") - F.col(value) > drop).over(frame)).withColumn("__short", full & F.bool_and(F.col(value) < low).over(frame)).filter("__own")
+    out = near.groupBy(series).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, "__i").alias("first"), F.max_by(value, "__i").alias("last"), F.max(value).alias("best"), F.bool_or(F.isnan(value)).alias("__nan"), F.bool_or("__fallen").alias("fell"), F.bool_or("__short").alias("stayed_low"))
     # The largest value decides whether any is over twice the first; NaN counts as largest.
     return out.select(series, "n", "first", "last", "best", (F.col("__nan") | (F.col("best") > 2 * F.col("first"))).alias("exploded"), "fell", "stayed_low")
 

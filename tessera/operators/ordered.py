@@ -237,7 +237,7 @@ WIDTH = 10_000  #: rows of a series that one task puts in order
 
 
 def positions(df: DataFrame, series: str, order: list[str], width: int = WIDTH) -> DataFrame:
-    """Adds ``i``, a row's place in its series (from 1), ``n``, the rows of the series, and ``__k``, the series as a key that is never null.
+    """Adds ``__i``, a row's place in its series (from 1), ``__n``, the rows of the series, and ``__k``, the series as a key that is never null.
 
     A series may hold most of the rows: the range of its first order column is cut into parts of about ``width`` rows,
     whose counts are summed first; a row's place is that sum and its rank in its part. Nulls of the order come first.
@@ -246,25 +246,25 @@ def positions(df: DataFrame, series: str, order: list[str], width: int = WIDTH)
     timed = df.schema[order[0]].dataType.simpleString().startswith(("timestamp", "date"))
     number = F.unix_micros(first.cast("timestamp")) if timed else first.cast("double")
     keyed = df.withColumn("__k", F.coalesce(F.col(series).cast("string"), F.lit("\0")))
-    span = keyed.groupBy("__k").agg(F.min(number).alias("__low"), F.max(number).alias("__high"), F.count(F.lit(1)).alias("n"))
-    part = F.floor((number - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.ceil(F.col("n") / width))
+    span = keyed.groupBy("__k").agg(F.min(number).alias("__low"), F.max(number).alias("__high"), F.count(F.lit(1)).alias("__n"))
+    part = F.floor((number - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.ceil(F.col("__n") / width))
     placed = keyed.join(span, "__k").withColumn("__b", F.coalesce(F.when(F.col("__high") > F.col("__low"), part), F.when(number.isNotNull(), 0), F.lit(-1))).drop("__low", "__high")
     counts = placed.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = counts.select("__k", "__b", F.coalesce(F.sum("__c").over(W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(W.partitionBy("__k", "__b").orderBy(*order))
-    return placed.withColumn("__i", inside).join(before, ["__k", "__b"]).withColumn("i", F.col("__before") + F.col("__i")).drop("__b", "__i", "__before")
+    return placed.withColumn("__inside", inside).join(before, ["__k", "__b"]).withColumn("__i", F.col("__before") + F.col("__inside")).drop("__b", "__inside", "__before")
 
 
 def running(rows: DataFrame, made: dict[str, tuple[Callable, Column]], width: int = WIDTH) -> DataFrame:
-    """Adds running aggregates (min, max or bool_and) along ``i``, up to and with each row, from rows of ``positions``.
+    """Adds running aggregates (min, max or bool_and) along ``__i``, up to and with each row, from rows of ``positions``.
 
     ``width`` rows make a chunk; the chunks' aggregates are put in order, and rows only within their chunk.
     """
-    chunked = rows.withColumn("__chunk", F.expr(f"(i - 1) div {width}"))
+    chunked = rows.withColumn("__chunk", F.expr(f"(__i - 1) div {width}"))
     whole = chunked.groupBy("__k", "__chunk").agg(*[f(c).alias(f"__{name}") for name, (f, c) in made.items()])
     earlier = W.partitionBy("__k").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     before = whole.select("__k", "__chunk", *[f(f"__{name}").over(earlier).alias(f"__{name}") for name, (f, _) in made.items()])
-    w = W.partitionBy("__k", "__chunk").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("__k", "__chunk").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
     out = chunked.select("*", *[f(c).over(w).alias(f"__in_{name}") for name, (f, c) in made.items()]).join(before, ["__k", "__chunk"])
     both = {F.min: F.least, F.max: F.greatest, F.bool_and: lambda x, y: F.coalesce(x & y, x)}
     return out.select(*rows.columns, *[both[f](F.col(f"__in_{name}"), F.col(f"__{name}")).alias(name) for name, (f, _) in made.items()])
@@ -273,8 +273,8 @@ def running(rows: DataFrame, made: dict[str, tuple[Callable, Column]], width: in
 def overlapped(rows: DataFrame, more: int, width: int = WIDTH) -> DataFrame:
     """Rows of ``positions`` in chunks of ``width``, each with the ``more`` rows before it (``__own`` is false for these): for windows over few neighbours."""
     width = max(width, more + 1)
-    own = rows.withColumn("__chunk", F.expr(f"(i - 1) div {width}")).withColumn("__own", F.lit(True))
-    late = rows.filter(F.expr(f"(i - 1) % {width} >= {width - more}")).withColumn("__chunk", F.expr(f"(i - 1) div {width} + 1")).withColumn("__own", F.lit(False))
+    own = rows.withColumn("__chunk", F.expr(f"(__i - 1) div {width}")).withColumn("__own", F.lit(True))
+    late = rows.filter(F.expr(f"(__i - 1) % {width} >= {width - more}")).withColumn("__chunk", F.expr(f"(__i - 1) div {width} + 1")).withColumn("__own", F.lit(False))
     return own.unionByName(late)
 
 
@@ -286,19 +286,19 @@ def monitor(df: DataFrame, series: str, order: list[str], loss: str, patience: i
     ``width`` rows of a series.
     """
     rows = positions(df.filter(F.col(loss).isNotNull()), series, order, width)
-    w = W.partitionBy("__k", "__chunk").orderBy("i")
-    near = overlapped(rows, patience, width).withColumn("before", F.lag(loss).over(w)).withColumn("past", F.lag(loss, patience).over(w)).filter("__own").drop("__own", "__chunk")
-    falls = F.coalesce(F.col(loss) <= F.col("before"), F.lit(True))
-    out = running(near, {"best": (F.min, F.col(loss)), "worst": (F.max, F.col(loss)), "monotone": (F.bool_and, falls)}, width)
-    plateau = F.coalesce(F.try_divide(F.col("past") - F.col(loss), F.abs("past")) < least, F.lit(False)) & (F.col("i") >= first_step)
-    return out.select(*df.columns, F.col("i").cast("int").alias("step"), "best", "worst", "monotone", plateau.alias("plateau"))
+    w = W.partitionBy("__k", "__chunk").orderBy("__i")
+    near = overlapped(rows, patience, width).withColumn("__last", F.lag(loss).over(w)).withColumn("__past", F.lag(loss, patience).over(w)).filter("__own").drop("__own", "__chunk")
+    falls = F.coalesce(F.col(loss) <= F.col("__last"), F.lit(True))
+    out = running(near, {"__best": (F.min, F.col(loss)), "__worst": (F.max, F.col(loss)), "__falls": (F.bool_and, falls)}, width)
+    plateau = F.coalesce(F.try_divide(F.col("__past") - F.col(loss), F.abs("__past")) < least, F.lit(False)) & (F.col("__i") >= first_step)
+    return out.select(*[c for c in df.columns if c not in ("step", "best", "worst", "monotone", "plateau")], F.col("__i").cast("int").alias("step"), F.col("__best").alias("best"), F.col("__worst").alias("worst"), F.col("__falls").alias("monotone"), plateau.alias("plateau"))
 
 
 def trajectory(df: DataFrame, series: str, order: list[str], value: str, width: int = WIDTH) -> DataFrame:
     """First, quarter, half, three-quarter and last value of each series; no task holds more than about ``width`` rows of it."""
     rows = positions(df, series, order, width)
-    at = {"first": F.lit(1), "quarter": F.greatest(F.lit(1), F.expr("n div 4")), "half": F.greatest(F.lit(1), F.expr("n div 2")), "three_quarters": F.greatest(F.lit(1), F.expr("3 * n div 4")), "last": F.col("n")}
-    return rows.groupBy(series).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == k, F.col(value))).alias(name) for name, k in at.items()])
+    at = {"first": F.lit(1), "quarter": F.greatest(F.lit(1), F.expr("__n div 4")), "half": F.greatest(F.lit(1), F.expr("__n div 2")), "three_quarters": F.greatest(F.lit(1), F.expr("3 * __n div 4")), "last": F.col("__n")}
+    return rows.groupBy(series).agg(F.max("__n").alias("n"), *[F.max(F.when(F.col("__i") == k, F.col(value))).alias(name) for name, k in at.items()])
 
 
 def frontier(df: DataFrame, cost: str, metric: str, buckets: int = 4_096) -> DataFrame:

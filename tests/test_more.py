@@ -184,6 +184,7 @@ def test_series_in_chunks(spark, width):
     rng = random.Random(2)
     rows = [(s, rng.choice((None, *range(20))), i, None if rng.random() < 0.1 else float(rng.randrange(30))) for s in ("a", None) for i in range(40)]
     df = spark.createDataFrame(rows, "s string, t int, id long, v double").repartition(3)
+    df = df.select("*", *[F.lit("clash").alias(c) for c in ("i", "n", "best", "step", "peak", "before", "part", "at", "s2")])
     got = {r.id if r.s else -1 - r.id: r for r in ordered.monitor(df, "s", ["t", "id"], "v", 2, 0.05, width=width).collect()}
     health_rows = {r.s: r for r in health.series_health(df, "s", ["t", "id"], "v", 10.0, 3, 12.0, width).collect()}
     for s in ("a", None):
