@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import labels as L
 from tessera.functions import text as X
 from tessera.operators import extras, leakage, normalize, ordered, profile, registry, scoring
 from tessera.queries.core import SOURCE_SQL, WORDS_SQL, _fold_sql, _sized, answer_sql, leakage_exact, normal_answer_sql, query, strip_sql
-from tessera.sources import files
+from tessera.plans.session import shared_dir
+from tessera.sources import files, shards
 from tessera.sources.tables import table
+from tessera.streaming import logs
 
 # --- predictions against the truth ----------------------------------------------------------------
 
@@ -177,7 +182,15 @@ def fitting_samples(spark, d):
     return ordered.fitting(_samples(spark, d), "ids", "labels", 600).select("pair_id", F.size("ids").alias("n"))
 
 
-@query()
+_CODES = "coalesce(CAST(list_sum(list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS BIGINT))) AS BIGINT), 0)"
+
+
+@query(
+    "WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY pair_id) AS i FROM (SELECT pair_id, pair_id // 500 AS shard, CAST(length(problem) + length(solution) + 1 AS BIGINT) AS n, "
+    + f"CASE WHEN problem = '' THEN 0 ELSE {_CODES.format('problem')} END + CASE WHEN solution = '' THEN 0 ELSE {_CODES.format('solution')} END + 50256 AS ids, CASE WHEN solution = '' THEN 0 ELSE {_CODES.format('solution')} END + 50256 - 100 * length(problem) AS labels, length(solution) + 1 AS learnt FROM ({_PAIRS_SQL})) WHERE n <= 2048 AND learnt >= 5), "
+    "f AS (SELECT shard, i, n, ids, labels, CAST(0 AS BIGINT) AS pack, n AS held FROM b WHERE i = 1 UNION ALL SELECT b.shard, b.i, b.n, b.ids, b.labels, f.pack + CASE WHEN f.held + 1 + b.n > 2048 THEN 1 ELSE 0 END, CASE WHEN f.held + 1 + b.n > 2048 THEN b.n ELSE f.held + 1 + b.n END FROM f JOIN b ON b.shard = f.shard AND b.i = f.i + 1) "
+    "SELECT shard, pack, CAST(2048 AS INTEGER) AS n, t AS n_tokens, CAST(ids + (c - 1 + 2048 - t) * 50256 AS BIGINT) AS id_sum, CAST(labels - 100 * (c - 1 + 2048 - t) AS BIGINT) AS label_sum FROM (SELECT shard, pack, count(*) AS c, CAST(sum(n) + count(*) - 1 AS BIGINT) AS t, sum(ids) AS ids, sum(labels) AS labels FROM f GROUP BY 1, 2)"
+)
 def packed_training_rows(spark, d):
     """Packs of 2,048 over shards of 500 pairs: sizes and sums of the three arrays (tests hold the arrays against a plain loop)."""
     samples = ordered.fitting(_samples(spark, d), "ids", "labels", 2_048)
@@ -400,3 +413,132 @@ def manifest_entries(spark, d):
 @query()
 def result_document(spark, d):
     return extras.envelope(greedy_scores(spark, d).filter("dataset IS NOT NULL"), {"version": "1", "mode": "greedy"}, "dataset", F.round("accuracy", 6))
+
+
+# --- files by round trip, conversations of every shape --------------------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT pair_id, problem, solution FROM sft_pairs")
+def jsonl_roundtrip(spark, d):
+    path = _folder(spark)
+    files.write_jsonl(table(spark, d, "sft_pairs").select("pair_id", "problem", "solution"), path, ascii_only=True)
+    return files.read_jsonl(spark, path, "pair_id bigint, problem string, solution string")
+
+
+@query("SELECT doc_id, nullif(site, '') AS site, nullif(url, '') AS url, n_chars FROM documents")
+def csv_roundtrip(spark, d):
+    path = _folder(spark)
+    files.write_csv(table(spark, d, "documents").select("doc_id", F.nullif("site", F.lit("")).alias("site"), F.nullif("url", F.lit("")).alias("url"), "n_chars"), path)
+    return files.read_csv(spark, path, "doc_id bigint, site string, url string, n_chars bigint")
+
+
+@query("SELECT n_tokens, count(*) AS n FROM (SELECT CAST(coalesce(length(text), 0) AS INTEGER) AS n_tokens FROM documents) GROUP BY 1")
+def shard_roundtrip(spark, d):
+    """Texts as 16-bit ids in token shards, written by tasks and read again by Spark's own file reader."""
+    shards.register(spark)
+    path = _folder(spark)
+    ids = F.transform(X.code_points(F.col("text")), lambda c: c % 65_536)
+    table(spark, d, "documents").select(F.lit("s").alias("shard"), F.col("doc_id").alias("doc_idx"), ids.alias("tokens")).write.format("token_shards").option("shard_tokens", 100_000).mode("append").save(path.removeprefix("file://"))
+    return shards.read_shards(spark, path).groupBy(F.size("tokens").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('nation.parquet', 'OK'), ('region.parquet', 'MISMATCH'), ('supplier.parquet', 'OK'), ('absent.parquet', 'MISSING')) t(file, status)")
+def manifest_status(spark, d):
+    found = files.manifest(spark, d, "*.parquet")
+    wanted = found.filter(F.col("file").isin("nation.parquet", "region.parquet", "supplier.parquet")).select("file", F.when(F.col("file") == "region.parquet", "sha256:0").when(F.col("file") == "supplier.parquet", "pending").otherwise(F.col("sha256")).alias("sha256"))
+    return files.verify_manifest(wanted.unionByName(spark.createDataFrame([("absent.parquet", "sha256:1")], "file string, sha256 string")), found)
+
+
+@query("SELECT name, true AS stamped FROM datasets UNION ALL SELECT name, true FROM datasets")
+def appended_log(spark, d):
+    path = _folder(spark)
+    for _ in range(2):
+        files.append_log(table(spark, d, "datasets").select("name"), path)
+    return files.read_jsonl(spark, path, "name string, timestamp string").select("name", F.col("timestamp").isNotNull().alias("stamped"))
+
+
+@query(f"SELECT md5(t) AS digest FROM (SELECT problem AS t FROM eval_items UNION SELECT answer FROM eval_items UNION SELECT problem FROM sft_pairs) WHERE NOT coalesce({strip_sql('t')} = '', true)")
+def training_texts(spark, d):
+    path = _folder(spark)
+    items = table(spark, d, "eval_items")
+    files.write_jsonl(items.select(F.col("problem").alias("text")), f"{path}/a", "error")
+    turns = F.array(F.struct(F.lit("system").alias("role"), F.lit("no").alias("content")), F.struct(F.lit("user").alias("role"), F.col("answer").alias("content")))
+    for name, df in (("texts", items.select(F.col("problem").alias("text"))), ("turns", items.select(F.lit("").alias("text"), turns.alias("messages"))), ("problems", table(spark, d, "sft_pairs").select("problem"))):
+        df.write.option("ignoreNullFields", False).json(f"{path}/{name}")
+    return files.read_texts(spark, path, "*.json*").select(F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT dataset, round(avg(CAST(coalesce(found = truth, false) AS INTEGER)), 9) AS accuracy, round(avg(CAST(coalesce(found = truth, false) AS INTEGER)) - 0.1, 9) AS ci_low, round(avg(CAST(coalesce(found = truth, false) AS INTEGER)) + 0.1, 9) AS ci_high FROM ({_TRUE_SQL}) WHERE dataset IS NOT NULL GROUP BY 1")
+def result_files(spark, d):
+    """Result documents written as JSON files, read with their intervals as columns; a broken file among them is left out."""
+    path = _folder(spark)
+    scores = greedy_scores(spark, d).filter("dataset IS NOT NULL")
+    entry = F.struct(F.col("dataset"), F.struct(F.col("accuracy"), F.array(F.col("accuracy") - 0.1, F.col("accuracy") + 0.1).alias("ci")))
+    scores.agg(F.to_json(F.struct(F.lit("x").alias("run"), F.map_from_entries(F.collect_list(entry)).alias("results"))).alias("value")).write.text(path)
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.mode("append").text(path)
+    documents = files.read_documents(spark, path, "run string, results map<string,struct<accuracy:double,ci:array<double>>>")
+    out = files.flatten_results(documents, "results", ["run"], "ci")
+    return out.select("dataset", *[F.round(c, 9).alias(c) for c in ("accuracy", "ci_low", "ci_high")])
+
+
+_BOX_LAST = r"CASE WHEN contains({0}, '\boxed{{') OR regexp_extract_all({0}, '-?[0-9]+\.?[0-9]*')[-1] IS NULL THEN {0} ELSE {0} || chr(10) || chr(10) || 'The answer is \boxed{{' || regexp_extract_all({0}, '-?[0-9]+\.?[0-9]*')[-1] || '}}.' END"
+_FILLED = f"NOT coalesce({strip_sql('problem')} = '', true) AND NOT coalesce({strip_sql('solution')} = '', true)"
+
+
+def _turns(spark, d):
+    names = "array<struct<from:string,value:string>>"
+    pair = F.array(F.struct(F.lit("human").alias("from"), F.lit("first").alias("value")), F.struct(F.lit("gpt").alias("from"), F.lit("old 1").alias("value")), F.struct(F.lit("human").alias("from"), F.col("problem").alias("value")), F.struct(F.lit("gpt").alias("from"), F.col("solution").alias("value")))
+    return table(spark, d, "sft_pairs").filter("problem <> '' AND solution <> ''").select("pair_id", "problem", "solution", pair.cast(names).alias("conversations"))
+
+
+@query(f"SELECT problem, {_BOX_LAST.format('solution')} AS solution, 's' AS source FROM sft_pairs WHERE {_FILLED}")
+def turns_normalized(spark, d):
+    return normalize.normalize(_turns(spark, d), "turns", "s")
+
+
+@query(f"SELECT CASE WHEN pair_id % 2 = 0 THEN 'own' ELSE problem END AS problem, CASE WHEN pair_id % 2 = 0 THEN 'own 7' || chr(10) || chr(10) || 'The answer is \\boxed{{7}}.' ELSE {_BOX_LAST.format('solution')} END AS solution, 's' AS source FROM sft_pairs WHERE {_FILLED} AND pair_id IS NOT NULL")
+def columns_or_turns_normalized(spark, d):
+    even = F.col("pair_id") % 2 == 0
+    rows = _turns(spark, d).filter(F.col("pair_id").isNotNull() & ~X.blank(F.col("problem")) & ~X.blank(F.col("solution")))
+    return normalize.normalize(rows.select(F.when(even, "own").alias("problem"), F.when(even, "own 7").otherwise("").alias("solution"), "conversations"), "columns_or_turns", "s")
+
+
+@query(f"SELECT problem, CASE WHEN pair_id % 2 = 0 THEN 'own 7' || chr(10) || chr(10) || 'The answer is \\boxed{{7}}.' ELSE {_BOX_LAST.format('solution')} END AS solution, 's' AS source FROM sft_pairs WHERE {_FILLED} AND pair_id IS NOT NULL")
+def messages_or_answer_normalized(spark, d):
+    pairs = table(spark, d, "sft_pairs").filter("pair_id IS NOT NULL")
+    pairs = normalize.keep_filled(pairs, "problem", "solution")
+    rows = pairs.select(normalize.chat(F.col("problem"), F.col("solution"), "S").alias("messages"), F.when(F.col("pair_id") % 2 == 0, "own 7").alias("answer"))
+    return normalize.normalize(rows, "messages_or_answer", "s")
+
+
+@query("SELECT name FROM datasets")
+def registered(spark, d):
+    names = table(spark, d, "datasets").select("name")
+    return extras.register(names.filter("name < 'm'"), names.filter("NOT name < 'm'"), "name")
+
+
+@query("SELECT name, dataset_type AS stage, CASE WHEN dataset_type = 'pretrain' THEN CAST(total_tokens AS VARCHAR) END AS tokens, CASE WHEN dataset_type = 'sft' THEN source END AS source FROM datasets")
+def stage_records(spark, d):
+    record = extras.stage_record(F.col("dataset_type"), {"name": F.col("name")}, {"pretrain": {"tokens": F.col("total_tokens")}, "sft": {"source": F.col("source")}})
+    fields = [F.get_json_object("r", f"$.{k}").alias(k) for k in ("stage", "tokens", "source")]
+    return table(spark, d, "datasets").select("name", record.alias("r")).select("name", *fields)
+
+
+@query("SELECT user_id, event_id, value, min(value) OVER u AS best, coalesce(past <> 0 AND (past - value) / abs(past) < 0.005, false) AS plateau FROM (SELECT *, lag(value, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS past FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL) WINDOW u AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def stream_monitor(spark, d):
+    schema = table(spark, d, "events").schema
+    stream = logs.file_stream(spark, os.path.join(d, "events.parquet*"), schema).filter("value IS NOT NULL AND user_id IS NOT NULL").select("user_id", "event_id", "value")
+    return logs.run_once(logs.plateau_monitor(stream, "user_id", "event_id", "value"), _folder(spark), "append")
+
+
+_RAW_AT = "list_sort(list(n_chars))[{p} * count(*) // 100 + 1]"
+
+
+@query(f"SELECT {SOURCE_SQL} AS source, count(*) AS n_rows, " + ", ".join(f"{_RAW_AT.format(p=p)} AS p{p}" for p in (50, 90, 100)) + " FROM documents WHERE n_chars IS NOT NULL GROUP BY 1")
+def raw_percentiles(spark, d):
+    rows = table(spark, d, "documents").select(L.source_label(F.col("source")).alias("source"), "n_chars")
+    return profile.floor_percentiles(rows, "source", F.col("n_chars"), (50, 90, 100), clamped=False)

@@ -26,10 +26,10 @@ def append_log(df: DataFrame, path: str) -> None:
     write_jsonl(df.withColumn("timestamp", stamp), path, "append")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, lines_glob: str = "*.jsonl") -> DataFrame:
     """Distinct training texts below a folder: field text, else problem, else the user turns of JSON lines, and whole .txt files."""
     schema = "text string, problem string, messages array<struct<role:string,content:string>>"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(path)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", lines_glob).json(path)
     turns = F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: m["content"])
     own = F.coalesce(F.nullif("text", F.lit("")), F.nullif("problem", F.lit("")))
     lines = rows.select(F.explode(F.when(own.isNotNull(), F.array(own)).otherwise(turns)).alias("text"))
