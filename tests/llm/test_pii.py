@@ -103,3 +103,27 @@ def test_odd_texts(names):
     assert spans("Written by Maria Schneider.", empty) == ["Maria Schneider"]
     found = pii.find_spans("Hana Velmork, a@b.test", names)
     assert pii.redact("Hana Velmork, a@b.test", found) == "[NAME], [EMAIL]"
+
+
+GIVEN = "Maria John Anna Peter Chloe Lars Ingeborg Pablo Fatima Dmitri Aleksandra Kwame Siobhan Hiroshi Zofia Matteo Greta Tomasz Leila Björn".split()
+FAMILY = "Schneider Smith Kowalska Okafor Lindqvist Hernandez Dubois Rossi Yamamoto Petrov Novak Fitzgerald Haddad Jansen Moreau Papadopoulos Berger Costa Nilsen O'Brien".split()
+AROUND = ("Written by {}.", "Dr. {} agreed with this.", "Name: {}", "Best regards,\n{}", "Many thanks to {} for the hint.", "{}\nanyone@host.example", "Author: {} (2019)", "Asked by {}, answered later", "Herr {} fragte nach.", "Auteur : {}", "Contact {} at +44 20 7946 0123")
+OTHER = ("Proof by Mathematical Induction", "from New York to Los Angeles", "see the Pythagorean Theorem", "Solved by Long Division", "The Mean Value Theorem by Contradiction", "Dear Students", "Contact Support", "Author: Unknown Source", "by Green Line and Red Line", "Name: First Prize", "Final Answer Below", "Die Grüne Aufgabe von Heute", "Thanks to Everyone Here", "Step Two by Step Three")
+
+
+def test_recall_on_names_outside_the_lexicon(names):
+    rng = random.Random(8)
+    hit = total = 0
+    lost = []
+    for k in range(440):
+        given, family = rng.choice(GIVEN), rng.choice(FAMILY)
+        name = rng.choice((f"{given} {family}", f"{given} {rng.choice('ABCEHKLMT')}. {family}", f"{given[0]}. {family}", f"{given} {family}".upper(), f"{given} {family}-{rng.choice(FAMILY[:8])}"))
+        text = AROUND[k % len(AROUND)].format(name)
+        total += 1
+        good = name in spans(text, names, "name")
+        hit += good
+        if not good:
+            lost.append(text)
+    print(f"{hit} of {total}", lost[:12])
+    assert hit >= 0.9 * total
+    assert not [t for t in OTHER if spans(t, names, "name")]
