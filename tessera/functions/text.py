@@ -135,6 +135,19 @@ def eval_prompt(problem: Column) -> Column:
     return F.concat(F.lit("Solve the following math problem step by step. Put your final answer in \\boxed{}.\n\nProblem: "), problem, F.lit("\n\nSolution:"))
 
 
+def chat_prompt(problem: Column) -> Column:
+    """The same instruction as the one user turn of a conversation, for models with a chat template."""
+    # Fixed value: the wording of the instruction.
+    said = F.concat(F.lit("Solve the following math problem step by step. Put your final answer in \\boxed{}.\n\n"), problem)
+    return F.array(F.struct(F.lit("user").alias("role"), said.alias("content")))
+
+
+def few_shot_prompt(examples: list[tuple[str, str]], problem: Column) -> Column:
+    """Worked examples as questions and answers, then the problem and an open answer, for models without one."""
+    shown = "".join(f"Q: {q}\nA: {a}\n\n" for q, a in examples)
+    return F.concat(F.lit(shown + "Q: "), problem, F.lit("\nA:"))
+
+
 def as_document(problem: Column, solution: Column) -> Column:
     """A pair as one text for pretraining."""
     return F.concat(F.lit("Problem: "), problem, F.lit("\n\nSolution: "), solution)

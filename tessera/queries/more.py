@@ -92,6 +92,13 @@ def eval_prompts(spark, d):
     return table(spark, d, "eval_items").select("problem_id", "problem").distinct().select("problem_id", X.eval_prompt(F.col("problem")).alias("prompt"))
 
 
+@query("SELECT problem_id, 'user' AS role, 'Solve the following math problem step by step. Put your final answer in \\boxed{}.' || chr(10) || chr(10) || problem AS content, 'Q: 1+1?' || chr(10) || 'A: 2' || chr(10) || chr(10) || 'Q: ' || problem || chr(10) || 'A:' AS few_shot FROM (SELECT DISTINCT problem_id, problem FROM eval_items)")
+def prompt_variants(spark, d):
+    items = table(spark, d, "eval_items").select("problem_id", "problem").distinct()
+    turn = F.element_at(X.chat_prompt(F.col("problem")), 1)
+    return items.select("problem_id", turn["role"].alias("role"), turn["content"].alias("content"), X.few_shot_prompt([("1+1?", "2")], F.col("problem")).alias("few_shot"))
+
+
 @query("SELECT pair_id, 'Problem: ' || problem || chr(10) || chr(10) || 'Solution: ' || solution AS text FROM sft_pairs")
 def pair_documents(spark, d):
     return table(spark, d, "sft_pairs").select("pair_id", X.as_document(F.col("problem"), F.col("solution")).alias("text"))
