@@ -9,6 +9,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text as X
 from tessera.operators import neardup
@@ -62,7 +63,7 @@ def containments(items: DataFrame, key: str, text: str, corpus: DataFrame, corpu
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     records = spread(corpus.select(F.col(corpus_key).alias("record"), F.col(corpus_text).alias("t"))).filter("t IS NOT NULL")
     kinds = named.schema["item"].dataType.simpleString(), records.schema["record"].dataType.simpleString()
-    item_type = pa.int64() if kinds[0] == "bigint" else pa.int32() if kinds[0] == "int" else pa.string()
+    item_type = to_arrow_type(named.schema["item"].dataType)
     found = []
     for k in range(n_blocks):
         block = named.filter(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == k).collect()

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.plans.session import spread, written
 
@@ -149,7 +150,7 @@ def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame
         signed.append(df.select("id", "set").mapInArrow(run, f"id {kind}, s bigint").withColumn("side", F.lit(side)))
     keys = signed[0] if own else signed[0].unionByName(signed[1])
     kind = left.schema["id"].dataType.simpleString()
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    id_type = to_arrow_type(left.schema["id"].dataType)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of ids that share a signature; of a signature of more than SIDE sets only itself, once. Rows come sorted by signature."""
@@ -183,7 +184,7 @@ def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame
             pairs = pa.array([o[0] for o in out], id_type), pa.array([o[1] for o in out], right_type), pa.array([o[2] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(list(pairs), names=["left_id", "right_id", "s"])
 
-    right_type = id_type if own else pa.string() if right.schema["id"].dataType.simpleString() == "string" else pa.int64()
+    right_type = id_type if own else to_arrow_type(right.schema["id"].dataType)
     right_kind = kind if own else right.schema["id"].dataType.simpleString()
     met = written(keys.select("s", "id", "side").repartition("s").sortWithinPartitions("s").mapInArrow(meet, f"left_id {kind}, right_id {right_kind}, s bigint"))
     # A large meeting is cut into blocks, which meet pairwise, each in a task's reach of its own.

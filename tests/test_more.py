@@ -283,6 +283,14 @@ def test_containment_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in leakage.containments(items, "id", "t", corpus, "id", "t").collect()} == {("a", 1), ("b", 1), ("c", 1), ("c", 2)}
 
 
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "A b  c d e f"), (3, "x y")], "k smallint, t string").withColumn("id", F.lit("clash"))
+    member, links = neardup.near_duplicates(df, "k", "t")
+    assert sorted((r.k, r["class"]) for r in member.collect()) == [(1, 1), (2, 1), (3, 3)] and links.count() == 0
+    got = leakage.containments(df, "k", "t", df.withColumn("record", F.lit(0)), "k", "t")
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
 def test_band_bounds():
     for least in (0.8, 0.9):
         for size in range(1, 3000):
