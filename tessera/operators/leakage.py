@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text as X
 from tessera.operators import neardup
-from tessera.plans.session import spread
+from tessera.plans.session import spread, written
 
 BLOCK_BYTES = 32 << 20  #: item text that a worker is sent at a time; more items are more blocks
 
@@ -91,8 +91,14 @@ def similar_items(items: DataFrame, key: str, text: str, corpus: DataFrame, corp
 
     Exact by the same keys as near duplicates; each side's equal shingle sets are one class until the end.
     """
-    left, right = (neardup.shingle_sets(df.select(F.col(k).cast("string").alias("k"), F.col(c).alias("t")), "k", "t", n) for df, k, c in ((items, key, text), (corpus, corpus_key, corpus_text)))
-    return neardup.similar(left, right, least).select(F.col("left_id").alias("item"), F.col("right_id").alias("record"), "similarity")
+    whole, classes = [], []
+    for df, k, c in ((items, key, text), (corpus, corpus_key, corpus_text)):
+        sets = written(neardup.shingle_sets(df.select(F.col(k).cast("string").alias("k"), F.col(c).alias("t")), "k", "t", n))
+        whole.append(sets.select("id", "digest").distinct())
+        classes.append(written(sets.groupBy(F.col("digest").alias("id")).agg(F.first("set").alias("set"))))
+    links = neardup.similar(classes[0], classes[1], least)
+    named = links.join(whole[0].select(F.col("id").alias("item"), F.col("digest").alias("left_id")), "left_id")
+    return named.join(whole[1].select(F.col("id").alias("record"), F.col("digest").alias("right_id")), "right_id").select("item", "record", "similarity")
 
 
 def leak_report(items: DataFrame, key: str, by: str, leaked: DataFrame) -> DataFrame:

@@ -1,17 +1,17 @@
 """Near-duplicate texts by word shingles: exact Jaccard links between classes of equal sets, without candidate caps.
 
-Candidates come from signatures of parts. Two sets with Jaccard similarity s or more differ in at most
-(1 - s) / (1 + s) of the sum of their sizes; cut by hash into more parts than that, they agree in some whole part.
-Sizes fall into bands, and each set signs with the parts of its own band and of the next one, so that any two sets
-whose sizes allow the similarity meet under the same cut. A signature is a hash of several shingles, so a shingle that
-many texts share makes no hot key; what meets is almost always what is linked.
+Candidates come from prefix filtering. Put the shingles of all sets into one order; two sets whose similarity is s or
+more share a shingle among the first size - ceil(s * size) + 1 of each. The order begins with the shingles that are not
+frequent, so that stock phrases meet only where a set has little else. Sets that meet are compared where they meet by
+their sizes and by a bitmap of parities, which differs in at most as many bits as the sets in elements; only pairs that
+pass leave the task, and their similarity is then computed exactly. Both tests lose nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import reduce
 from hashlib import blake2b
 from itertools import chain
 
@@ -24,7 +24,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.plans.session import spread, written
 
-SIDE = 256  #: sets on either side of a task's comparison; a larger meeting is split into blocks of that size
+SIDE = 1024  #: sets that are compared with each other at once; a larger meeting is split into blocks of that size
+FREQUENT = 16  #: sets that hold a shingle before it counts as frequent
+MOST_FREQUENT = 500_000  #: frequent shingles that are told apart by their counts (16 bytes each for every worker); beyond, the bound above rises
+BITS = 256
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -77,136 +80,165 @@ def shingle_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, set binary, digest string, size int")
 
 
-@cache
-def band_of(size: int, least: float) -> int:
-    """Band i holds the sizes from least**-i to under least**-(i+1); sizes that allow the similarity are at most one band apart."""
-    i = int(math.log(size) / -math.log(least))
-    while size < bounds(i, least)[0]:
-        i -= 1
-    while size > bounds(i, least)[1]:
-        i += 1
-    return i
+def frequent_shingles(tables: list[DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks): the frequent shingles of all tables, sorted, and their place in the order of their counts.
 
-
-@cache
-def bounds(i: int, least: float) -> tuple[int, int]:
-    """Smallest and largest size of a band, in whole numbers such that every size is in exactly one."""
-    low = 1
-    for _ in range(i):
-        low = int(low / least + 1e-9) + 1
-    return low, int(low / least + 1e-9)
-
-
-@cache
-def cut_of(lower: int, least: float) -> tuple[int, int]:
-    """(parts, spare) of a cut: one part more than two sets of the band and the next can differ in, and spare ones for empty parts."""
-    differ = int((1 - least) / (1 + least) * (bounds(lower, least)[1] + bounds(lower + 1, least)[1]) + 1e-9)
-    spare = 2 + differ // 8
-    return differ + 1 + spare, spare
-
-
-def signatures(held: np.ndarray, least: float) -> list[int]:
-    """Signatures of a set: the hash of each of its parts, under the cut of its own band and of the one below.
-
-    Two similar sets agree in one part more than there are spare ones. A part that is empty in both agrees too,
-    which says nothing; so empty parts are left out as long as a set has no more of them than there are spare ones
-    (then some full part agrees), and only the few sets with more sign with them as well.
+    Counts are made over all sets, first in each Arrow batch. Only the order depends on them, never a result; so the
+    bound is raised until at most MOST_FREQUENT remain, and what is collected is bounded by that.
     """
-    band = band_of(len(held), least)
-    out = []
-    first, second = mixed(held, 1), mixed(held, 2)
-    for lower in {max(0, band - 1), band}:  # a pair meets under the cut of its lower band
-        parts, spare = cut_of(lower, least)
-        part = (second % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
-        which = part[order][starts]
-        sums = np.zeros(parts, np.uint64)
-        sums[which] = np.add.reduceat(first[order], starts)
-        signs = mixed(sums + np.arange(parts, dtype=np.uint64) * _MIX[1] + np.uint64(lower + 1), 0).view(np.int64)
-        out += (signs if parts - len(which) > spare else signs[which]).tolist()
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+                values, counts = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["s", "c"])
+
+    parts = [df.select("set").mapInArrow(run, "s bigint, c bigint") for df in tables]
+    counts = written(reduce(DataFrame.unionByName, parts).groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") > FREQUENT))
+    least = FREQUENT
+    while counts.filter(F.col("c") > least).count() > MOST_FREQUENT:
+        least *= 4
+    held = counts.filter(F.col("c") > least).toArrow()
+    values, often = held.column("s").to_numpy().view(np.uint64), held.column("c").to_numpy()
+    ranks = np.empty(len(values), np.int64)
+    ranks[np.lexsort((values, often))] = np.arange(len(values))
+    order = np.argsort(values)
+    return values[order], ranks[order]
+
+
+def prefix(held: np.ndarray, least: float, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The shingles by which a set can be found, the first of the common order."""
+    n = len(held) - math.ceil(least * len(held) - 1e-9) + 1
+    if not len(values):
+        return held[:n]
+    at = np.minimum(np.searchsorted(values, held), len(values) - 1)
+    rank = np.where(values[at] == held, ranks[at], -1)
+    return held[np.lexsort((held, rank))][:n]
+
+
+def parities(held: np.ndarray) -> bytes:
+    """A bit for each class of hashes: is the number of elements in it odd?"""
+    return np.packbits((np.bincount((mixed(held, 2) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def passing(sizes: tuple[np.ndarray, np.ndarray], bits: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """Which pairs of two lists of sets may have the similarity, by sizes and parities."""
+    x, y = sizes[0][:, None].astype(np.float64), sizes[1][None, :].astype(np.float64)
+    good = (x >= least * y - 1e-9) & (y >= least * x - 1e-9)
+    differ = np.zeros(good.shape, np.uint16)
+    for k in range(BITS // 64):
+        differ += np.bitwise_count(bits[0][:, k][:, None] ^ bits[1][:, k][None, :])
+    return good & (differ <= (x + y) * ((1 - least) / (1 + least)) + 1e-9)
 
 
 def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """(left_id, right_id, similarity) of all pairs of sets with Jaccard similarity ``least`` or more; of one table each pair once.
 
-    Sets (id, set) sign in Arrow batches; signatures are sorted and met in one streaming pass. A meeting of more than
-    SIDE sets is cut into blocks of about that size, whose pairs of blocks are keys of their own, so that a meeting of
-    any size is spread over tasks.
+    Sets (id, set) are given by their prefixes in Arrow batches, which are sorted by shingle and met in one streaming
+    pass. A meeting of more than SIDE sets is cut into blocks of about that size, whose pairs of blocks are keys of
+    their own, so that a meeting of any size is spread over tasks.
     """
     own = right is None
-    signed = []
-    for side, df in enumerate([left] if own else [left, right]):
+    order = left.sparkSession.sparkContext.broadcast(frequent_shingles([left] if own else [left, right]))
+    id_types = [to_arrow_type(df.schema["id"].dataType) for df in ([left] if own else [left, right])]
+    kinds = [df.schema["id"].dataType.simpleString() for df in ([left] if own else [left, right])]
+    if not own and kinds[0] != kinds[1]:
+        raise ValueError("the ids of both tables have to be of one type")
+    given = []
+    for role, df in enumerate([left] if own else [left, right]):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                    made = [signatures(np.frombuffer(s, np.uint64), least) for s in batch.column(1).to_pylist()]
-                    take = np.repeat(np.arange(batch.num_rows), [len(m) for m in made])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), pa.array([x for m in made for x in m], pa.int64())], names=["id", "s"])
-
-        kind = df.schema["id"].dataType.simpleString()
-        signed.append(df.select("id", "set").mapInArrow(run, f"id {kind}, s bigint").withColumn("side", F.lit(side)))
-    keys = signed[0] if own else signed[0].unionByName(signed[1])
-    kind = left.schema["id"].dataType.simpleString()
-    id_type = to_arrow_type(left.schema["id"].dataType)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of ids that share a signature; of a signature of more than SIDE sets only itself, once. Rows come sorted by signature."""
-        at, held, large = None, [], False
-        for batch in chain(batches, [None]):
-            out: list[tuple] = []
-            if batch is not None:
-                s = batch.column(0).to_numpy()
-                cuts = np.flatnonzero(np.diff(s)) + 1
-                starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(s)]])
-                # Only groups of more than one row, and those at the batch's edges, are looked at.
-                wanted = np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)) if len(s) else []
-                groups = [(int(s[starts[g]]), list(zip(batch.column(1).slice(starts[g], ends[g] - starts[g]).to_pylist(), batch.column(2).slice(starts[g], ends[g] - starts[g]).to_pylist(), strict=True))) for g in wanted]
-            else:
-                groups = [(None, [])]
-            for value, rows in groups:
-                if value != at or batch is None:
-                    if large:
-                        out.append((None, None, at))
-                    elif len(held) > 1:
-                        if own:
-                            ids = sorted(i for i, _ in held)
-                            out += [(x, y, None) for k, x in enumerate(ids) for y in ids[k + 1 :] if x != y]
+                    sets = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
+                    found = [prefix(s, least, *order.value) for s in sets]
+                    take = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+                    told = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.binary())]
+                    flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat), *[c.take(take) for c in told]], names=["s", "id", "size", "bits"])
+
+        given.append(df.select("id", "set").mapInArrow(run, f"s bigint, id {kinds[0]}, size int, bits binary").withColumn("role", F.lit(2 if own else role)))
+    keys = given[0] if own else given[0].unionByName(given[1])
+
+    def meeting(most: int | None):
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Pairs that pass among rows of equal (s, i, j); of a meeting of more than ``most`` only its shingle. Rows come sorted."""
+            at, held, n = None, [], 0
+
+            def close() -> tuple[list, list, list]:
+                if most and n > most:
+                    return [], [], [at[0]]
+                ids = [x for h in held for x in h[0]]
+                if len(ids) < 2:
+                    return [], [], []
+                sizes, roles = (np.concatenate([h[k] for h in held]) for k in (1, 3))
+                bits = np.frombuffer(b"".join(b for h in held for b in h[2]), np.uint64).reshape(-1, BITS // 64)
+                a, b = np.flatnonzero(roles != 1), np.flatnonzero(roles != 0)
+                good = passing((sizes[a], sizes[b]), (bits[a], bits[b]), least)
+                p, q = np.nonzero(good)
+                p, q = a[p], b[q]
+                keep = (roles[p] != 2) | (p < q)  # of sets that meet among themselves each pair once
+                pairs = [(ids[x], ids[y]) for x, y in zip(p[keep].tolist(), q[keep].tolist(), strict=True)]
+                if own:
+                    pairs = [(min(x, y), max(x, y)) for x, y in pairs if x != y]
+                return [x for x, _ in pairs], [y for _, y in pairs], []
+
+            for batch in chain(batches, [None]):
+                lefts, rights, large = [], [], []
+                if batch is not None and batch.num_rows:
+                    s, i, j = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    cuts = np.flatnonzero((np.diff(s) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+                    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(s)]])
+                    inner = np.ones(len(starts), bool)
+                    inner[[0, -1]] = False
+                    for g in np.flatnonzero(~inner | (ends - starts > 1)).tolist():  # a row alone in the middle meets nothing
+                        x, m = int(starts[g]), int(ends[g] - starts[g])
+                        key = (int(s[x]), int(i[x]), int(j[x]))
+                        if key != at:
+                            if at is not None:
+                                for out, more in zip((lefts, rights, large), close(), strict=True):
+                                    out += more
+                            at, held, n = key, [], 0
+                        n += m
+                        if not most or n <= most:
+                            part = batch.slice(x, m)
+                            held.append((part.column(3).to_pylist(), part.column(4).to_numpy(zero_copy_only=False), part.column(5).to_pylist(), part.column(6).to_numpy(zero_copy_only=False)))
                         else:
-                            out += [(x, y, None) for x, p in held if p == 0 for y, q in held if q == 1]
-                    at, held, large = value, [], False
-                if len(held) + len(rows) > SIDE:
-                    held, large = [], True
-                elif not large:
-                    held += rows
-            pairs = pa.array([o[0] for o in out], id_type), pa.array([o[1] for o in out], right_type), pa.array([o[2] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(pairs), names=["left_id", "right_id", "s"])
-
-    right_type = id_type if own else to_arrow_type(right.schema["id"].dataType)
-    right_kind = kind if own else right.schema["id"].dataType.simpleString()
-    met = written(keys.select("s", "id", "side").repartition("s").sortWithinPartitions("s").mapInArrow(meet, f"left_id {kind}, right_id {right_kind}, s bigint"))
-    # A large meeting is cut into blocks, which meet pairwise, each in a task's reach of its own.
+                            held = []
+                elif batch is None and at is not None:
+                    for out, more in zip((lefts, rights, large), close(), strict=True):
+                        out += more
+                blank = [None] * len(large)
+                yield pa.RecordBatch.from_arrays([pa.array(lefts + blank, id_types[0]), pa.array(rights + blank, id_types[-1]), pa.array([None] * len(lefts) + large, pa.int64())], names=["left_id", "right_id", "s"])
+
+        return meet
+
+    row = ["s", "i", "j", "id", "size", "bits", "role"]
+    out = f"left_id {kinds[0]}, right_id {kinds[-1]}, s bigint"
+    first = keys.select("s", F.lit(0).alias("i"), F.lit(0).alias("j"), *row[3:]).repartition("s").sortWithinPartitions("s")
+    met = written(first.mapInArrow(meeting(SIDE), out))
+    # Large meetings: block i against block j, each pair of blocks a key. A row goes to as many keys as there are blocks.
     rows = keys.join(met.filter("s IS NOT NULL").select("s").distinct(), "s")
     counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     placed = rows.join(counts, "s").withColumn("blocks", F.ceil(F.col("n") / F.lit(SIDE)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    a = placed.filter("side = 0").select("s", F.col("id").alias("left_id"), "block", F.explode(others).alias("other"))
-    b = placed.filter(F.col("side") == (0 if own else 1)).select("s", F.col("id").alias("right_id"), F.col("block").alias("other"), F.explode(others).alias("block"))
-    large = a.join(b, ["s", "block", "other"]).select("left_id", "right_id")
-    pairs = met.filter("s IS NULL").select("left_id", "right_id").unionByName(large.filter("left_id < right_id") if own else large).distinct()
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if own:
+        placed = placed.withColumn("role", F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    else:
+        placed = placed.withColumn("i", F.when(F.col("role") == 0, F.col("block")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("block")))
+    second = placed.select(*row).repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    pairs = met.filter("s IS NULL").select("left_id", "right_id").unionByName(second.mapInArrow(meeting(None), out).select("left_id", "right_id")).distinct()
     sets = [df.select(F.col("id").alias(f"{name}_id"), F.col("set").alias(f"{name}_set")) for name, df in (("left", left), ("right", left if own else right))]
     full = pairs.join(sets[0], "left_id").join(sets[1], "right_id")
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
+        made = []
         for p, q in zip(x, y, strict=True):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             shared = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(shared / (len(p) + len(q) - shared))
-        return pd.Series(out)
+            made.append(shared / (len(p) + len(q) - shared))
+        return pd.Series(made)
 
     return full.select("left_id", "right_id", jaccard("left_set", "right_set").alias("similarity")).filter(F.col("similarity") >= least)
 

@@ -234,10 +234,11 @@ def shingles(t):
     return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
 
 
-@pytest.mark.parametrize("side", [2, 256])
+@pytest.mark.parametrize("side", [2, 7, 1024])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, side):
     """Random edits of a few texts of all lengths, and a group that a shared half makes hot."""
     monkeypatch.setattr(neardup, "SIDE", side)
+    monkeypatch.setattr(neardup, "FREQUENT", 3)
     rng = random.Random(side)
     rows = []
     for base in range(12):
@@ -291,11 +292,22 @@ def test_ids_of_other_types(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
 
 
-def test_band_bounds():
+def test_prefixes_and_parities_lose_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = np.sort(rng.choice(np.arange(1, 4000, dtype=np.uint64), 300, replace=False))
+    ranks = rng.permutation(300)
     for least in (0.8, 0.9):
-        for size in range(1, 3000):
-            low, high = neardup.bounds(neardup.band_of(size, least), least)
-            assert low <= size <= high and int(size / least + 1e-9) <= neardup.bounds(neardup.band_of(size, least) + 1, least)[1]
+        for _ in range(400):
+            a = rng.choice(np.arange(1, 4000, dtype=np.uint64), rng.integers(1, 60), replace=False)
+            b = np.unique(np.concatenate([a[: max(1, len(a) - rng.integers(0, 5))], rng.choice(np.arange(1, 4000, dtype=np.uint64), rng.integers(0, 5), replace=False)]))
+            a = np.unique(a)
+            if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < least:
+                continue
+            assert set(neardup.prefix(a, least, values, ranks)) & set(neardup.prefix(b, least, values, ranks))
+            bits = [np.frombuffer(neardup.parities(x), np.uint64).reshape(1, -1) for x in (a, b)]
+            assert neardup.passing((np.array([len(a)]), np.array([len(b)])), tuple(bits), least).all()
 
 
 def test_spread_and_samples(spark):
