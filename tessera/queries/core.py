@@ -558,7 +558,18 @@ def leakage_contains(spark, d):
     return leakage.containments(table(spark, d, "eval_items"), "problem_id", "problem", table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+def shingles_sql(key: str, text: str, source: str) -> str:
+    """(id, s): the distinct five-word shingles of each text, the whole text where it is shorter."""
+    words = f"SELECT {key} AS id, list_filter(string_split({normal_sql(text)}, ' '), lambda x: x <> '') AS w FROM {source} WHERE {key} IS NOT NULL AND NOT {blank_sql(text)}"
+    return f"SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM ({words}))"
+
+
+@query(
+    f"WITH g AS MATERIALIZED ({shingles_sql('doc_id', 'text', 'documents')}), t AS MATERIALIZED (SELECT id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS digest FROM g GROUP BY 1), "
+    "c AS MATERIALIZED (SELECT digest, min(id) AS class, count(*) AS n_members, max(n) AS n FROM t GROUP BY 1), cg AS MATERIALIZED (SELECT g.id, g.s FROM g JOIN c ON g.id = c.class), "
+    "p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM cg a JOIN cg b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2), l AS MATERIALIZED (SELECT x, y FROM p JOIN c cx ON cx.class = x JOIN c cy ON cy.class = y WHERE k / (cx.n + cy.n - k) >= 0.8), "
+    "e AS (SELECT id, count(*) AS n_links FROM (SELECT x AS id FROM l UNION ALL SELECT y FROM l) GROUP BY 1) SELECT t.id AS doc_id, class, n_members, coalesce(n_links, 0) AS n_links FROM t JOIN c USING (digest) LEFT JOIN e ON e.id = class"
+)
 def near_duplicates(spark, d):
     return neardup.duplicate_report(*neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 

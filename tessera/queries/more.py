@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import labels as L
 from tessera.functions import text as X
 from tessera.operators import extras, leakage, normalize, ordered, profile, registry, scoring
-from tessera.queries.core import SOURCE_SQL, WORDS_SQL, _fold_sql, _sized, answer_sql, leakage_exact, normal_answer_sql, query, strip_sql
+from tessera.queries.core import SOURCE_SQL, WORDS_SQL, _fold_sql, _sized, answer_sql, leakage_exact, normal_answer_sql, query, shingles_sql, strip_sql
 from tessera.plans.session import shared_dir
 from tessera.sources import files, shards
 from tessera.sources.tables import table
@@ -407,9 +407,14 @@ def leakage_totals(spark, d):
     return leakage.leak_totals(table(spark, d, "eval_items"), "problem_id", "dataset", leakage_exact(spark, d).filter("leaked"))
 
 
-@query()
+@query(
+    f"WITH a AS MATERIALIZED ({shingles_sql('problem_id', 'problem', '(SELECT DISTINCT problem_id, problem FROM eval_items)')}), b AS MATERIALIZED ({shingles_sql('CAST(pair_id AS VARCHAR)', 'problem', 'sft_pairs')}), "
+    "na AS (SELECT id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1), p AS (SELECT a.id AS item, b.id AS record, count(*) AS k FROM a JOIN b USING (s) GROUP BY 1, 2) "
+    "SELECT item, record, round(k / (na.n + nb.n - k), 9) AS similarity FROM p JOIN na ON na.id = item JOIN nb ON nb.id = record WHERE k / (na.n + nb.n - k) >= 0.9"
+)
 def similar_items(spark, d):
-    return leakage.similar_items(table(spark, d, "eval_items"), "problem_id", "problem", table(spark, d, "sft_pairs"), "pair_id", "problem")
+    found = leakage.similar_items(table(spark, d, "eval_items"), "problem_id", "problem", table(spark, d, "sft_pairs"), "pair_id", "problem")
+    return found.select("item", "record", F.round("similarity", 9).alias("similarity"))
 
 
 @query()
