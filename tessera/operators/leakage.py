@@ -91,14 +91,14 @@ def similar_items(items: DataFrame, key: str, text: str, corpus: DataFrame, corp
 
     Exact by the same keys as near duplicates; each side's equal shingle sets are one class until the end.
     """
-    whole, classes = [], []
-    for df, k, c in ((items, key, text), (corpus, corpus_key, corpus_text)):
-        sets = written(neardup.shingle_sets(df.select(F.col(k).cast("string").alias("k"), F.col(c).alias("t")), "k", "t", n))
-        whole.append(sets.select("id", "digest").distinct())
-        classes.append(written(sets.groupBy(F.col("digest").alias("id")).agg(F.first("set").alias("set"))))
-    links = neardup.similar(classes[0], classes[1], least)
-    named = links.join(whole[0].select(F.col("id").alias("item"), F.col("digest").alias("left_id")), "left_id")
-    return named.join(whole[1].select(F.col("id").alias("record"), F.col("digest").alias("right_id")), "right_id").select("item", "record", "similarity")
+    texts = [neardup._texts(df.select(F.col(k).cast("string").alias("k"), F.col(c).alias("t")), "k", "t") for df, k, c in ((items, key, text), (corpus, corpus_key, corpus_text))]
+    order = items.sparkSession.sparkContext.broadcast(neardup.frequent_shingles(texts, n))
+    tables = [neardup.sketched(df, least, n, order) for df in texts]
+    chosen = [written(t.groupBy("digest").agg(F.min_by("id", "ref").alias("id"), F.min("ref").alias("ref"))) for t in tables]
+    named = neardup.similar(texts, tables, chosen, least, n)
+    for side, name, t in (("left", "item", tables[0]), ("right", "record", tables[1])):
+        named = named.join(t.select(F.col("id").alias(name), F.col("digest").alias(side)).distinct(), side)
+    return named.select("item", "record", "similarity")
 
 
 def leak_report(items: DataFrame, key: str, by: str, leaked: DataFrame) -> DataFrame:

@@ -263,6 +263,39 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, side):
     assert few[0].count() == 0 and few[1].count() == 0
 
 
+def test_near_duplicates_write_no_sets(spark):
+    """What is written stays below the shingle sets, of eight bytes a shingle; copies of a text meet nothing."""
+    from pathlib import Path
+
+    from tessera.plans.session import shared_dir
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(300)) for _ in range(600)]
+    texts += [" ".join([*t.split()[:-2], "other", "end"]) for t in texts[:20]]
+    df = spark.createDataFrame([(k, texts[k % len(texts)]) for k in range(2 * len(texts))], "id long, t string").repartition(4)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = used()
+    member, links = neardup.near_duplicates(df, "id", "t")
+    assert {(r["class"], r.other) for r in links.collect()} == {(k, 600 + k) for k in range(20)}
+    assert {r.id: r["class"] for r in member.collect()} == {k: k % len(texts) for k in range(2 * len(texts))}
+    assert 0 < used() - before < 8 * sum(len(shingles(texts[k % len(texts)])) for k in range(2 * len(texts)))
+
+
+def test_maps_of_any_width_lose_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for size in (1, 7, 63, 64, 65, 250, 260, 2000, 20_000):
+        a = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[len(a) // 11 :], rng.integers(1, 1 << 62, size // 11).astype(np.uint64)]))
+        near = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        assert near and neardup.alike(len(a), neardup.parities(a, neardup.width(len(a))), len(b), neardup.parities(b, neardup.width(len(b))), 0.8)
+        other = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+        if 60 < size <= neardup.MOST_BITS:
+            assert not neardup.alike(len(a), neardup.parities(a, neardup.width(len(a))), len(other), neardup.parities(other, neardup.width(len(other))), 0.8)
+
+
 def test_similar_items_by_brute_force(spark):
     rng = random.Random(5)
     items = [(f"i{k}", " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(4, 80)))) for k in range(30)]
